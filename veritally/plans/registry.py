@@ -1,0 +1,22 @@
+"""Named queries and their expected answers."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+EXPECTED: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query; `sql` is the expected answer over the same tables, if SQL can say it."""
+
+    def add(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            EXPECTED[name] = sql
+        return fn
+
+    return add
