@@ -41,7 +41,8 @@ def no_spaces(col: Column) -> Column:
 
 
 def ascii_digits(col: Column) -> Column:
-    return F.translate(col, FULL_WIDTH_DIGITS, "0123456789")
+    wide = F.translate(col, FULL_WIDTH_DIGITS, "0123456789")
+    return F.when(col.rlike("[０-９]"), wide).otherwise(col)
 
 
 def contains_any(col: Column, words: Iterable[str]) -> Column:

@@ -39,22 +39,25 @@ KINDS = [
 ]
 TOC_CODE = 93
 COLON_CODE = 95
+FIRST_EXCLUDING = 90
 VALUE_TYPES = ("amount", "date", "time", "phone", "year")
 
 _HIT = (
     "array<struct<code:int,pos:int,raw:string,before_len:int,before_cut:int,"
     "before_tail:string,s0:int,e0:int>>"
 )
+# a comma between two digits groups them and does not end a clause
 _BOUNDARY = (
-    rf"(?<!\d)(?<!\d{CLOSE})[{X.GROUPING_COMMAS}]"
-    rf"|[{X.GROUPING_COMMAS}](?!{OPEN}?\d)"
-    r"|[.\n;、。]"
+    rf"[.\n;、。]|[{X.GROUPING_COMMAS}](?:(?!{OPEN}?\d)"
+    rf"|(?<!\d[{X.GROUPING_COMMAS}])(?<!\d{CLOSE}[{X.GROUPING_COMMAS}]))"
 )
 
 
 def safe_text(text: Column) -> Column:
     """The three marker characters never occur in marked text; offsets stay as they are."""
-    return F.translate(F.coalesce(text, F.lit("")), OPEN + CLOSE + CUT, "�" * 3)
+    text = F.coalesce(text, F.lit(""))
+    marks = OPEN + CLOSE + CUT
+    return F.when(text.rlike(f"[{marks}]"), F.translate(text, marks, "�" * 3)).otherwise(text)
 
 
 def _marked(text: Column, kind: Kind) -> Column:
@@ -65,16 +68,8 @@ def _marked(text: Column, kind: Kind) -> Column:
     return marked if kind.literal is None else F.when(F.contains(text, F.lit(kind.literal)), marked)
 
 
-def _pieces(marked: Column, kind: Kind, with_context: bool) -> Column:
-    """The text cut before each hit: [lead, hit + gap, hit + gap, ...]; NULL without hits."""
-    if with_context and kind.type is not None:
-        cut = F.regexp_replace(marked, rx(_BOUNDARY), f"$0{CUT}")
-    else:
-        cut = marked
-    return F.when(F.contains(marked, F.lit(OPEN)), F.split(cut, OPEN))
-
-
-def _hits(pieces: Column, kind: Kind) -> Column:
+def _hits(pieces: Column, code: Column) -> Column:
+    """One struct per hit of a pattern: its text and the text just before it."""
     n = F.size(pieces) - 1
     pairs = F.arrays_zip(
         F.slice(pieces, F.lit(1), n).alias("before"), F.slice(pieces, F.lit(2), n).alias("here")
@@ -82,25 +77,22 @@ def _hits(pieces: Column, kind: Kind) -> Column:
 
     def row(pair: Column, i: Column) -> Column:
         before = pair["before"]
-        bare = F.translate(before, CLOSE + CUT, "")
+        bare = F.replace(F.replace(before, F.lit(CUT), F.lit("")), F.lit(CLOSE), F.lit(""))
         return F.struct(
-            F.lit(kind.code).alias("code"),
+            code.alias("code"),
             i.alias("pos"),
             F.replace(F.substring_index(pair["here"], CLOSE, 1), F.lit(CUT), F.lit("")).alias("raw"),
             F.length(bare).alias("before_len"),
             F.contains(before, F.lit(CUT)).cast("int").alias("before_cut"),
-            F.replace(F.substring_index(before, CUT, -1), F.lit(CLOSE), F.lit("")).alias(
-                "before_tail"
-            )
-            if kind.type is not None
-            else F.lit(None).cast("string").alias("before_tail"),
+            F.when(
+                code < FIRST_EXCLUDING,
+                F.replace(F.substring_index(before, CUT, -1), F.lit(CLOSE), F.lit("")),
+            ).alias("before_tail"),
             F.lit(None).cast("int").alias("s0"),
             F.lit(None).cast("int").alias("e0"),
         )
 
-    return F.coalesce(
-        F.transform(pairs, row).cast(_HIT), F.array().cast(_HIT)
-    )
+    return F.transform(pairs, row)
 
 
 def contents_spans(text: Column) -> Column:
@@ -162,17 +154,24 @@ def _spans(docs: DataFrame, ids: list[str], text: str, kinds: list[Kind], toc: b
     source = docs.select(*ids, safe_text(F.col(text)).alias("_text")).where(
         F.col("_text").rlike(rx(r"\d"))
     )
-    marked = source.select(
-        *ids, "_text", *[_marked(F.col("_text"), k).alias(f"_m{k.code}") for k in kinds]
-    )
-    cut = marked.select(
-        *ids, "_text", *[_pieces(F.col(f"_m{k.code}"), k, with_context).alias(f"_p{k.code}") for k in kinds]
-    )
-    arrays = [_hits(F.col(f"_p{k.code}"), k) for k in kinds]
+    marked = F.array(*[
+        F.struct(F.lit(k.code).alias("code"), _marked(F.col("_text"), k).alias("text")) for k in kinds
+    ])
+    hit = F.filter(marked, lambda m: F.contains(m["text"], F.lit(OPEN)))
+
+    def pieces(m: Column) -> Column:
+        text = m["text"]
+        if with_context:
+            text = F.when(
+                m["code"] < FIRST_EXCLUDING, F.regexp_replace(text, rx(_BOUNDARY), f"$0{CUT}")
+            ).otherwise(text)
+        return F.struct(m["code"].alias("code"), F.split(text, OPEN).alias("pieces"))
+
+    found = F.flatten(F.transform(F.transform(hit, pieces), lambda m: _hits(m["pieces"], m["code"])))
     if toc:
-        arrays.append(_toc_hits(F.col("_text")))
+        found = F.concat(found.cast(_HIT), _toc_hits(F.col("_text")))
     # the outer form keeps the optimizer from repeating the whole expression as a size filter
-    hits = cut.select(*ids, F.concat(*arrays).alias("_h")).select(
+    hits = source.select(*ids, found.alias("_h")).select(
         *ids, F.inline_outer("_h")
     ).where("code is not null")
     # the one shuffle: hits only, never the text; every later window is inside a document
@@ -238,16 +237,17 @@ def month_runs(amounts: DataFrame, ids: list[str], candidate: Column) -> DataFra
 
 
 def _normalized(default_year: int) -> Column:
-    n = F.regexp_extract_all(ascii_digits(F.col("raw")), F.lit(r"([0-9]+)"), F.lit(1))
+    """Canonical text of a hit from its code and `_n`, the digit runs of the hit."""
+    n = F.col("_n")
     two = lambda i: F.lpad(F.get(n, F.lit(i)), 2, "0")
     full_year = lambda i: F.concat(F.lit("20"), F.get(n, F.lit(i)))
     join = lambda sep, *cols: F.concat_ws(sep, *cols)
     code = F.col("code")
-    digits = F.translate(ascii_digits(F.regexp_extract("raw", rx(r"^[\d,.]+"), 0)), ",", "")
-    unit = F.regexp_extract("raw", "(조원|억원|만원|천원|원|%)$", 1)
+    raw = F.col("raw")
+    digits = F.replace(ascii_digits(F.regexp_extract(raw, rx(r"^[\d,.]+"), 0)), F.lit(","), F.lit(""))
     power = reduce(
-        lambda acc, kv: F.when(unit == kv[0], F.lit(kv[1])).otherwise(acc),
-        X.UNIT_POWERS_OF_TEN.items(), F.lit(0),
+        lambda acc, kv: F.when(F.endswith(raw, F.lit(kv[0])), F.lit(kv[1])).otherwise(acc),
+        sorted(X.UNIT_POWERS_OF_TEN.items(), key=lambda kv: len(kv[0])), F.lit(0),
     )
     month = join("-", F.get(n, F.lit(0)), two(1))
     hours = F.concat(two(0), F.lit(":00~"), two(1), F.lit(":00"))
@@ -301,7 +301,8 @@ def extract_all(docs: DataFrame, ids: list[str], text: str = "text",
 
 def _finish(spans: DataFrame, ids: list[str], default_year: int, keep_code: bool = False) -> DataFrame:
     cols = ["code"] if keep_code else []
-    return spans.select(
+    digit_runs = F.regexp_extract_all(ascii_digits(F.col("raw")), F.lit(r"([0-9]+)"), F.lit(1))
+    return spans.withColumn("_n", digit_runs).select(
         *ids, *cols, _value_type().alias("type"), _normalized(default_year).alias("normalized"),
         "raw", "s", "e", "context",
     )
@@ -325,9 +326,9 @@ def pattern_spans(docs: DataFrame, ids: list[str], patterns: dict[str, str],
                   text: str = "text") -> DataFrame:
     """Spans of named patterns: ids, name, raw, s, e (partitioned by document)."""
     names = list(patterns)
-    kinds = [Kind(i, name, None, patterns[name], None) for i, name in enumerate(names)]
+    kinds = [Kind(FIRST_EXCLUDING + i, name, None, patterns[name], None) for i, name in enumerate(names)]
     spans = _spans(docs, ids, text, kinds, toc=False, with_context=False)
-    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("code") + 1)
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("code") - (FIRST_EXCLUDING - 1))
     return spans.select(*ids, name.alias("name"), "raw", "s", "e")
 
 

@@ -40,7 +40,7 @@ _AMOUNTS = _first_match_spans(
 
 @query("mentions_amount", _AMOUNTS)
 def mentions_amount(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = table(spark, sf, "documents", ["doc_id", "text"])
     return M.extract(docs, ["doc_id"], types=("amount",), context=False).select(
         "doc_id", "raw", "s", "e", "normalized"
     )
@@ -116,7 +116,7 @@ def mentions_all(spark, sf):
     from placed""",
 ))
 def mention_context(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = table(spark, sf, "documents", ["doc_id", "text"])
     return M.extract(docs, ["doc_id"], types=("amount",)).select("doc_id", "s", "context")
 
 

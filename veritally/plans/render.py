@@ -114,36 +114,43 @@ def year_grid(d: Dialect) -> str:
 
 def cells(d: Dialect) -> str:
     """Long cells: a list sheet per customer and year sheets per priority and region."""
-    num = "cast({} as decimal(38,10))".format
-    row = lambda file, sheet, r, c, kind, n="null", dt="null", s="null": (
-        f"{file} as source_file, {sheet} as sheet, cast({r} as int) as row, cast({c} as int) as col, "
-        f"'{kind}' as kind, cast({n} as decimal(38,10)) as v_num, cast({dt} as date) as v_date, "
-        f"cast({s} as string) as v_str"
-    )
-    list_file = f"'orders_' || {d.str('case_id')} || '.xlsx'"
-    year_file = "'years_' || priority || '.xlsx'"
-    heads = []
-    for c, text in enumerate(("항목", "금액", "접수일", "수량"), 1):
-        heads.append(f"select {row(list_file, quote('주문'), 3, c, 'str', s=quote(text))} from (select distinct o_custkey as case_id from {d.t('orders')}) h")
-    heads.append(f"select {row(list_file, quote('주문'), 1, 1, 'str', s=quote('주문 내역'))} from (select distinct o_custkey as case_id from {d.t('orders')}) h")
-    pairs = f"(select distinct priority, region from ({year_grid(d)}) g)"
-    for c, text in enumerate(("구분", "2026", "'27", "2028 목표"), 1):
-        if text == "2026":
-            heads.append(f"select {row(year_file, 'region', 3, c, 'num', n='2026')} from {pairs} h")
-        else:
-            heads.append(f"select {row(year_file, 'region', 3, c, 'str', s=quote(text))} from {pairs} h")
-    heads.append(f"select {row(year_file, 'region', 1, 1, 'str', s=quote('연도별 실적'))} from {pairs} h")
-    text_b = f"'미정 ' || {d.str('k % 90 + 10')} || '건'"
-    body = [
-        f"select {row(list_file, quote('주문'), 'k + 4', 1, 'str', s=quote('주문 ') + ' || code')} from ({order_facts(d)}) f",
-        f"select {row(list_file, quote('주문'), 'k + 4', 2, 'num', n='amount')} from ({order_facts(d)}) f where k % 40 <> 0",
-        f"select {row(list_file, quote('주문'), 'k + 4', 2, 'str', s=text_b)} from ({order_facts(d)}) f where k % 40 = 0",
-        f"select {row(list_file, quote('주문'), 'k + 4', 3, 'date', dt='dt')} from ({order_facts(d)}) f",
-        f"select {row(list_file, quote('주문'), 'k + 4', 4, 'num', n='k % 100 + 0.5')} from ({order_facts(d)}) f",
-        f"select distinct {row(year_file, 'region', 'nk + 4', 1, 'str', s='nation')} from ({year_grid(d)}) g",
-        f"select {row(year_file, 'region', 'nk + 4', 'y - 2024', 'num', n='total')} from ({year_grid(d)}) g",
+
+    def cell(row: str, col: str, kind: str, n="null", dt="null", s="null") -> str:
+        return (
+            f"{{{{'row': cast({row} as int), 'col': cast({col} as int), 'kind': {kind}, "
+            f"'v_num': cast({n} as decimal(38,10)), 'v_date': cast({dt} as date), 'v_str': cast({s} as string)}}}}"
+        ).replace("{{", "{").replace("}}", "}")
+
+    def unfold(select: str, source: str, some: list[str]) -> str:
+        if d.spark:
+            some = [c.replace("{", "named_struct(").replace("}", ")").replace("': ", "', ") for c in some]
+            return f"select {select}, row, col, kind, v_num, v_date, v_str from {source} x lateral view inline(array({', '.join(some)})) y"
+        return f"select {select}, unnest([{', '.join(some)}], recursive := true) from {source} x"
+
+    list_sheet = f"'orders_' || {d.str('case_id')} || '.xlsx' as source_file, '주문' as sheet"
+    year_sheet = "'years_' || priority || '.xlsx' as source_file, region as sheet"
+    words = lambda texts: [cell("3", str(c), "'str'", s=quote(t)) for c, t in texts]
+    list_heads = [cell("1", "1", "'str'", s="'주문 내역'"), *words(enumerate(("항목", "금액", "접수일", "수량"), 1))]
+    year_heads = [
+        cell("1", "1", "'str'", s="'연도별 실적'"), cell("3", "2", "'num'", n="2026"),
+        *words([(1, "구분"), (3, "'27"), (4, "2028 목표")]),
     ]
-    return "\nunion all\n".join(heads + body)
+    open_text = f"case when k % 40 = 0 then '미정 ' || {d.str('k % 90 + 10')} || '건' end"
+    list_body = [
+        cell("k + 4", "1", "'str'", s="'주문 ' || code"),
+        cell("k + 4", "2", "case when k % 40 = 0 then 'str' else 'num' end",
+             n="case when k % 40 <> 0 then amount end", s=open_text),
+        cell("k + 4", "3", "'date'", dt="dt"),
+        cell("k + 4", "4", "'num'", n="k % 100 + 0.5"),
+    ]
+    return "\nunion all\n".join([
+        unfold(list_sheet, f"(select distinct o_custkey as case_id from {d.t('orders')})", list_heads),
+        unfold(list_sheet, f"({order_facts(d)})", list_body),
+        unfold(year_sheet, f"(select distinct priority, region from ({year_grid(d)}) g)", year_heads),
+        unfold(year_sheet, f"(select distinct priority, region, nk, nation from ({year_grid(d)}) g)",
+               [cell("nk + 4", "1", "'str'", s="nation")]),
+        unfold(year_sheet, f"({year_grid(d)})", [cell("nk + 4", "y - 2024", "'num'", n="total")]),
+    ])
 
 
 def conflict_cells(d: Dialect) -> str:
@@ -278,9 +285,24 @@ RENDERINGS = {
 }
 
 
+# renderings that only project one table: a file that is a single split is spread first
+ONE_SCAN = {
+    "order_facts", "report_values", "reports", "facts", "lines", "months", "contents", "personal",
+    "messages", "archive_old", "archive_new", "styled",
+}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input has fewer files than cores; else as read."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores // 2 else df
+
+
 def frame(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A rendered table as a DataFrame over the parquet tables of `folder`."""
-    return spark.sql(RENDERINGS[name](Dialect(folder)))
+    df = spark.sql(RENDERINGS[name](Dialect(folder)))
+    return spread(df) if name in ONE_SCAN else df
 
 
 def expected(name: str) -> str:
@@ -288,5 +310,6 @@ def expected(name: str) -> str:
     return f"({RENDERINGS[name](DUCK)})"
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df.select(*columns)) if columns else df
