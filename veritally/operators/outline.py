@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from veritally.functions import fixed as X
 from veritally.functions.text import rx, strip, unix_lines
 from veritally.operators.rules import heading_level
+from veritally.sources.stage import staged
 
 LEVELS = len(X.HEADING_LEVELS)
 
@@ -179,7 +180,8 @@ def apply_edits(paras: DataFrame, sections: DataFrame, edits: DataFrame,
     own = lambda l: (strip(l) == "") | F.substring(l, 1, 1).isin(*X.INDENT_CHARS)
     asked = asked.withColumn("reason", reason).withColumn(
         "_lines", F.transform("_lines", lambda l: F.when(own(l), l).otherwise(F.concat(keep, l))))
-    asked = asked.withColumn("applied", F.col("reason").isNull())
+    # the log, the removed range and the new lines all read it
+    asked = staged(asked.withColumn("applied", F.col("reason").isNull()), "edits")
     log = asked.select(
         doc, "section_id", "mode", "applied", "reason",
         F.when(F.col("applied"), F.coalesce("before", F.lit(""))).alias("before"),

@@ -8,6 +8,7 @@ from veritally.operators import outline as O
 from veritally.operators import rules as U
 from veritally.plans.registry import query
 from veritally.plans.render import expected, frame, table
+from veritally.sources.stage import staged
 
 V = expected("report_values")
 L = expected("lines")
@@ -102,8 +103,8 @@ def edits(paras: DataFrame) -> DataFrame:
 
 
 _EDITED = f"""
-    select doc_id, cast(row_number() over (partition by doc_id order by at, n) - 1 as int) as para, text from (
-      select doc_id, para as at, 0 as n, text from {_LINES} p where not (doc_id % 6 = 0 and para >= 10) and not (doc_id % 6 = 1 and para >= 9)
+    select doc_id, cast(row_number() over (partition by doc_id order by place, n) - 1 as int) as para, text from (
+      select doc_id, para as place, 0 as n, text from {_LINES} p where not (doc_id % 6 = 0 and para >= 10) and not (doc_id % 6 = 1 and para >= 9)
       union all select k, 20, 1, case when k % 6 in (0, 2) then '  새 줄 하나' else '새 줄 하나' end from {V} v where k % 6 <= 3
       union all select k, 20, 2, ' 들여쓴 줄' from {V} v where k % 6 <= 3)"""
 
@@ -129,6 +130,7 @@ def revert_edits(spark, sf):
     paras, sections = parts(spark, sf)
     body_edits = edits(paras).withColumn("mode", F.lit("replace_body")).withColumn("text", F.lit("새 줄 하나\n들여쓴 줄"))
     changed, log = O.apply_edits(paras, sections, body_edits)
+    changed = staged(changed, "edited")
     back, _ = O.revert_edits(changed, O.outline(changed), log)
     return back.select("doc_id", "para", "text")
 
