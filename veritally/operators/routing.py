@@ -50,18 +50,24 @@ def pii_flags(docs: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
 
 
 def clarify_fold(messages: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """The text each message is judged by: an unroutable one is joined with the next.
+    """How each message is judged when an unroutable one waits for the next: judged, tool, pending.
 
-    A message that follows a pending one is judged together with it and then nothing is pending,
-    unless the pair is unroutable too: then the message itself is pending again.  Whether a
-    message is pending depends only on the messages since the last one routable on its own, so
-    the fold is a running parity within a conversation where pairs do not matter, and the pair
-    test only reads a neighbour.
+    Whether message i leaves something pending depends on i-1 only through "was something
+    pending", so a message either fixes the state, keeps it or flips it.  The state is therefore
+    the last fixed one plus the flips since, two running aggregates in place of a fold over a
+    gathered conversation.
     """
     order = Window.partitionBy(conv).orderBy(turn)
-    alone = F.col("_alone").isNotNull()
-    rows = messages.withColumn("_alone", intent(F.col("text"))).withColumn("_prev", F.lag("text").over(order))
-    rows = rows.withColumn("_pair", intent(F.concat_ws(" ", "_prev", "text")))
-    # joined with a pending message a routable text stays routable by its own words or by the
-    # pair's, so pending(i) = not routable(i alone, or with i-1 if i-1 is pending)
-    return rows
+    rows = messages.withColumn("_pair", F.concat_ws(" ", F.lag("text").over(order), "text"))
+    rows = rows.withColumn("_alone_tool", intent(F.col("text"))).withColumn("_pair_tool", intent(F.col("_pair")))
+    fresh, joined = F.col("_alone_tool").isNull(), F.col("_pair_tool").isNull()
+    flips = (fresh & ~joined).cast("int")
+    rows = rows.withColumn("_flips", F.sum(flips).over(order))
+    fixed = F.when(fresh == joined, F.struct(fresh.cast("int").alias("state"), F.col("_flips").alias("at")))
+    rows = rows.withColumn("_fixed", F.last(fixed, ignorenulls=True).over(order))
+    state = F.coalesce(F.col("_fixed.state"), F.lit(0)) + F.col("_flips") - F.coalesce(F.col("_fixed.at"), F.lit(0))
+    rows = rows.withColumn("pending", F.pmod(state, F.lit(2)) == 1)
+    rows = rows.withColumn("_was", F.coalesce(F.lag("pending").over(order), F.lit(False)))
+    return rows.select(
+        conv, turn, F.when(F.col("_was"), F.col("_pair")).otherwise(F.col("text")).alias("judged"),
+        F.when(F.col("_was"), F.col("_pair_tool")).otherwise(F.col("_alone_tool")).alias("tool"), "pending")

@@ -76,10 +76,7 @@ def split_lines(lines: DataFrame, group: str, text: str = "text") -> DataFrame:
 
 def number_prefix(style: Column, n: Column) -> Column:
     number = n.cast("string")
-    circled = (
-        F.when(n <= 20, F.chr(n + 0x245F)).otherwise("")
-        if False else F.when(n.between(1, 20), F.substring(F.lit("①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"), n, F.lit(1)))
-    )
+    circled = F.when(n.between(1, 20), F.substring(F.lit("①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"), n, F.lit(1)))
     return (
         F.when(style == "arabic_dot", F.concat(number, F.lit(". ")))
         .when(style == "arabic_paren", F.concat(number, F.lit(") ")))
@@ -166,15 +163,28 @@ def chart_series(table: DataFrame, chart: str) -> DataFrame:
 
 
 # --- speed ---------------------------------------------------------------------------------
-def rolling_speed(calls: DataFrame, key: str, seq: list[str], expected: int) -> DataFrame:
-    """Low and high estimate in seconds for `expected` tokens after each valid call of a key.
-
-    A running mean of the last calls needs only neighbours, so a key's calls are cut into blocks
-    of a fixed number of time slices: a busy key is shared out, and each block also gets the
-    calls just before it.
+def rolling_speed(calls: DataFrame, key: str, time: str, seq: str, expected: int,
+                  slice_seconds: int = 3600) -> DataFrame:
+    """Low and high estimate in seconds for `expected` tokens after each valid call of a key:
+    the mean speed of its last twenty calls.
+
+    A key may hold a large share of all calls, so its calls are cut into time slices that are
+    worked on apart.  A slice is also given the calls just before it, taken from the tails of the
+    slices, of which there are at most nineteen calls each.
     """
+    lookback = X.SPEED_WINDOW - 1
     valid = calls.where((F.col("eval_count") > 0) & (F.col("eval_ns") > 0)).withColumn(
-        "speed", F.col("eval_count") / (F.col("eval_ns") / F.lit(1e9)))
-    frame = Window.partitionBy(key).orderBy(*seq).rowsBetween(-(X.SPEED_WINDOW - 1), 0)
+        "speed", F.col("eval_count") / (F.col("eval_ns") / F.lit(1e9))
+    ).withColumn("_slice", F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / slice_seconds))
+    newest = Window.partitionBy(key, "_slice").orderBy(F.desc(time), F.desc(seq))
+    tails = valid.select(key, "_slice", time, seq, "speed").withColumn(
+        "_r", F.row_number().over(newest)).where(F.col("_r") <= lookback).drop("_r")
+    tails = tails.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(time, seq)))
+    wanted = tails.groupBy(key, "_slice").agg(F.min("_n").alias("_first")).where("_first > 1").select(
+        key, "_slice", F.explode(F.sequence(F.greatest(F.col("_first") - lookback, F.lit(1)), F.col("_first") - 1)).alias("_n"))
+    carried = wanted.join(tails.drop("_slice"), [key, "_n"]).select(key, "_slice", time, seq, "speed", F.lit(True).alias("_old"))
+    both = valid.withColumn("_old", F.lit(False)).unionByName(carried, allowMissingColumns=True)
+    frame = Window.partitionBy(key, "_slice").orderBy(time, seq).rowsBetween(-lookback, 0)
     base = F.lit(expected) / F.avg("speed").over(frame)
-    return valid.withColumn("low", base * X.SPEED_LOW).withColumn("high", base * X.SPEED_HIGH)
+    return both.withColumn("low", base * X.SPEED_LOW).withColumn("high", base * X.SPEED_HIGH).where(
+        "not _old").drop("_old", "_slice")

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from veritally.plans import extraction, search, structure, tables, verification  # noqa: F401
+from veritally.plans import extraction, reshaping, search, structure, tables, verification  # noqa: F401
 from veritally.plans.registry import EXPECTED, QUERIES  # noqa: F401
