@@ -132,25 +132,43 @@ def _keyed(digest: DataFrame, tables: bool) -> DataFrame:
 
 def with_headers(mentions: DataFrame) -> DataFrame:
     """Mentions with m_col, m_row ('' outside tables) and the text that labels are looked for in."""
-    if "row_header" not in mentions.columns:
-        mentions = mentions.withColumn("row_header", F.lit("")).withColumn("column_header", F.lit(""))
-    row = F.coalesce("row_header", F.lit(""))
     context = F.coalesce("context", F.lit(""))
+    if not has_tables(mentions):
+        return mentions.select("*", F.lit("").alias("m_col"), F.lit("").alias("m_row"), context.alias("link_text"))
+    row = F.coalesce("row_header", F.lit(""))
     joined = F.array_join(F.filter(F.array(context, row), lambda p: p != ""), " ")
-    return mentions.withColumn("m_col", _clean("column_header")).withColumn(
-        "m_row", _clean("row_header")).withColumn("link_text", joined)
+    return mentions.select(
+        "*", _clean("column_header").alias("m_col"), _clean("row_header").alias("m_row"), joined.alias("link_text"))
+
+
+def has_tables(rows: DataFrame) -> bool:
+    return "row_header" in rows.columns
+
+
+def staged_digest(pool: DataFrame) -> DataFrame:
+    """A pool's digest, written once; pass it on wherever a pool is asked for."""
+    return pool if "ev" in pool.columns else staged(pool_digest(pool), "digest")
+
+
+def _keys(rows: DataFrame, digest: DataFrame) -> DataFrame:
+    """Digest keys per distinct header pair of the rows; without tables one key fits all."""
+    heads = rows.select(*CASE_TYPE, "m_col", "m_row").distinct()
+    if has_tables(rows):
+        return _header_keys(heads, digest)
+    return heads.withColumn("k_col", F.lit(ANY)).withColumn("k_row", F.lit(ANY))
 
 
 def categorize(mentions: DataFrame, pool: DataFrame, mention_ids: list[str]) -> DataFrame:
     """Adds verdict (match, mismatch, ambiguous, unverifiable) and the evidence struct `ev`.
 
     `mentions`: mention_ids (holding case_id and type), normalized, raw, context and, for values
-    in table cells, row_header and column_header.  `pool`: the columns of a fact pool + case_id.
+    in table cells, row_header and column_header.  `pool`: the columns of a fact pool + case_id,
+    or its staged digest.
     """
-    tables = "row_header" in mentions.columns
+    tables = has_tables(mentions)
     # both are read by several branches below and are small next to the text they come from
     rows = staged(with_headers(mentions), "mentions")
-    digest = staged(pool_digest(pool), "digest")
+    digest = staged_digest(pool)
     keyed = _keyed(digest, tables)
     group = [*CASE_TYPE, "k_col", "k_row"]
 
@@ -159,10 +177,7 @@ def categorize(mentions: DataFrame, pool: DataFrame, mention_ids: list[str]) ->
         F.min("normalized").alias("low"), F.max("normalized").alias("high"), F.min("ev").alias("first")
     )
     heads = rows.select(*CASE_TYPE, "m_col", "m_row").distinct()
-    if tables:
-        keys = _header_keys(heads, digest)
-    else:
-        keys = heads.withColumn("k_col", F.lit(ANY)).withColumn("k_row", F.lit(ANY))
+    keys = _keys(rows, digest)
     head = [*CASE_TYPE, "m_col", "m_row"]
     narrowed = keys.join(spread, group).groupBy(*head).agg(
         F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")
@@ -220,31 +235,26 @@ def review_queue(verdicts: DataFrame, pool: DataFrame, mention_ids: list[str],
                  ignored: DataFrame | None = None, cap: int = X.REVIEW_CAP) -> DataFrame:
     """Mismatches and ambiguous values that some named data cell of equal value could explain,
     at most `cap` per report, mismatches first."""
+    digest = staged_digest(pool)
     open_rows = verdicts.where(F.col("verdict").isin("mismatch", "ambiguous"))
     if ignored is not None:
         open_rows = open_rows.join(ignored.select("raw").distinct(), "raw", "left_anti")
-    named = pool_digest(pool).where("not from_text and trim(label) <> ''")
-    keyed, keys = _keys_for(open_rows, pool, named)
-    equal = keyed.select(*CASE_TYPE, "normalized", "k_col", "k_row").distinct()
-    asked = open_rows.join(keys, [*CASE_TYPE, "m_col", "m_row"]).join(
-        equal, [*CASE_TYPE, "normalized", "k_col", "k_row"], "left_semi"
-    ).select(*mention_ids).distinct()
+    open_rows = staged(open_rows, "open")
+    named = _keyed(digest.where("not from_text and trim(label) <> ''"), has_tables(open_rows))
+    value = [*CASE_TYPE, "normalized", "k_col", "k_row"]
+    asked = open_rows.join(_keys(open_rows, digest), [*CASE_TYPE, "m_col", "m_row"]).join(
+        named.select(*value), value, "left_semi").select(*mention_ids).distinct()
     eligible = open_rows.join(asked, mention_ids, "left_semi")
-    order = Window.partitionBy("case_id", "doc_id").orderBy(F.desc("verdict"), "code", "s")
-    if "code" not in eligible.columns:
-        order = Window.partitionBy("case_id", "doc_id").orderBy(F.desc("verdict"), "s", "type")
+    order = Window.partitionBy("case_id", "doc_id").orderBy(F.desc("verdict"), "s", "type")
     return eligible.withColumn("queue_no", F.row_number().over(order)).where(F.col("queue_no") <= cap)
 
 
-def _keys_for(rows: DataFrame, pool: DataFrame, digest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    heads = rows.select(*CASE_TYPE, "m_col", "m_row").distinct()
-    return _keyed(digest, True), _header_keys(heads, pool_digest(pool))
-
-
 def shortlist(queue: DataFrame, pool: DataFrame, mention_ids: list[str]) -> DataFrame:
     """Up to six named choices per queued value: two whose label links, then four of equal value."""
-    digest = pool_digest(pool).withColumn("label", strip(F.col("label"))).where("label <> ''")
-    keyed, keys = _keys_for(queue, pool, digest)
+    everything = staged_digest(pool)
+    queue = staged(queue, "queue")
+    digest = everything.withColumn("label", strip(F.col("label"))).where("label <> ''")
+    keyed, keys = _keyed(digest, has_tables(queue)), _keys(queue, everything)
     group = [*CASE_TYPE, "k_col", "k_row"]
     rows = queue.select(*mention_ids, *[c for c in ("normalized", "link_text", "m_col", "m_row") if c not in mention_ids])
     asked = rows.join(keys, [*CASE_TYPE, "m_col", "m_row"])

@@ -1,4 +1,6 @@
 """All registered queries."""
 
-from veritally.plans import extraction, reshaping, search, structure, tables, verification  # noqa: F401
+from veritally.plans import (  # noqa: F401
+    extraction, reshaping, search, structure, tables, verification, streams,
+)
 from veritally.plans.registry import EXPECTED, QUERIES  # noqa: F401

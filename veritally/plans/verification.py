@@ -12,6 +12,7 @@ from veritally.operators import reconcile as R
 from veritally.operators import tables as T
 from veritally.plans.registry import query
 from veritally.plans.render import DUCK, expected, frame, table
+from veritally.sources.stage import staged
 
 V = expected("report_values")
 FACTS = expected("facts")
@@ -179,8 +180,9 @@ def vague_reports(spark, sf) -> DataFrame:
 
 
 def vague_verdicts(spark, sf):
-    pool = fact_rows(spark, sf)
-    return R.categorize(M.extract_all(vague_reports(spark, sf), ["case_id", "doc_id"]), pool, IDS), pool
+    pool = R.staged_digest(fact_rows(spark, sf))
+    verdicts = R.categorize(M.extract_all(vague_reports(spark, sf), ["case_id", "doc_id"]), pool, IDS)
+    return staged(verdicts, "verdicts"), pool
 
 
 _VAGUE_VERDICTS = f"""
@@ -202,7 +204,7 @@ def review_queue(spark, sf):
     union all select doc_id, place, 2, '주문 ' || top_code from ({_VAGUE_VERDICTS}) v where verdict = 'mismatch'""")
 def shortlist(spark, sf):
     verdicts, pool = vague_verdicts(spark, sf)
-    queue = R.review_queue(verdicts, pool, IDS)
+    queue = staged(R.review_queue(verdicts, pool, IDS), "queue")
     return R.shortlist(queue, pool, IDS).select(
         "doc_id", (F.col("s") > 10).cast("int").alias("place"), "choice", "label")
 
@@ -222,8 +224,8 @@ def scripted_answers(mentions: DataFrame) -> DataFrame:
       else case when verdict = 'ambiguous' then 'ambiguous' else 'match' end end as verdict from ({_VAGUE_VERDICTS}) v""")
 def apply_answers(spark, sf):
     verdicts, pool = vague_verdicts(spark, sf)
-    queue = R.review_queue(verdicts, pool, IDS)
-    choices = R.shortlist(queue, pool, IDS)
+    queue = staged(R.review_queue(verdicts, pool, IDS), "queue")
+    choices = staged(R.shortlist(queue, pool, IDS), "choices")
     done = R.apply_answers(verdicts, queue, choices, scripted_answers(verdicts), IDS)
     return done.select("doc_id", (F.col("s") > 10).cast("int").alias("place"), "verdict")
 
