@@ -190,7 +190,7 @@ def _spans(docs: DataFrame, ids: list[str], text: str, kinds: list[Kind], toc: b
     return hits.select(*ids, "code", "raw", "s", "e", "context")
 
 
-def _touched_by(spans: DataFrame, ids: list[str], excluding: Column) -> DataFrame:
+def touched_by(spans: DataFrame, ids: list[str], excluding: Column) -> DataFrame:
     """Adds _hit: the span shares a character with some other span for which `excluding` holds.
 
     Two running extremes per document in place of an overlap join: the furthest end among
@@ -292,7 +292,7 @@ def extract_all(docs: DataFrame, ids: list[str], text: str = "text",
     or contents line are dropped, then month runs are dropped."""
     spans = _spans(docs, ids, text, KINDS, toc=True, with_context=True)
     spans = _drop_times_inside_colon_digits(spans, ids)
-    spans = _touched_by(spans, ids, F.col("code") > 0)
+    spans = touched_by(spans, ids, F.col("code") > 0)
     kept = spans.where((F.col("code") < 90) & ~((F.col("code") == 0) & F.col("_hit"))).drop("_hit")
     values = _finish(kept, ids, default_year, keep_code=True)
     values = month_runs(values, ids, F.col("code") == 0)

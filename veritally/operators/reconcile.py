@@ -97,7 +97,7 @@ def _header_keys(heads: DataFrame, digest: DataFrame) -> DataFrame:
     A blank header on either side never blocks.  When a mention knows its column and some
     candidate knows one too, candidates without a column are out.
     """
-    cands = digest.select(*CASE_TYPE, "c_col", "c_row").distinct()
+    cands = staged(digest.select(*CASE_TYPE, "c_col", "c_row").distinct(), "candidates")
     known = cands.where("c_col <> ''").select(*CASE_TYPE).distinct().withColumn("_known", F.lit(True))
     cols = agreeing_columns(
         heads.where("m_col <> ''").select(*CASE_TYPE, F.col("m_col").alias("a")),
@@ -150,11 +150,11 @@ def staged_digest(pool: DataFrame) -> DataFrame:
     return pool if "ev" in pool.columns else staged(pool_digest(pool), "digest")
 
 
-def _keys(rows: DataFrame, digest: DataFrame) -> DataFrame:
+def header_keys(rows: DataFrame, digest: DataFrame) -> DataFrame:
     """Digest keys per distinct header pair of the rows; without tables one key fits all."""
     heads = rows.select(*CASE_TYPE, "m_col", "m_row").distinct()
     if has_tables(rows):
-        return _header_keys(heads, digest)
+        return staged(_header_keys(staged(heads, "heads"), digest), "keys")
     return heads.withColumn("k_col", F.lit(ANY)).withColumn("k_row", F.lit(ANY))
 
 
@@ -177,7 +177,7 @@ def categorize(mentions: DataFrame, pool: DataFrame, mention_ids: list[str]) ->
         F.min("normalized").alias("low"), F.max("normalized").alias("high"), F.min("ev").alias("first")
     )
     heads = rows.select(*CASE_TYPE, "m_col", "m_row").distinct()
-    keys = _keys(rows, digest)
+    keys = header_keys(rows, digest)
     head = [*CASE_TYPE, "m_col", "m_row"]
     narrowed = keys.join(spread, group).groupBy(*head).agg(
         F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")
@@ -242,7 +242,7 @@ def review_queue(verdicts: DataFrame, pool: DataFrame, mention_ids: list[str],
     open_rows = staged(open_rows, "open")
     named = _keyed(digest.where("not from_text and trim(label) <> ''"), has_tables(open_rows))
     value = [*CASE_TYPE, "normalized", "k_col", "k_row"]
-    asked = open_rows.join(_keys(open_rows, digest), [*CASE_TYPE, "m_col", "m_row"]).join(
+    asked = open_rows.join(header_keys(open_rows, digest), [*CASE_TYPE, "m_col", "m_row"]).join(
         named.select(*value), value, "left_semi").select(*mention_ids).distinct()
     eligible = open_rows.join(asked, mention_ids, "left_semi")
     order = Window.partitionBy("case_id", "doc_id").orderBy(F.desc("verdict"), "s", "type")
@@ -254,7 +254,7 @@ def shortlist(queue: DataFrame, pool: DataFrame, mention_ids: list[str]) -> Data
     everything = staged_digest(pool)
     queue = staged(queue, "queue")
     digest = everything.withColumn("label", strip(F.col("label"))).where("label <> ''")
-    keyed, keys = _keyed(digest, has_tables(queue)), _keys(queue, everything)
+    keyed, keys = _keyed(digest, has_tables(queue)), header_keys(queue, everything)
     group = [*CASE_TYPE, "k_col", "k_row"]
     rows = queue.select(*mention_ids, *[c for c in ("normalized", "link_text", "m_col", "m_row") if c not in mention_ids])
     asked = rows.join(keys, [*CASE_TYPE, "m_col", "m_row"])

@@ -39,7 +39,7 @@ def pii_flags(docs: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
     has_account = docs.where(F.col(text).rlike(rx(X.ACCOUNT)))
     spans = M.pattern_spans(
         has_account, ids, {"account": X.ACCOUNT, "mobile": X.MOBILE, "landline": X.LANDLINE}, text)
-    touched = M._touched_by(spans, ids, F.col("name") != "account")
+    touched = M.touched_by(spans, ids, F.col("name") != "account")
     free = touched.where("name = 'account' and not _hit").select(*ids).distinct().withColumn("_account", F.lit(True))
     kinds = F.array(
         F.when(F.col(text).rlike(rx(X.RESIDENT_NUMBER)), X.PII_RESIDENT),

@@ -311,8 +311,8 @@ def categorize_tables(spark, sf):
       case x.column_header when '2026년' then '2026' when '2027년' then '''27' else '2028 목표' end as k_col
     from {_TABLE_CELLS} x join {_TABLE_CELLS} p on x.doc_id = p.doc_id and (strpos(x.nation, p.nation) > 0 or strpos(p.nation, x.nation) > 0)""")
 def identity_filter(spark, sf):
-    heads = R.with_headers(table_mentions(spark, sf)).where("m_row <> '' and type = 'amount'").select("case_id", "type", "m_col", "m_row").distinct()
-    digest = R.pool_digest(year_pool(spark, sf))
-    keys = R._header_keys(heads, digest)
+    rows = R.with_headers(table_mentions(spark, sf)).where("m_row <> '' and type = 'amount'")
+    digest = R.staged_digest(year_pool(spark, sf))
+    keys = R.header_keys(rows, digest)
     real = digest.where("c_row <> ''").select("case_id", F.col("c_col").alias("k_col"), F.col("c_row").alias("k_row")).distinct()
     return keys.join(real, ["case_id", "k_col", "k_row"], "left_semi").select("case_id", "m_row", "m_col", "k_row", "k_col")
