@@ -14,7 +14,7 @@ import time
 from veritally.plans import catalog
 from veritally.plans.session import local_session
 
-HEADLINE = ["mentions_all", "verify_corpus", "bm25_topk", "cosine_topk", "outline", "item_numbering", "archive_diff"]
+HEADLINE = os.environ.get("BENCH_QUERIES", "").split() or ["mentions_all", "verify_corpus", "bm25_topk", "cosine_topk", "outline", "item_numbering", "archive_diff"]
 
 
 def main() -> None:

@@ -104,6 +104,9 @@ def archive_stats(docs: DataFrame, chunk_rows: DataFrame) -> DataFrame:
     return a.unionByName(b).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("docs", "failed", "chunks")])
 
 
+BROADCAST_TERMS = 200_000  # query-term rows: a few megabytes at most
+
+
 # --- ranked search --------------------------------------------------------------------
 def in_scope(chunk_rows: DataFrame, year: int | None = None, name_contains: str | None = None) -> DataFrame:
     """Filters stay below the statistics, which count only what they let through."""
@@ -125,28 +128,29 @@ def bm25(chunk_rows: DataFrame, queries: DataFrame, ids: list[str], query_id: st
     """Top k chunks per query: query_id, ids, score (unrounded), rank.
 
     Chunk rows: ids, tokens, length; queries: query_id, text.  Only terms that some query has are
-    exploded into postings.  Postings are placed by chunk, so a chunk's score for a query is summed
-    where it is, and the rank filter keeps k rows per query and task before the final shuffle.
+    exploded into postings, and only they are shuffled, once, by chunk: counting a term, scoring a
+    chunk and the rank filter that keeps k rows per query and task all happen where a chunk is.
+    The weighted query terms are broadcast while the query batch is small, else joined by term.
     """
     terms = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    small = terms.count() <= BROADCAST_TERMS
+    wanted = terms.select("term").distinct()
     totals = chunk_rows.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
-    postings = (
-        chunk_rows.where(F.size("tokens") > 0)
-        .select(*ids, "length", F.explode("tokens").alias("term"))
-        .join(terms.select("term").distinct(), "term", "left_semi")
-        .groupBy(*ids, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    )
+    occurrences = chunk_rows.select(*ids, "length", F.explode("tokens").alias("term")).join(
+        F.broadcast(wanted) if small else wanted, "term", "left_semi")
+    postings = occurrences.repartition(*ids).groupBy(*ids, "term").agg(
+        F.count("*").alias("tf"), F.first("length").alias("length"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # a scalar row of corpus statistics is attached to the terms of the queries, not to the postings
+    # the one row of corpus totals meets the terms of the queries, never the postings
     weights = df.withColumn("_all", F.lit(1)).join(totals.withColumn("_all", F.lit(1)), "_all").select(
         "term", idf.alias("idf"), F.greatest(F.coalesce("avgdl", F.lit(0.0)), F.lit(1e-9)).alias("avgdl"))
     weighted = terms.join(weights, "term")
-    hits = postings.join(weighted, "term")
+    hits = postings.join(F.broadcast(weighted) if small else weighted, "term")
     part = F.col("idf") * F.col("tf") * (X.BM25_K1 + 1) / (
         F.col("tf") + X.BM25_K1 * (1 - X.BM25_B + X.BM25_B * F.col("length") / F.col("avgdl")))
     scores = hits.select(query_id, *ids, part.alias("part")).groupBy(query_id, *ids).agg(F.sum("part").alias("score"))
-    # last bits of a float sum depend on its order: rank on twelve decimals, then by chunk
+    # last bits of a float sum depend on its order: rank on nine decimals, then by chunk
     order = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), *ids)
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

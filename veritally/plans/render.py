@@ -11,15 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Dialect:
-    def __init__(self, folder: str | None):
-        self.folder = folder
+    """Where tables are and how the two engines differ.
+
+    `tasks` > 0 spreads a scanned table over that many tasks before anything is computed on it:
+    for single-file inputs, which are read by one task.
+    """
+
+    def __init__(self, folder: str | None, tasks: int = 0):
+        self.folder, self.tasks = folder, tasks
 
     @property
     def spark(self) -> bool:
         return self.folder is not None
 
     def t(self, table: str) -> str:
-        return f"parquet.`{self.folder}/{table}.parquet`" if self.spark else table
+        if not self.spark:
+            return table
+        scan = f"parquet.`{self.folder}/{table}.parquet`"
+        return f"(select /*+ REPARTITION({self.tasks}) */ * from {scan})" if self.tasks else scan
 
     def money(self, x: str) -> str:
         return f"format_number({x}, 0)" if self.spark else f"format('{{:,}}', {x})"
@@ -285,24 +294,29 @@ RENDERINGS = {
 }
 
 
-# renderings that only project one table: a file that is a single split is spread first
+# renderings that only project one table
 ONE_SCAN = {
-    "order_facts", "report_values", "reports", "facts", "lines", "months", "contents", "personal",
-    "messages", "archive_old", "archive_new", "styled",
+    "order_facts": "orders", "report_values": "orders", "reports": "orders", "facts": "orders",
+    "lines": "orders", "months": "customer", "contents": "customer", "personal": "customer",
+    "messages": "conversations", "archive_old": "documents", "archive_new": "documents",
+    "styled": "events",
 }
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input has fewer files than cores; else as read."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores // 2 else df
+def missing_tasks(df: DataFrame) -> int:
+    """How many tasks to spread an input over: 0 if it has files enough for the cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cores if len(df.inputFiles()) < cores // 2 else 0
 
 
 def frame(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A rendered table as a DataFrame over the parquet tables of `folder`."""
-    df = spark.sql(RENDERINGS[name](Dialect(folder)))
-    return spread(df) if name in ONE_SCAN else df
+    tasks = 0
+    if name in ONE_SCAN:
+        tasks = missing_tasks(spark.read.parquet(f"{folder}/{ONE_SCAN[name]}.parquet"))
+    df = spark.sql(RENDERINGS[name](Dialect(folder, tasks)))
+    # the exchange also keeps filters on rendered text from rendering it a second time
+    return df.repartition(tasks) if tasks else df
 
 
 def expected(name: str) -> str:
@@ -311,5 +325,9 @@ def expected(name: str) -> str:
 
 
 def table(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """A given table; with `columns`, for heavy per-row work, spread over the cores if need be."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(df.select(*columns)) if columns else df
+    if not columns:
+        return df
+    tasks = missing_tasks(df)
+    return df.select(*columns).repartition(tasks) if tasks else df.select(*columns)
