@@ -12,7 +12,7 @@ def read_texts(spark: SparkSession, *paths: str) -> DataFrame:
     """Whole text files under folders and files: path, text; broken bytes are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
     files = files.where(extension(F.col("path")).isin(*X.KIND_BY_EXTENSION["text"]))
-    return files.select("path", F.decode(F.col("content"), "UTF-8").alias("text"))
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def parts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
