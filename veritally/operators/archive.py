@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veritally.functions import fixed as X
-from veritally.functions.text import rx, strip, unix_lines
+from veritally.functions.text import strip, unix_lines
 
 
 # --- tokens and chunks --------------------------------------------------------------

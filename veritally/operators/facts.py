@@ -132,7 +132,6 @@ def fact_pool(cells: DataFrame, default_year: int = 2026) -> DataFrame:
         F.when(F.col("wide"), F.col("label")).otherwise("").alias("row_label"),
         F.when(F.col("wide"), F.coalesce(F.element_at("headers", F.col("col")), F.lit(""))).otherwise("").alias("column_header"),
     ]
-    # a header row stops the pairing of headers and cells at its own width
     flat = data.select(*SHEET, "row", "label", "wide", "headers", F.inline("cells"))
     place = F.struct("source_file", "sheet", "row", "col", F.lit("").alias("name"), F.lit(0).alias("s"))
     location = F.concat("sheet", F.lit("!"), address(F.col("col"), F.col("row")))

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from veritally.functions import fixed as X
-from veritally.functions.text import (
-    base_name, blank, canonical_number, extension, rstrip_chars, rx, strip, unix_lines,
-)
+from veritally.functions.text import blank, extension, rstrip_chars, rx, strip, unix_lines
 from veritally.sources.cells import cell_raw
 
 
