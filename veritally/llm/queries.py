@@ -6,10 +6,23 @@ from pyspark.sql import functions as F
 
 from veritally.llm.common import table
 from veritally.llm.registry import EXPECTED, QUERIES, query  # noqa: F401
+from veritally.llm.jaccard import jaccard_components
+from veritally.llm.packing import best_fit_pack
 from veritally.llm.substring import substring_dedup
+from veritally.llm.tokens import vocabulary
 
 
 @query("op2_substring_dedup")
 def op2(spark, sf_dir):
     out = substring_dedup(table(spark, sf_dir, "documents"), window=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_best_fit_packing")
+def op5(spark, sf_dir):
+    return best_fit_pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096)
+
+
+@query("op10_jaccard_join")
+def op10(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
