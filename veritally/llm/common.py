@@ -17,7 +17,7 @@ def exchange_sizes(spark: SparkSession) -> tuple[int, int]:
     """Groups of documents and buckets of keys. Both follow the session's shuffle partitions,
     which whoever submits sets by the size of the data; results do not depend on them."""
     n = partitions(spark)
-    return 2 * n, 4 * n
+    return 2 * n, n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
