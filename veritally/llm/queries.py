@@ -8,6 +8,7 @@ from veritally.llm.common import table
 from veritally.llm.registry import EXPECTED, QUERIES, query  # noqa: F401
 from veritally.llm.jaccard import jaccard_components
 from veritally.llm.packing import best_fit_pack
+from veritally.llm.quality import quality_verdicts
 from veritally.llm.substring import substring_dedup
 from veritally.llm.tokens import vocabulary
 
@@ -26,3 +27,8 @@ def op5(spark, sf_dir):
 @query("op10_jaccard_join")
 def op10(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+@query("op8_quality_rules")
+def op8(spark, sf_dir):
+    return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
