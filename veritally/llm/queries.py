@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veritally.llm.common import table
 from veritally.llm.registry import EXPECTED, QUERIES, query  # noqa: F401
 from veritally.llm.jaccard import jaccard_components
+from veritally.llm.language import identify
 from veritally.llm.ngram import perplexity_scores
 from veritally.llm.packing import best_fit_pack
 from veritally.llm.quality import quality_verdicts
@@ -38,3 +39,8 @@ def op8(spark, sf_dir):
 @query("op1_ngram_scores")
 def op1(spark, sf_dir):
     return perplexity_scores(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 != 2).drop("perplexity")
+
+
+@query("op9_language_id")
+def op9(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
