@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veritally.llm.common import table
 from veritally.llm.registry import EXPECTED, QUERIES, query  # noqa: F401
+from veritally.llm.decontaminate import contaminated
 from veritally.llm.jaccard import jaccard_components
 from veritally.llm.language import identify
 from veritally.llm.ngram import perplexity_scores
@@ -44,3 +45,8 @@ def op1(spark, sf_dir):
 @query("op9_language_id")
 def op9(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+
+
+@query("op6_decontamination")
+def op6(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
