@@ -9,6 +9,7 @@ from veritally.llm.registry import EXPECTED, QUERIES, query  # noqa: F401
 from veritally.llm.decontaminate import contaminated
 from veritally.llm.jaccard import jaccard_components
 from veritally.llm.language import identify
+from veritally.llm.licenses import license_labels
 from veritally.llm.ngram import perplexity_scores
 from veritally.llm.packing import best_fit_pack
 from veritally.llm.quality import quality_verdicts
@@ -50,3 +51,8 @@ def op9(spark, sf_dir):
 @query("op6_decontamination")
 def op6(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_license_scan")
+def op3(spark, sf_dir):
+    return license_labels(table(spark, sf_dir, "documents")).drop("spans")
