@@ -12,10 +12,13 @@ shingles, and unrelated documents do not meet. Pieces with less than two set bit
 m = k + 1 + x, a document with fewer than m - k such pieces need not send them, as one of the equal
 pieces must be a fuller one; the few documents with more of them send them all.
 
-Groups of copies. Identical sets are one class with one representative. In a group of documents with
-an equal piece, each is first verified against the smallest one; what is then connected needs no
-further test for components, and only pairs from different components are verified in a second
-round. Nothing is capped; a group of thousands of near copies costs thousands of tests.
+Groups of copies. Identical sets are one class with one representative. Every document is first
+verified against the smallest one it shares a piece with; what is then connected needs no further
+test for components. Of the groups of an equal piece that still hold several components, pairs from
+different ones are compared by a short parity sketch, folded from the whole one, whose Hamming
+distance is a lower bound too; the best pair for each document and other component is verified, and
+in a last round all pairs that the bound leaves and that are still apart. Nothing is capped, and
+pairs become rows only if the bound allows a link.
 """
 
 from __future__ import annotations
@@ -158,9 +161,13 @@ def _meet(bucket: pa.Table) -> pa.Table:
     keys, docs = keys[new], docs[new]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     count = np.diff(first, append=len(keys))
-    many = np.repeat(count > 1, count)
-    least = np.repeat(docs[first], count)
-    return pa.table({"key": keys[many].view(np.int64), "doc": docs[many], "least": least[many]})
+    # keys with the same documents are one group, named by a hash of these
+    name = np.add.reduceat(W.mix(docs.view(U) + U(1)), first) if len(first) else keys[:0]
+    _, one = np.unique(name, return_index=True)
+    use = np.zeros(len(first), bool)
+    use[one] = True
+    use = np.repeat(use & (count > 1), count)
+    return pa.table({"key": np.repeat(name, count)[use].view(np.int64), "doc": docs[use], "least": np.repeat(docs[first], count)[use]})
 
 
 def _signatures(k: int):
@@ -173,7 +180,80 @@ def _signatures(k: int):
                 if len(h):
                     first, full = (np.cumsum(n) - n)[n > 0], n > 0
                     one[full], two[full] = np.add.reduceat(W.mix(h), first), np.add.reduceat(W.mix(h ^ U(0x5851F42D4C957F2D)), first)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["doc_id", "n_shingles", "one", "two"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(folded(h, n), pa.binary())], names=["doc_id", "n_shingles", "one", "two", "sketch"])
+
+    return run
+
+
+def folded(h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Parity sketches of two or more bits per shingle, a power of two in all, at least 64."""
+    wide = np.array([max(6, int(2 * x - 1).bit_length()) if x else 6 for x in n.tolist()], np.int64)
+    size = (1 << wide) // 64
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), U)
+    doc = np.repeat(np.arange(len(n)), n)
+    bit = h & ((np.ones(1, U) << wide[doc].astype(U)) - U(1))
+    np.bitwise_xor.at(out, start[doc] + (bit >> U(6)).astype(np.int64), np.ones(1, U) << (bit & U(63)))
+    return [out[a:a + b].tobytes() for a, b in zip(start, size, strict=True)]
+
+
+def _fold(x: np.ndarray, width: int) -> np.ndarray:
+    while x.shape[-1] > width:
+        x = x[..., :x.shape[-1] // 2] ^ x[..., x.shape[-1] // 2:]
+    return x
+
+
+def _may_link(percent: int):
+    """Pairs whose sizes and sketches leave a link possible."""
+    def run(batches):
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            m, n = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
+            for i, (x, y) in enumerate(zip(batch["sketch_a"].to_pylist(), batch["sketch_b"].to_pylist(), strict=True)):
+                width = min(len(x), len(y)) // 8
+                apart = int(np.bitwise_count(_fold(np.frombuffer(x, U), width) ^ _fold(np.frombuffer(y, U), width)).sum())
+                good[i] = apart * (100 + percent) <= (100 - percent) * (m[i] + n[i])
+            good &= (100 * m >= percent * n) & (100 * n >= percent * m)
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(good)), batch["b"].filter(pa.array(good))], names=["a", "b"])
+
+    return run
+
+
+def _across(percent: int, best: bool):
+    """Of each group in a bucket, the pairs of different components that the sketches leave possible;
+    with `best`, only the nearest one for each document and other component."""
+    def compare(ids, part, n, sketches, out):
+        width = min(len(x) for x in sketches) // 8
+        x = np.stack([_fold(np.frombuffer(s, U), width) for s in sketches])
+        step = max(1, (1 << 21) // max(1, len(ids) * width))
+        for lo in range(0, len(ids), step):
+            s = slice(lo, lo + step)
+            apart = np.bitwise_count(x[s, None, :] ^ x[None, :, :]).sum(-1, dtype=np.int64)
+            ok = (part[s, None] != part) & (apart * (100 + percent) <= (100 - percent) * (n[s, None] + n))
+            ok &= (100 * n[s, None] >= percent * n) & (100 * n >= percent * n[s, None])
+            if not best:
+                ok &= ids[s, None] < ids
+            i, j = np.nonzero(ok)
+            if best and len(i):
+                order = np.lexsort((apart[i, j], part[j], i))
+                i, j = i[order], j[order]
+                new = np.r_[True, (i[1:] != i[:-1]) | (part[j][1:] != part[j][:-1])]
+                i, j = i[new], j[new]
+            a, b = ids[s][i], ids[j]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+
+    def run(bucket: pa.Table) -> pa.Table:
+        key = bucket["key"].to_numpy()
+        order = np.argsort(key, kind="stable")
+        ids, part, n = (bucket[c].to_numpy()[order] for c in ("doc", "component", "n"))
+        sketches = bucket["sketch"].take(pa.array(order)).to_pylist()
+        edge = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0, True])
+        out = [np.zeros((2, 0), np.int64)]
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            if b - a > 1:
+                compare(ids[a:b], part[a:b], n[a:b], sketches[a:b], out)
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
 
     return run
 
@@ -230,42 +310,43 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     _, buckets = exchange_sizes(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sizes = docs.mapInArrow(_signatures(k), "doc_id long, n_shingles long, one long, two long")
+    sizes = docs.mapInArrow(_signatures(k), "doc_id long, n_shingles long, one long, two long, sketch binary")
     sizes = staged(sizes, "jaccard-sizes")
     full = sizes.where("n_shingles > 0 and doc_id is not null")
     key = ["n_shingles", "one", "two"]
     classes = full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    copies = staged(full.join(classes, key).where("doc_id <> rep").select(F.col("doc_id").alias("doc"), "rep"), "jaccard-copies")
-
-    shared = staged(docs.mapInArrow(_send(k, percent, buckets), _MESSAGE).groupBy("bucket").applyInArrow(_meet, "key long, doc long, least long"), "jaccard-shared")
+    copies = staged(full.select("doc_id", *key).join(classes, key).where("doc_id <> rep").select(F.col("doc_id").alias("doc"), "rep"), "jaccard-copies")
+    to = copies.groupBy("doc").agg(F.min("rep").alias("_rep"))
 
     def of_class(rows: DataFrame, column: str) -> DataFrame:
-        to = copies.select(F.col("doc").alias(column), F.col("rep").alias("_rep")).distinct()
-        return rows.join(to, column, "left").withColumn(column, F.coalesce("_rep", column)).drop("_rep")
+        return rows.join(to.withColumnRenamed("doc", column), column, "left").withColumn(column, F.coalesce("_rep", column)).drop("_rep")
 
-    count = full.groupBy("doc_id").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
+    shared = docs.mapInArrow(_send(k, percent, buckets), _MESSAGE).groupBy("bucket").applyInArrow(_meet, "key long, doc long, least long").distinct()
+    shared = staged(of_class(of_class(shared, "doc"), "least").distinct(), "jaccard-shared")
+    seen = full.join(shared.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    seen = staged(seen.select("doc_id", F.col("n_shingles").alias("n"), "sketch"), "jaccard-sketches")
 
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs a < b whose sizes allow a link."""
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def possible(pairs: DataFrame, name: str) -> DataFrame:
         for c in "ab":
-            pairs = pairs.join(count.select(F.col("doc_id").alias(c), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}")), c)
-        return pairs.where(f"100 * hi_a >= {percent} * lo_b and 100 * hi_b >= {percent} * lo_a").select("a", "b")
-
-    stars = shared.where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
-    tested = staged(candidates(of_class(of_class(stars, "a"), "b")), "jaccard-stars")
-    first = _linked(tested, docs, k, percent, "jaccard-first")
-    label = components(first, "jaccard-labels")
-
-    nodes = of_class(shared.select("key", "doc"), "doc")
-    nodes = nodes.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = nodes.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    nodes = staged(nodes.join(mixed, "key", "left_semi").distinct(), "jaccard-mixed")
-    a, b = (nodes.select("key", F.col("doc").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
-    rest = a.join(b, "key").where("a < b and c_a <> c_b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    second = _linked(staged(candidates(rest), "jaccard-rest"), docs, k, percent, "jaccard-second")
-
-    links = first.union(second).union(copies.select(F.col("rep").alias("a"), F.col("doc").alias("b")))
+            pairs = pairs.join(seen.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
+        return staged(pairs.mapInArrow(_may_link(percent), "a long, b long").distinct(), name)
+
+    least = shared.where("doc <> least").groupBy("doc").agg(F.min("least").alias("least"))
+    tested = possible(least.select(F.least("doc", "least").alias("a"), F.greatest("doc", "least").alias("b")).distinct(), "jaccard-stars")
+    links = _linked(tested, docs, k, percent, "jaccard-stars")
+
+    for best in (True, False):
+        label = components(links, "jaccard-labels")
+        nodes = shared.select("key", "doc").join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        mixed = nodes.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        nodes = nodes.join(mixed, "key", "left_semi").distinct().join(seen.withColumnRenamed("doc_id", "doc"), "doc")
+        bucket = F.pmod(F.xxhash64("key"), F.lit(4 * buckets)).alias("bucket")
+        pairs = nodes.select(bucket, "key", "doc", "component", "n", "sketch").groupBy("bucket").applyInArrow(_across(percent, best), "a long, b long")
+        pairs = staged(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+        links = links.union(_linked(pairs, docs, k, percent, "jaccard-pairs"))
+        tested = tested.union(pairs)
+
+    links = links.union(copies.select(F.col("rep").alias("a"), F.col("doc").alias("b")))
     final = components(links, "jaccard-components")
     return (sizes.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
