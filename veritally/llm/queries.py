@@ -10,6 +10,7 @@ from veritally.llm.decontaminate import contaminated
 from veritally.llm.jaccard import jaccard_components
 from veritally.llm.language import identify
 from veritally.llm.licenses import license_labels
+from veritally.llm.mainhtml import main_content
 from veritally.llm.ngram import perplexity_scores
 from veritally.llm.packing import best_fit_pack
 from veritally.llm.quality import quality_verdicts
@@ -56,3 +57,8 @@ def op6(spark, sf_dir):
 @query("op3_license_scan")
 def op3(spark, sf_dir):
     return license_labels(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op7_main_text")
+def op7(spark, sf_dir):
+    return main_content(table(spark, sf_dir, "pages"))
