@@ -12,6 +12,7 @@ from veritally.llm.language import identify
 from veritally.llm.licenses import license_labels
 from veritally.llm.mainhtml import main_content
 from veritally.llm.ngram import perplexity_scores
+from veritally.llm.ordering import training_order
 from veritally.llm.packing import best_fit_pack
 from veritally.llm.quality import quality_verdicts
 from veritally.llm.substring import substring_dedup
@@ -62,3 +63,8 @@ def op3(spark, sf_dir):
 @query("op7_main_text")
 def op7(spark, sf_dir):
     return main_content(table(spark, sf_dir, "pages"))
+
+
+@query("op4_training_order")
+def op4(spark, sf_dir):
+    return training_order(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
