@@ -1,8 +1,87 @@
-"""The corpus pipeline; stages are added with their operators."""
+"""The corpus pipeline: language ID, near duplicates, repeated passages, benchmark leaks, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a
+DataFrame; run() writes it as Parquet and reads it again as the next stage's docs. All stages but the
+last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from veritally.llm import decontaminate, jaccard, language, packing, substring
+from veritally.llm.common import staged, table
+from veritally.llm.tokens import vocabulary
+
+#: Below this share of the best language the text counts as none of them; with four languages a
+#: text that says nothing about any has 0.25.
+MIN_LANGUAGE_SCORE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters or text, and those that are like no language of the corpus.
+
+    The classifier learns from the rows that have a language. Rows are otherwise unchanged.
+    """
+    names = docs.columns
+    model = language.fit(docs)
+    known = language.predict(docs, model, F.struct(*names))
+    if not model.languages:  # nothing to learn from: only texts without letters go
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return known.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("id.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group linked by five-word shingles at 0.8.
+
+    Of rows with one id the one with the smallest text hash stays; rows with a null id all stay.
+    """
+    names = docs.columns
+    groups = jaccard.jaccard_components(docs, k=5, percent=80)
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
+    one = kept.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("_h"), *[c for c in names if c != "doc_id"])).alias("row"))
+    return one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"row.{c}").alias(c) for c in names]).unionByName(docs.where("doc_id is null"))
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts words covered by 13-word windows that start in a document with a smaller id too.
+
+    n_chars follows the new text. A document of which nothing is left goes.
+    """
+    names = docs.columns
+    out = substring.substring_dedup(docs, window=13, carry=tuple(c for c in names if c != "text"))
+    out = out.where("n_words = 0 or n_removed < n_words")
+    length = F.when(F.col("n_removed") > 0, F.char_length("cut").cast("long")).otherwise(F.col("carried.n_chars"))
+    value = {"text": F.col("cut"), "n_chars": length}
+    return out.select(*[value.get(c, F.col(f"carried.`{c}`")).alias(c) for c in names])
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a whole or edited benchmark item; rows with a null id stay."""
+    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 4096 tokens; a row per piece."""
+    return packing.best_fit_pack(docs, vocabulary("word_bpe_49k.json"), capacity=4096)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("substring_dedup", cut_repeated_passages),
+    ("decontamination", drop_benchmark_leaks),
+    ("packing", pack),
+]
+
+#: Kernels, exact alignment and packing are beyond SQL; tests/llm compares with plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

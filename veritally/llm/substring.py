@@ -26,7 +26,7 @@ from veritally.llm.common import exchange_sizes
 
 U = np.uint64
 FINGERPRINT_BITS = 48
-OUT = "doc_id long, n_words long, n_removed long, kept string, cut string, spans array<struct<start: long, stop: long>>"
+OUT = "n_words long, n_removed long, kept string, cut string, spans array<struct<start: long, stop: long>>"
 
 
 def _send(h: np.ndarray, bits: int, buckets: int):
@@ -157,12 +157,11 @@ def _answer_windows(bucket: pa.Table) -> pa.Table:
 
 
 def _remove(window: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.large_string()), ("cut", pa.large_string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
-    schema = pa.schema([f.with_type(pa.string()) if f.type == pa.large_string() else f for f in schema])
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def remove(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return schema.empty_table()
+        if not docs.num_rows:  # answers go to groups that have documents, so this is an empty table
+            return pa.table({"carried": docs["carried"], **{k: pa.array([], t) for k, t in (("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("cut", pa.string()), ("spans", spans_type))}})
         ids = W.ids_of(docs["doc_id"])
         w = W.words(docs["text"], spans=True)
         h, at = W.grams(w, window)
@@ -194,12 +193,12 @@ def _remove(window: int):
             spans.append([{"start": int(a), "stop": int(b)} for a, b in turn.reshape(-1, 2)])
             turn = np.flatnonzero(np.diff(np.r_[False, ~g, False])).reshape(-1, 2)
             cut.append(b" ".join(raw[w.start[s][a]:w.end[s][b - 1]] for a, b in turn).decode())
-        return pa.table([pa.array(docs["doc_id"].to_pylist(), pa.int64()), pa.array(w.n), pa.array(lost), pa.array(kept, pa.string()), pa.array(cut, pa.string()), pa.array(spans, schema.field("spans").type)], schema=schema)
+        return pa.table({"carried": docs["carried"], "n_words": w.n, "n_removed": lost, "kept": pa.array(kept, pa.string()), "cut": pa.array(cut, pa.string()), "spans": pa.array(spans, spans_type)})
 
     return remove
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Marks every word that a repeated window covers.
 
     A window is `window` consecutive words (runs without white space 0x09-0x0D, 0x20) of one
@@ -207,12 +206,14 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     Returns doc_id, n_words, n_removed, kept (the words left, joined by one space), cut (the text
     without the removed ranges, kept ranges as they were) and spans (maximal removed word ranges).
     Null text: no words, kept empty, cut null. Null id: counts as larger than any id and comes back
-    null. Rows with one id repeat nothing of each other. Empty table: empty result. Columns other
-    than the two named ones are not read.
+    null. Rows with one id repeat nothing of each other. Empty table: empty result. Columns of `carry`
+    come back as the struct `carried`; others are not read.
     """
     block = (window + 1) // 2
     groups, buckets = exchange_sizes(docs.sparkSession)
+    carried = F.struct(F.col(id_col).cast("long").alias("_id"), *carry).alias("carried")
     dealt = docs.select(
+        carried,
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
         F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(17)), F.lit(groups)).cast("int").alias("grp"))
     message, answer = "bucket int, grp int, a binary, b binary, c binary, d binary", "grp int, a binary, b binary"
@@ -220,4 +221,5 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     hits = by_group.applyInArrow(_blocks(block, buckets), message).groupBy("bucket").applyInArrow(_answer_blocks, answer)
     repeats = (by_group.cogroup(hits.groupBy("grp")).applyInArrow(_windows(block, window, buckets), message)
                .groupBy("bucket").applyInArrow(_answer_windows, answer))
-    return by_group.cogroup(repeats.groupBy("grp")).applyInArrow(_remove(window), OUT)
+    out = by_group.cogroup(repeats.groupBy("grp")).applyInArrow(_remove(window), f"carried {dealt.schema['carried'].dataType.simpleString()}, {OUT}")
+    return out.withColumn("doc_id", F.col("carried._id"))
