@@ -186,7 +186,7 @@ def _costs(b: Block, any_inside: bool) -> tuple[float, float]:
     """Cost as boilerplate (capacity from the source) and as content (capacity to the sink)."""
     size = len(b.text)
     density = min(1.0, b.link / max(1, size))
-    z = 0.4 * math.log1p(size / 20) + (0.6 if b.text[-1:] in ".!?:;…。" else 0.0) - 4.0 * density - 4.0 * min(b.noise, 2) + 0.5 * min(b.good, 2)
+    z = 0.4 * math.log1p(size / 20) + (0.6 if b.text[-1:] in ".!?:;…。" else 0.0) - 4.0 * density - 8.0 * min(b.noise, 2) + 0.5 * min(b.good, 2)
     if b.tag in ("p", "blockquote", "pre", "figcaption") or b.tag in HEADING:
         z += 1.0
     if any_inside:
