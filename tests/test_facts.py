@@ -77,3 +77,12 @@ def test_cell_addresses(spark):
     df = spark.createDataFrame([(1,), (26,), (27,), (52,), (702,), (703,), (16384,)], "c int")
     got = [r[0] for r in df.select(C.column_letters(F.col("c"))).collect()]
     assert got == ["A", "Z", "AA", "AZ", "ZZ", "AAA", "XFD"]
+
+
+def test_large_and_small_totals_keep_their_digits(spark):
+    rows = [("f", s, r, c, k, Decimal(v) if k == "num" else None, None, v if k == "str" else None)
+            for s, a, b in (("big", "1000000000000000000000", "1500000000000000000000"), ("small", "0.00001", "0.00003"))
+            for r, c, k, v in ((1, 1, "str", "이름"), (1, 2, "str", "a"), (1, 3, "str", "b"), (2, 1, "str", "x"), (2, 2, "num", a), (2, 3, "num", b))]
+    data = P.data_rows(spark.createDataFrame(rows, SCHEMA))
+    assert {r["sheet"]: r["normalized"] for r in P.growth_rates(data, "a", "b").collect()} == {"big": "50", "small": "200"}
+    assert {r["sheet"]: r["normalized"] for r in P.column_averages(data, "b").collect()} == {"big": "1500000000000000000000", "small": "0"}

@@ -64,3 +64,11 @@ def test_partitioning_does_not_change_results(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(GOLDEN)], "doc_id long, text string")
     key = lambda d: sorted(map(tuple, M.extract_all(d, ["doc_id"]).collect()))
     assert key(df.repartition(1)) == key(df.repartition(7, "text"))
+
+
+def test_rows_with_one_id_do_not_mix(spark):
+    docs = spark.createDataFrame([(1, "가나 100원"), (1, "긴 앞머리가 있는 글 2026-09-07, 값 200원")], "id int, text string")
+    got = {(r["raw"], r["s"], r["e"], r["context"]) for r in M.extract_all(docs, ["id"]).collect()}
+    assert ("100원", 3, 7, "가나") in got
+    text = "긴 앞머리가 있는 글 2026-09-07, 값 200원"
+    assert {(r, s, e) for r, s, e, _ in got} == {("100원", 3, 7), ("2026-09-07", text.index("2026"), text.index(",")), ("200원", text.index("200"), len(text))}

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from veritally.sources import parts as S
 from veritally.sources import cells as C
 from veritally.sources.stage import staged
@@ -57,3 +59,42 @@ def test_staged_tables_go_to_the_shared_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert not named or shared_folder(spark) == named.rstrip("/")
     assert all(shared_folder(spark).removeprefix("file:") in f for f in kept.inputFiles())
+
+
+def test_numbers_keep_all_their_digits(spark):
+    from decimal import Decimal
+
+    from veritally.sources.cells import cell_raw, unpivot_cells
+
+    rows = [(1, Decimal("0.000000000001"), 1e-12, Decimal("1234567890123456789012345678901234567890"[:38])), (2, Decimal("5.500000000000"), 2.5, Decimal(7)), (3, None, 1e30, None)]
+    wide = spark.createDataFrame(rows, "row int, a decimal(20,12), b double, c decimal(38,0)")
+    cells = unpivot_cells(wide, F.lit("f"), F.lit("s"), F.col("row"), ["a", "b", "c"])
+    got = {(r["row"], r["col"]): (r["kind"], r["t"]) for r in cells.withColumn("t", cell_raw()).collect()}
+    assert got == {
+        (1, 1): ("num", "0.000000000001"), (1, 2): ("num", "0.000000000001"), (1, 3): ("num", "12345678901234567890123456789012345678"),
+        (2, 1): ("num", "5.5"), (2, 2): ("num", "2.5"), (2, 3): ("num", "7"), (3, 2): ("num", "1" + "0" * 30)}
+
+
+def test_sheet_that_starts_late_keeps_its_note(spark):
+    from veritally.sources.cells import sheet_text
+
+    schema = "source_file string, sheet string, row int, col int, kind string, v_num decimal(38,10), v_date date, v_str string"
+    cells = spark.createDataFrame([("f", "late", 501, 1, "str", None, None, "x"), ("f", "both", 1, 1, "str", None, None, "a"), ("f", "both", 502, 1, "str", None, None, "b"), ("f", "blank", 3, 1, "str", None, None, "  ")], schema)
+    assert {r["sheet"]: r["text"] for r in sheet_text(cells).collect()} == {"late": "… (이하 1행 생략)", "both": "a\n… (이하 2행 생략)"}
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    import pytest
+
+    from veritally.sources.stage import shared_folder
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        shared_folder(Session)

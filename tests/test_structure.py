@@ -80,3 +80,16 @@ def test_edits(spark):
     assert out == PARAS and log.reason == "교체 범위 안에 표가 있어 덮어쓰지 않았습니다"
     assert edit(spark, "s4", "append", "x")[1].reason.startswith("표 구간")
     assert edit(spark, "s99", "append", "x")[1].reason == "구간 s99이(가) 없습니다"
+
+
+def test_two_edits_of_one_document(spark):
+    p = paras(spark)
+    rows = [(1, "s5", "replace_body", "새 내용"), (1, "s7", "replace_body", "본문"), (1, "s5", "append", "겹침")]
+    e = spark.createDataFrame(rows, "doc_id long, section_id string, mode string, text string")
+    out, log = O.apply_edits(p, O.outline(p), e)
+    assert [r.text for r in out.orderBy("para").collect()] == PARAS[:6] + ["새 내용"] + PARAS[7:] + ["본문"]
+    log = {(r.section_id, r["mode"]): r for r in log.collect()}
+    assert log["s5", "replace_body"].before == "내용" and log["s7", "replace_body"].before == ""
+    assert log["s5", "append"].reason == "앞의 수정과 범위가 겹칩니다"
+    back, _ = O.revert_edits(out, O.outline(out), spark.createDataFrame(list(log.values())))
+    assert [r.text for r in back.orderBy("para").collect()][:7] == PARAS[:7]

@@ -92,6 +92,35 @@ def canonical_number(number: Column) -> Column:
     return F.rtrim(text, F.lit("."))
 
 
+def plain_digits(number: Column) -> Column:
+    """A number written as text, also with an exponent, in canonical form with all its digits.
+
+    The point is moved in the text; names of no number (NaN, Infinity) stay as they are.
+    """
+    shape = r"^-?([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?$"
+
+    # the lambdas name what is used more than once, so it is neither computed nor generated again
+    def moved(x: Column) -> Column:
+        digits, point = x["digits"], x["point"]  # the point stands after so many digits
+        left = F.when(point > 0, F.rpad(F.substring(digits, F.lit(1), point), point, F.lit("0"))).otherwise("0")
+        right = F.when(point >= 0, F.substring(digits, point + 1, F.length(digits))).otherwise(
+            F.concat(F.repeat(F.lit("0"), -point), digits))
+        both = F.concat(F.regexp_replace(left, r"^0+(?=[0-9])", ""), F.lit("."), F.rtrim(right, F.lit("0")))
+        return F.rtrim(both, F.lit("."))
+
+    def signed(x: Column) -> Column:
+        return F.when(x["minus"] & (x["size"] != "0"), F.concat(F.lit("-"), x["size"])).otherwise(x["size"])
+
+    def parts(n: Column) -> Column:
+        part = lambda i: F.regexp_extract(n, shape, i)
+        point = F.length(part(1)) + F.coalesce(part(3).try_cast("int"), F.lit(0))
+        size = F.transform(F.array(F.struct(F.concat(part(1), part(2)).alias("digits"), point.alias("point"))), moved)[0]
+        value = F.transform(F.array(F.struct(F.startswith(n, F.lit("-")).alias("minus"), size.alias("size"))), signed)[0]
+        return F.when(n.rlike(shape) & n.rlike("[0-9]"), value).otherwise(n)
+
+    return F.transform(F.array(number), parts)[0]
+
+
 def column_letters(col: Column) -> Column:
     """1 -> A, 27 -> AA, 703 -> AAA (three letters is the most a sheet has)."""
     zero = col - 1

@@ -106,7 +106,7 @@ def column_sums(data: DataFrame) -> DataFrame:
 
 def column_averages(data: DataFrame, column: str) -> DataFrame:
     totals = column_totals(data).where(F.col("name") == column)
-    mean = F.bround(F.col("total").cast("decimal(28,6)") / F.col("n_rows").cast("decimal(18,0)"), 2)
+    mean = F.bround(F.try_divide("total", F.col("n_rows").cast("decimal(10,0)")), 2)
     return totals.select(*SHEET, canonical_number(mean).alias("normalized"),
                          F.lit(f"{column} {X.AVERAGE_SUFFIX}").alias("raw"),
                          F.concat("sheet", F.lit(f"!{column}({X.AVERAGE_SUFFIX})")).alias("location"))
@@ -114,11 +114,13 @@ def column_averages(data: DataFrame, column: str) -> DataFrame:
 
 def growth_rates(data: DataFrame, before: str, after: str) -> DataFrame:
     """(after - before) / before in percent, two decimals half-even; nothing if before sums to 0."""
-    pick = lambda name: F.max(F.when(F.col("name") == name, F.col("total"))).cast("decimal(24,4)")
+    pick = lambda name: F.max(F.when(F.col("name") == name, F.col("total")))
     both = column_totals(data).where(F.col("name").isin(before, after)).groupBy(*SHEET).agg(
         pick(before).alias("a"), pick(after).alias("b")
     ).where("a is not null and b is not null and a <> 0")
-    rate = F.bround((F.col("b") - F.col("a")) / F.col("a") * 100, 2)
+    # b / a - 1 keeps more digits than (b - a) / a in 38 of them; an overflow gives no row
+    ratio = F.try_divide("b", "a").cast("decimal(38,12)")
+    rate = F.bround((ratio - 1).cast("decimal(36,12)") * 100, 2)
     return both.select(*SHEET, canonical_number(rate).alias("normalized"),
                        F.lit(f"{before}→{after} {X.GROWTH_SUFFIX}").alias("raw"),
                        F.concat("sheet", F.lit(f"!{before}->{after}({X.GROWTH_SUFFIX})")).alias("location"))

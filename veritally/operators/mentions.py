@@ -16,6 +16,7 @@ from veritally.functions import fixed as X
 from veritally.functions.text import ascii_digits, canonical_decimal, rx, strip
 
 OPEN, CLOSE, CUT = "\u0001", "\u0002", "\u0003"
+ROW = "_row"
 
 Kind = namedtuple("Kind", "code name type pattern literal")
 # code orders the output: amounts, dates, times, phones, years; 90+ only exclude.
@@ -150,10 +151,14 @@ def _toc_hits(text: Column) -> Column:
 
 def _spans(docs: DataFrame, ids: list[str], text: str, kinds: list[Kind], toc: bool,
            with_context: bool) -> DataFrame:
-    """One row per hit with code, raw, s, e, context; partitioned by document."""
-    source = docs.select(*ids, safe_text(F.col(text)).alias("_text")).where(
-        F.col("_text").rlike(rx(r"\d"))
-    )
+    """One row per hit with code, raw, s, e, context; partitioned by document.
+
+    `_row` tells rows with the same ids apart: gaps of one must not count in the other.
+    """
+    source = docs.select(
+        *ids, safe_text(F.col(text)).alias("_text"), F.monotonically_increasing_id().alias(ROW)
+    ).where(F.col("_text").rlike(rx(r"\d")))
+    ids = [*ids, ROW]
     marked = F.array(*[
         F.struct(F.lit(k.code).alias("code"), _marked(F.col("_text"), k).alias("text")) for k in kinds
     ])
@@ -282,7 +287,7 @@ def extract(docs: DataFrame, ids: list[str], text: str = "text", default_year: i
     kinds = [k for k in KINDS if k.type in types or (k.code == COLON_CODE and "time" in types)]
     spans = _spans(docs, ids, text, kinds, toc=False, with_context=context)
     if "time" in types:
-        spans = _drop_times_inside_colon_digits(spans, ids)
+        spans = _drop_times_inside_colon_digits(spans, [*ids, ROW])
     return _finish(spans, ids, default_year)
 
 
@@ -291,12 +296,13 @@ def extract_all(docs: DataFrame, ids: list[str], text: str = "text",
     """All mentions: amounts that touch a date, time, phone, year, year marker, list marker
     or contents line are dropped, then month runs are dropped."""
     spans = _spans(docs, ids, text, KINDS, toc=True, with_context=True)
+    ids = [*ids, ROW]
     spans = _drop_times_inside_colon_digits(spans, ids)
     spans = touched_by(spans, ids, F.col("code") > 0)
     kept = spans.where((F.col("code") < 90) & ~((F.col("code") == 0) & F.col("_hit"))).drop("_hit")
     values = _finish(kept, ids, default_year, keep_code=True)
     values = month_runs(values, ids, F.col("code") == 0)
-    return values.where(~F.col("in_month_run")).drop("in_month_run", "code")
+    return values.where(~F.col("in_month_run")).drop("in_month_run", "code", ROW)
 
 
 def _finish(spans: DataFrame, ids: list[str], default_year: int, keep_code: bool = False) -> DataFrame:

@@ -149,9 +149,10 @@ def common_indent(lines: DataFrame, keys: list[str], text: str = "text") -> Data
 
 def apply_edits(paras: DataFrame, sections: DataFrame, edits: DataFrame,
                 doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Applies at most one edit per document: edits(doc, section_id, mode, text).
+    """Applies edits(doc, section_id, mode, text), any number per document.
 
-    Returns (paragraphs renumbered, log with applied, reason, before, after).
+    An edit whose paragraphs meet those of an earlier one of its document (by place, then section,
+    mode and text) is refused (replacements go first). Returns (paragraphs renumbered, log with applied, reason, before, after).
     """
     lines = F.split(F.regexp_replace(unix_lines(F.col("new_text")), "\r+(?=\n|\\z)", ""), "\n")
     asked = edits.select(doc, "section_id", "mode", F.col("text").alias("new_text")).join(
@@ -162,19 +163,25 @@ def apply_edits(paras: DataFrame, sections: DataFrame, edits: DataFrame,
     asked = asked.withColumn(
         "_b0", F.when(F.col("mode").isin("replace", "replace_body"), F.col("_from")).when(F.col("mode") == "append", F.col("body_start")))
 
+    turn = Window.partitionBy(doc).orderBy(F.coalesce("_from", "_end"), F.col("_from").isNull(), "_end", "section_id", "mode", "new_text")
+    asked = asked.withColumn("_edit", F.row_number().over(turn))
+    before = Window.partitionBy(doc).orderBy("_edit").rowsBetween(Window.unboundedPreceding, -1)
+    asked = asked.withColumn("_overlap", F.coalesce(F.coalesce("_from", "_end") <= F.max("_end").over(before), F.lit(False)))
+
     # what each edit covers: its old text, its indent and whether a table is in the way
-    keyed = paras.join(asked.select(doc, "_b0", "_end", "mode"), doc)
+    keyed = paras.join(asked.select(doc, "_edit", "_b0", "_end", "mode"), doc)
     covered = keyed.where(F.col("para").between(F.col("_b0"), F.col("_end")))
-    facts = covered.groupBy(doc).agg(
+    facts = covered.groupBy(doc, "_edit").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "text"))), lambda x: x["text"]), "\n").alias("before"),
         F.max(F.col("is_table") & F.col("mode").isin("replace", "replace_body")).alias("_table"))
-    asked = asked.join(facts, doc, "left").join(common_indent(covered, [doc]), doc, "left")
+    asked = asked.join(facts, [doc, "_edit"], "left").join(common_indent(covered, [doc, "_edit"]), [doc, "_edit"], "left")
     reason = (
         F.when(~F.col("mode").isin(*X.EDIT_MODES), F.concat(F.lit("알 수 없는 mode: "), "mode"))
         .when(F.col("para").isNull(), F.concat(F.lit("구간 "), "section_id", F.lit("이(가) 없습니다")))
         .when(F.col("kind") == "table", "표 구간은 이 부품으로 쓸 수 없습니다(표 도구를 쓰세요)")
         .when(~F.exists("_lines", lambda l: strip(l) != ""), "쓸 내용이 비어 있습니다")
         .when(F.col("_table"), "교체 범위 안에 표가 있어 덮어쓰지 않았습니다")
+        .when(F.col("_overlap"), "앞의 수정과 범위가 겹칩니다")
     )
     keep = F.coalesce(F.when(F.col("mode").isin("replace_body", "append"), F.col("indent")), F.lit(""))
     own = lambda l: (strip(l) == "") | F.substring(l, 1, 1).isin(*X.INDENT_CHARS)
@@ -190,9 +197,8 @@ def apply_edits(paras: DataFrame, sections: DataFrame, edits: DataFrame,
 
     good = asked.where("applied")
     gone = good.where("_from is not null").select(doc, F.col("_from"), F.col("_end"))
-    kept = paras.join(gone, doc, "left").where(
-        F.col("_from").isNull() | ~F.col("para").between(F.col("_from"), F.col("_end"))
-    ).select(doc, F.col("para").alias("_at"), F.lit(0).alias("_k"), "text", "is_table")
+    kept = paras.alias("p").join(gone.alias("g"), (F.col(f"p.{doc}") == F.col(f"g.{doc}")) & F.col("p.para").between(F.col("g._from"), F.col("g._end")), "left_anti")
+    kept = kept.select(doc, F.col("para").alias("_at"), F.lit(0).alias("_k"), "text", "is_table")
     # new lines stand where the old ones were, or after the heading or the section's end
     at = F.when(F.col("_from").isNotNull(), F.col("_from")).when(F.col("mode") == "replace_body", F.col("para")).otherwise(F.col("_end"))
     new = good.select(doc, at.alias("_at"), F.posexplode("_lines").alias("_k", "text")).select(

@@ -154,8 +154,10 @@ def verify(reports: DataFrame, pool: DataFrame, ignored: DataFrame, groups: Data
     wrong = M.weekday_check(reports, ["case_id", "doc_id"]).where("issue = 'mismatch'")
     wrong = wrong.groupBy("case_id").agg(F.count("*").alias("weekday_errors"))
     counts = [c for c in per_case.columns if c != "case_id"]
-    return per_case.join(wrong, "case_id", "left").join(groups, "case_id").groupBy(group).agg(
-        *[F.sum(c).alias(c) for c in counts],
+    # a case without values, or with ignored ones only, still counts with zeros and its weekdays
+    cases = reports.select("case_id").distinct()
+    return cases.join(per_case, "case_id", "left").join(wrong, "case_id", "left").join(groups, "case_id").groupBy(group).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts],
         F.coalesce(F.sum("weekday_errors"), F.lit(0)).alias("weekday_errors"),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from veritally.functions import fixed as X
-from veritally.functions.text import canonical_number, column_letters, strip
+from veritally.functions.text import canonical_number, column_letters, plain_digits, strip
 
 CELL_COLUMNS = ["source_file", "sheet", "row", "col", "kind", "v_num", "v_date", "v_str"]
 
@@ -14,7 +14,7 @@ def cell_raw(c: Column | None = None) -> Column:
     """The cell as text: canonical number, ISO date or the string itself."""
     get = (lambda name: F.col(name)) if c is None else (lambda name: c[name])
     return (
-        F.when(get("kind") == "num", canonical_number(get("v_num")))
+        F.when(get("kind") == "num", F.coalesce(get("v_str"), canonical_number(get("v_num"))))
         .when(get("kind") == "date", get("v_date").cast("string"))
         .otherwise(get("v_str"))
     )
@@ -26,7 +26,11 @@ def address(col: Column, row: Column) -> Column:
 
 def unpivot_cells(wide: DataFrame, source_file: Column, sheet: Column, row: Column,
                   columns: list[str]) -> DataFrame:
-    """Wide typed rows to long cells, one map-only pass; NULL cells are not emitted."""
+    """Wide typed rows to long cells, one map-only pass; NULL cells are not emitted.
+
+    v_num is what sums are made of. A number that does not fit there with all its digits keeps
+    them in v_str, which is what is shown and compared; v_num is then rounded, or NULL.
+    """
     kinds = {f.name: f.dataType for f in wide.schema.fields}
 
     def cell(i: int, name: str) -> Column:
@@ -35,11 +39,16 @@ def unpivot_cells(wide: DataFrame, source_file: Column, sheet: Column, row: Colu
         date = isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType))
         kind = "num" if number else "date" if date else "bool" if isinstance(t, T.BooleanType) else "str"
         exact = c.cast("string") if isinstance(t, (T.DoubleType, T.FloatType)) else c
+        value = exact.try_cast("decimal(38,10)") if number else F.lit(None).cast("decimal(38,10)")
+        text = F.lit(None).cast("string")
+        if kind in ("str", "bool"):
+            text = c.cast("string")
+        elif number and not (isinstance(t, T.IntegralType) or isinstance(t, T.DecimalType) and t.scale <= 10 and t.precision - t.scale <= 28):
+            plain = plain_digits(c.cast("string"))
+            text = F.when(~plain.eqNullSafe(canonical_number(value)), plain)
         return F.struct(
-            F.lit(i).alias("col"), F.lit(kind).alias("kind"),
-            (exact.try_cast("decimal(38,10)") if number else F.lit(None).cast("decimal(38,10)")).alias("v_num"),
-            (c.cast("date") if date else F.lit(None).cast("date")).alias("v_date"),
-            (c.cast("string") if kind in ("str", "bool") else F.lit(None).cast("string")).alias("v_str"),
+            F.lit(i).alias("col"), F.lit(kind).alias("kind"), value.alias("v_num"),
+            (c.cast("date") if date else F.lit(None).cast("date")).alias("v_date"), text.alias("v_str"),
             c.isNotNull().alias("filled"),
         )
 
@@ -73,11 +82,12 @@ def sheet_text(cells: DataFrame, limit: int = X.SHEET_ROW_LIMIT) -> DataFrame:
     )
     note = F.when(
         F.col("last_row") > limit,
-        F.concat(F.lit("\n… (이하 "), (F.col("last_row") - limit).cast("string"), F.lit("행 생략)")),
-    ).otherwise("")
-    return text.join(last, ["source_file", "sheet"]).select(
-        "source_file", "sheet", F.concat("text", note).alias("text")
+        F.concat(F.lit("… (이하 "), (F.col("last_row") - limit).cast("string"), F.lit("행 생략)")),
     )
+    # a sheet whose first rows are all blank still has its note
+    return last.join(text, ["source_file", "sheet"], "left").select(
+        "source_file", "sheet", F.concat_ws("\n", "text", note).alias("text")
+    ).where("text <> ''")
 
 
 def preview_rows(cells: DataFrame) -> DataFrame:
