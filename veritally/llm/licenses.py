@@ -100,7 +100,7 @@ def license_labels(docs: DataFrame, k: int = 3, drift: int = 2, share: float = 0
     Words are runs of ASCII letters and digits (A-Z in lower case) and of characters beyond ASCII.
     Returns a row per row: doc_id, n_words, n_base (places of all phrases), first_word and last_word
     (smallest and largest start, null if none), base_labels and labels (sorted, comma-joined, empty
-    if none), score (1 with a phrase, else the best verified share of a template, else 0) and spans
+    if none; templates of fewer than 15 words must be there whole, longer ones to `share`), score (1 with a phrase, else the best verified share of a template, else 0) and spans
     (verified template copies). Templates of fewer than k words are not used. Null text: no words. Rows
     with one id share the labels found in any of them. Empty table: empty result. Extra columns are
     not read.
@@ -119,7 +119,8 @@ def license_labels(docs: DataFrame, k: int = 3, drift: int = 2, share: float = 0
     spans = voted.groupBy("doc_id", "template", "label", "size", "span").agg(
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), F.min("lo").alias("start"), (F.max("hi") + k).alias("stop"))
     covered = F.aggregate(F.transform("places", lambda p, i: F.least(F.lit(k), F.coalesce(F.get("places", i + 1) - p, F.lit(k)))), F.lit(0), lambda acc, x: acc + x)
-    spans = spans.withColumn("share", covered / F.col("size")).where(F.col("share") >= share)
+    # a word more or less makes another license of a short wording, so these must be there whole
+    spans = spans.withColumn("share", covered / F.col("size")).where(F.col("share") >= F.when(F.col("size") < 15, 1.0).otherwise(share))
     found = spans.groupBy("doc_id").agg(
         F.collect_set("label").alias("found"), F.max("share").alias("best"),
         F.sort_array(F.collect_list(F.struct("start", "stop", "label", "share"))).alias("spans"))
