@@ -27,7 +27,7 @@ def test_heading_levels(spark):
     assert {r.t: r.l for r in df.select("t", U.heading_level(F.col("t")).alias("l")).collect()} == want
 
 
-PARAS = ["표지", "Ⅰ\r\n\r\n관리 개요\r\n", "1. 배경", " 본문", "값\n1\n2", "가. 세부", "내용", "2. 계획"]
+PARAS = ["겉장", "Ⅱ\r\n\r\n수리 기록\r\n", "1. 지붕", " 기와 넉 장", "폭\n30\n40", "가. 물받이", "새는 곳 없음", "2. 다음 달"]
 
 
 def paras(spark, texts=PARAS, tables=(1, 4)):
@@ -38,13 +38,13 @@ def test_outline_with_tables_and_title_box(spark):
     got = [(r.section_id, r.kind, r.level, r.title, r.body_start, r.body_end, r.table_index)
            for r in O.outline(paras(spark)).orderBy("para").collect()]
     assert got == [
-        ("s1", "heading", 0, "Ⅰ. 관리 개요", 2, 7, 0), ("s2", "heading", 1, "1. 배경", 3, 6, None),
-        ("s4", "table", None, "[표] 값 | 1 | 2", None, None, 1), ("s5", "heading", 2, "가. 세부", 6, 6, None),
-        ("s7", "heading", 1, "2. 계획", None, None, None)]
+        ("s1", "heading", 0, "Ⅱ. 수리 기록", 2, 7, 0), ("s2", "heading", 1, "1. 지붕", 3, 6, None),
+        ("s4", "table", None, "[표] 폭 | 30 | 40", None, None, 1), ("s5", "heading", 2, "가. 물받이", 6, 6, None),
+        ("s7", "heading", 1, "2. 다음 달", None, None, None)]
 
 
 def test_outline_without_headings(spark):
-    got = [(r.section_id, r.kind, r.body_start) for r in O.outline(paras(spark, ["하나", " ", "둘"], ())).orderBy("para").collect()]
+    got = [(r.section_id, r.kind, r.body_start) for r in O.outline(paras(spark, ["첫 줄", "\t", "끝 줄"], ())).orderBy("para").collect()]
     assert got == [("s0", "paragraph", None), ("s2", "paragraph", None)]
 
 
@@ -58,7 +58,7 @@ def test_read_section(spark):
     p = paras(spark)
     wanted = spark.createDataFrame([(1, "s5"), (1, "s9")], "doc_id long, section_id string")
     got = {r.section_id: (r.title, r.body, r.error) for r in O.read_section(p, O.outline(p), wanted).collect()}
-    assert got["s5"] == ("가. 세부", "내용", None)
+    assert got["s5"] == ("가. 물받이", "새는 곳 없음", None)
     assert got["s9"][2] == "구간 s9이(가) 없습니다"
 
 
@@ -71,7 +71,7 @@ def edit(spark, section, mode, text):
 
 def test_edits(spark):
     out, log = edit(spark, "s5", "replace_body", "새 내용\n둘")
-    assert out == PARAS[:6] + ["새 내용", "둘"] + PARAS[7:] and log.before == "내용"
+    assert out == PARAS[:6] + ["새 내용", "둘"] + PARAS[7:] and log.before == "새는 곳 없음"
     out, log = edit(spark, "s7", "replace_body", "본문")
     assert out == PARAS + ["본문"] and log.before == ""
     out, _ = edit(spark, "s5", "append", "덧붙임")
@@ -89,7 +89,7 @@ def test_two_edits_of_one_document(spark):
     out, log = O.apply_edits(p, O.outline(p), e)
     assert [r.text for r in out.orderBy("para").collect()] == PARAS[:6] + ["새 내용"] + PARAS[7:] + ["본문"]
     log = {(r.section_id, r["mode"]): r for r in log.collect()}
-    assert log["s5", "replace_body"].before == "내용" and log["s7", "replace_body"].before == ""
+    assert log["s5", "replace_body"].before == "새는 곳 없음" and log["s7", "replace_body"].before == ""
     assert log["s5", "append"].reason == "앞의 수정과 범위가 겹칩니다"
     back, _ = O.revert_edits(out, O.outline(out), spark.createDataFrame(list(log.values())))
     assert [r.text for r in back.orderBy("para").collect()][:7] == PARAS[:7]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,9 +103,6 @@ def archive_stats(docs: DataFrame, chunk_rows: DataFrame) -> DataFrame:
     return a.unionByName(b).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("docs", "failed", "chunks")])
 
 
-BROADCAST_TERMS = 200_000  # query-term rows: a few megabytes at most
-
-
 # --- ranked search --------------------------------------------------------------------
 def in_scope(chunk_rows: DataFrame, year: int | None = None, name_contains: str | None = None) -> DataFrame:
     """Filters stay below the statistics, which count only what they let through."""
@@ -130,23 +126,23 @@ def bm25(chunk_rows: DataFrame, queries: DataFrame, ids: list[str], query_id: st
     Chunk rows: ids, tokens, length; queries: query_id, text.  Only terms that some query has are
     exploded into postings, and only they are shuffled, once, by chunk: counting a term, scoring a
     chunk and the rank filter that keeps k rows per query and task all happen where a chunk is.
-    The weighted query terms are broadcast while the query batch is small, else joined by term.
+    Whether the query terms are broadcast is left to the sizes that Spark sees. Chunk rows are read
+    three times (totals, frequencies, hits), so they should be a stored table.
     """
     terms = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    small = terms.count() <= BROADCAST_TERMS
     wanted = terms.select("term").distinct()
     totals = chunk_rows.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
     occurrences = chunk_rows.select(*ids, "length", F.explode("tokens").alias("term")).join(
-        F.broadcast(wanted) if small else wanted, "term", "left_semi")
+        wanted, "term", "left_semi")
     postings = occurrences.repartition(*ids).groupBy(*ids, "term").agg(
         F.count("*").alias("tf"), F.first("length").alias("length"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # the one row of corpus totals meets the terms of the queries, never the postings
-    weights = df.withColumn("_all", F.lit(1)).join(totals.withColumn("_all", F.lit(1)), "_all").select(
+    weights = df.crossJoin(F.broadcast(totals)).select(
         "term", idf.alias("idf"), F.greatest(F.coalesce("avgdl", F.lit(0.0)), F.lit(1e-9)).alias("avgdl"))
     weighted = terms.join(weights, "term")
-    hits = postings.join(F.broadcast(weighted) if small else weighted, "term")
+    hits = postings.join(weighted, "term")
     part = F.col("idf") * F.col("tf") * (X.BM25_K1 + 1) / (
         F.col("tf") + X.BM25_K1 * (1 - X.BM25_B + X.BM25_B * F.col("length") / F.col("avgdl")))
     scores = hits.select(query_id, *ids, part.alias("part")).groupBy(query_id, *ids).agg(F.sum("part").alias("score"))
@@ -160,53 +156,58 @@ def format_results(hits: DataFrame) -> Column:
 
 
 # --- vector search --------------------------------------------------------------------
-QUERY_BLOCK = 1024
+VECTOR_BLOCK, QUERY_BLOCK = 4096, 1024
+
+
+def _blocks(keys: str, vec: str, size: int):
+    """Vectors of a partition as rows of at most `size` keys and one matrix of unit vectors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), size):
+                part = batch.iloc[lo:lo + size]
+                matrix = np.vstack(part[vec].to_numpy()).astype("float64")
+                matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+                yield pd.DataFrame({"keys": [part[keys].to_numpy()], "matrix": [matrix.tobytes()]})
+
+    return run
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vec: str = "embedding",
                 query_id: str = "query_id", k: int = X.SEARCH_TOP_K) -> DataFrame:
-    """Exact top k by cosine: query_id, vec_id, score, rank.
+    """Exact top k by cosine: query_id, vec_id, score, rank. Rows without a vector are left out.
 
-    Queries are taken in blocks of bounded size; each block is one matrix that every task
-    multiplies with its Arrow batches, keeping k rows per query and batch.  No pair rows are made:
-    what is shuffled is k rows per query and batch.
+    Vectors and queries are packed into blocks of bounded size where they are, every block of
+    queries meets every block of vectors, and each meeting is one matrix product that keeps k rows
+    per query. No query goes through the driver and no pair of single vectors becomes a row.
     """
-    ids = dict(vectors.dtypes)[vec_id], dict(queries.dtypes)[query_id]
-    schema = f"{query_id} {ids[1]}, {vec_id} {ids[0]}, score double"
-    total = queries.count()
-    blocks = max(1, math.ceil(total / QUERY_BLOCK))
-    part = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-    best = None
-    for b in range(blocks):
-        rows = queries.where(part == b).select(query_id, F.col(vec).cast("array<double>")).toPandas()
-        if rows.empty:
-            continue
-        matrix = np.vstack(rows[vec].to_numpy())
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        hits = vectors.select(vec_id, vec).mapInPandas(_scorer(rows[query_id].to_numpy(), matrix, query_id, vec_id, vec, k), schema)
-        best = hits if best is None else best.unionByName(hits)
-    if best is None:
-        best = vectors.sparkSession.createDataFrame([], schema)
+    kinds = {vec_id: dict(vectors.dtypes)[vec_id], query_id: dict(queries.dtypes)[query_id]}
+
+    def packed(rows: DataFrame, key: str, size: int, names: tuple[str, str]) -> DataFrame:
+        full = rows.where(F.col(vec).isNotNull() & F.col(key).isNotNull()).select(key, vec)
+        return full.mapInPandas(_blocks(key, vec, size), f"keys array<{kinds[key]}>, matrix binary").toDF(*names)
+
+    pairs = packed(vectors, vec_id, VECTOR_BLOCK, ("ids", "vectors")).crossJoin(
+        packed(queries, query_id, QUERY_BLOCK, ("keys", "queries")))
+    best = pairs.mapInPandas(_scorer(query_id, vec_id, k), f"{query_id} {kinds[query_id]}, {vec_id} {kinds[vec_id]}, score double")
     order = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), vec_id)
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _scorer(keys, matrix, query_id, vec_id, vec, k):
+def _scorer(query_id, vec_id, k):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if batch.empty:
-                continue
-            block = np.vstack(batch[vec].to_numpy()).astype("float64")
-            block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-300)
-            ids = batch[vec_id].to_numpy()
-            scores = matrix @ block.T
-            # ties go to the smaller id, as in the final ranking
-            top = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
-            n = top.shape[1]
-            yield pd.DataFrame({
-                query_id: np.repeat(keys, n), vec_id: ids[top].ravel(),
-                "score": np.take_along_axis(scores, top, axis=1).ravel(),
-            })
+            for keys, queries, ids, vectors in zip(batch["keys"], batch["queries"], batch["ids"], batch["vectors"]):
+                scores = np.frombuffer(queries).reshape(len(keys), -1) @ np.frombuffer(vectors).reshape(len(ids), -1).T
+                near, n = np.round(scores, 9), min(k, len(ids))
+                # all that reach the k-th best of their query, then ties go to the smaller id
+                cut = np.partition(near, len(ids) - n, axis=1)[:, len(ids) - n]
+                row, col = np.nonzero(near >= cut[:, None])
+                order = np.lexsort((ids[col], -near[row, col], row))
+                row, col = row[order], col[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col = row[place < n], col[place < n]
+                yield pd.DataFrame({query_id: keys[row], vec_id: ids[col], "score": scores[row, col]})
 
     return run
 

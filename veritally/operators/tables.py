@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,51 +14,45 @@ CONTEXT = "s int, e int, row_header string, column_header string, ord int"
 _BREAK = r"\r\n|\r|\n"
 
 
-def _fit(lines: list[str], start: int, cells: list[tuple]) -> tuple[list[tuple], int] | None:
-    """Lays the cells over the lines from `start`; a repeated value may be a merged copy."""
-    at, placed, seen = start, [], set()
-    for cell in cells:
-        want = cell[3]
-        if lines[at:at + len(want)] == want:
-            placed.extend((line, cell) for line in range(at, at + len(want)))
-            at += len(want)
-            seen.add(cell[2])
-        elif cell[2] not in seen:
-            return None
-    return placed, at
+def _shown(value: str | None) -> str:
+    """What a cell shows; an empty cell may come as a missing number."""
+    return "" if value is None or value.lower() == "nan" else value
+
+
+def _pattern(values: list[str]) -> re.Pattern:
+    """A grid as a pattern over lines: its cells in reading order, one group each.
+
+    A value that stands earlier in the grid may be the copy of a merged cell and have no lines of its
+    own, so its group is optional; it is possessive, as lines that are there are always taken.
+    """
+    seen, groups = set(), []
+    for value in values:
+        lines = "".join(re.escape(line.strip()) + "\n" for line in re.split(_BREAK, value))
+        groups.append(f"({lines})" + ("?+" if value in seen else ""))
+        seen.add(value)
+    return re.compile("^" + "".join(groups), re.MULTILINE)
 
 
 def _contexts_of(text: str, grids: list) -> list[tuple]:
-    import re
-
-    spans, at = [], 0
-    for m in re.finditer(_BREAK, text):
-        spans.append((at, m.start()))
-        at = m.end()
-    spans.append((at, len(text)))
-    lines = [text[s:e].strip() for s, e in spans]
-    where: dict[str, list[int]] = {}
-    for i, line in enumerate(lines):
-        where.setdefault(line, []).append(i)
-    plain = lambda v: "" if v is None or v.lower() == "nan" else v
-    flat = lambda v: " ".join(x.strip() for x in re.split(_BREAK, plain(v)) if x.strip())
-    out, begin = [], 0
+    """Each grid is searched after the one before; the cells outside its first row and column come
+    back with their lines' places in the text."""
+    ends = [m.span() for m in re.finditer(_BREAK, text)]
+    places = list(zip([0, *(e for _, e in ends)], [*(s for s, _ in ends), len(text)]))
+    lines = [text[s:e].strip() + "\n" for s, e in places]
+    flat, starts = "".join(lines), [0, *itertools.accumulate(map(len, lines))]
+    header = lambda v: " ".join(filter(None, map(str.strip, re.split(_BREAK, _shown(v)))))
+    out, after = [], 0
     for grid in grids:
-        if len(grid) < 2 or not len(grid[0]):
-            continue
-        cells = [
-            (r, c, plain(v), [x.strip() for x in re.split(_BREAK, plain(v))])
-            for r, row in enumerate(grid) for c, v in enumerate(row)
-        ]
-        fits = (_fit(lines, i, cells) for i in where.get(cells[0][3][0], ()) if i >= begin)
-        found = next((f for f in fits if f), None)
-        if found is None:
+        cells = [(r, c, _shown(v)) for r, row in enumerate(grid) for c, v in enumerate(row)]
+        found = _pattern([v for _, _, v in cells]).search(flat, after) if len(grid) > 1 and len(grid[0]) else None
+        if not found:
             continue
-        placed, begin = found
-        for line, (r, c, _, _) in placed:
+        after = found.end()
+        for group, (r, c, _) in enumerate(cells, 1):
+            first, last = (bisect.bisect_left(starts, at) for at in found.span(group)) if found[group] is not None else (0, 0)
             if r and c:
-                head = flat(grid[0][c]) if c < len(grid[0]) else ""
-                out.append((*spans[line], flat(grid[r][0]), head, len(out)))
+                column = header(grid[0][c]) if c < len(grid[0]) else ""
+                out += [(*places[i], header(grid[r][0]), column, len(out) + i - first) for i in range(first, last)]
     return out
 
 

@@ -8,6 +8,7 @@ from veritally.operators import archive as A
 from veritally.plans.registry import query
 from veritally.plans.render import expected, frame, table
 from veritally.sources import parts as S
+from veritally.sources.stage import staged
 
 OLD, NEW = expected("archive_old"), expected("archive_new")
 
@@ -46,10 +47,10 @@ def _split(pattern: str) -> list[str]:
 @query("ignore_upsert", """
     select raw, min(s) = 0 as was_stored, min(o) filter (where s = m) as ordinal from (
       select *, min(s) over (partition by raw) as m from (
-        select cast(floor(c_acctbal) as bigint) % 500 || '원' as raw, 0 as s, c_custkey as o from customer where c_custkey % 3 = 0
+        select cast(floor(c_acctbal) as bigint) % 500 || '원' as raw, 0 as s, c_custkey as o from customer
         union all select cast(floor(s_acctbal) as bigint) % 700 || '원', 1, s_suppkey from supplier)) group by raw""")
 def ignore_upsert(spark, sf):
-    stored = table(spark, sf, "customer").where("c_custkey % 3 = 0").selectExpr(
+    stored = table(spark, sf, "customer").selectExpr(
         "cast(floor(c_acctbal) as bigint) % 500 || '원' as raw", "c_custkey as ordinal")
     added = table(spark, sf, "supplier").selectExpr(
         "cast(floor(s_acctbal) as bigint) % 700 || '원' as raw", "s_suppkey as ordinal")
@@ -159,21 +160,55 @@ def term_df(spark, sf):
     return A.term_df(A.chunks(table(spark, sf, "documents", ["doc_id", "text"]), ["doc_id"]))
 
 
-@query("bm25_topk", _CHUNKS + f""", t as materialized (select *, len(tokens) as length from {_tokens("doc_id, chunk_no", "text", "c")}),
-    q as (select item_id, unnest(list_distinct(tokens)) as term from {_tokens("item_id", "text", "benchmark")}),
+def _bm25_sql(scope: str, queries: str) -> str:
+    return _CHUNKS + f""", t as materialized (select *, len(tokens) as length from {_tokens("doc_id, chunk_no", "text", scope)}),
+    q as (select item_id, unnest(list_distinct(tokens)) as term from {_tokens("item_id", "text", queries)}),
     s as (select count(*) as n, avg(length) as avgdl from t),
     tf as (select doc_id, chunk_no, length, term, count(*) as tf from (select doc_id, chunk_no, length, unnest(tokens) as term from t) where term in (select term from q) group by all),
     df as (select term, count(*) as df from tf group by term),
     sc as (select item_id, doc_id, chunk_no, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))) as score
       from tf join df using (term) join q using (term), s group by all)
     select item_id, doc_id, chunk_no, round(score, 3) as score, cast(rank as int) as rank from (
-      select *, row_number() over (partition by item_id order by round(score, 9) desc, doc_id, chunk_no) as rank from sc) where rank <= 5""")
+      select *, row_number() over (partition by item_id order by round(score, 9) desc, doc_id, chunk_no) as rank from sc) where rank <= 5"""
+
+
+def stored_chunks(spark, sf):
+    """Chunks of the documents as an archive keeps them: chunked and tokenised once."""
+    files = table(spark, sf, "documents", ["doc_id", "text", "source", "lang"])
+    rows = A.chunks(files, ["doc_id", "source", "lang"])
+    year = (F.lit(2020) + F.pmod("doc_id", F.lit(5))).cast("int").alias("year")
+    return staged(rows.select("doc_id", "chunk_no", "text", "tokens", "length", F.concat_ws(" ", "source", "lang").alias("name"), year), "chunks")
+
+
+@query("bm25_topk", _bm25_sql("c", "benchmark"))
 def bm25_topk(spark, sf):
-    rows = A.chunks(table(spark, sf, "documents", ["doc_id", "text"]), ["doc_id"])
-    hits = A.bm25(rows, table(spark, sf, "benchmark"), ["doc_id", "chunk_no"], "item_id")
+    hits = A.bm25(stored_chunks(spark, sf), table(spark, sf, "benchmark"), ["doc_id", "chunk_no"], "item_id")
     return hits.select("item_id", "doc_id", "chunk_no", F.round("score", 3).alias("score"), "rank")
 
 
+_SCOPE = "(select c.* from c join documents d using (doc_id) where d.doc_id % 5 = 3 and d.source || ' ' || d.lang ilike '%src%EN%')"
+
+
+@query("bm25_filtered", _bm25_sql(_SCOPE, "benchmark"))
+def bm25_filtered(spark, sf):
+    """Ranked search among the files of one year whose name holds a word: statistics follow the filter."""
+    scope = A.in_scope(A.in_scope(stored_chunks(spark, sf), 2023), name_contains="EN").where("name like '%src%'")
+    hits = A.bm25(scope, table(spark, sf, "benchmark"), ["doc_id", "chunk_no"], "item_id")
+    return hits.select("item_id", "doc_id", "chunk_no", F.round("score", 3).alias("score"), "rank")
+
+
+@query("search_results", f"""
+    select item_id, rank, '[' || d.source || ' ' || d.lang || ' · ' || doc_id || '#' || r.chunk_no || '] (점수 ' || cast(r.score as varchar) || ')' || chr(10) || c.text as result
+    from ({_bm25_sql("c", "benchmark")}) r join documents d using (doc_id) join ({_CHUNKS} select * from c) c using (doc_id, chunk_no)""")
+def search_results(spark, sf):
+    """The text that a search shows for every hit."""
+    rows = stored_chunks(spark, sf)
+    hits = A.bm25(rows, table(spark, sf, "benchmark"), ["doc_id", "chunk_no"], "item_id")
+    shown = hits.join(rows.select("doc_id", "chunk_no", "name", "text"), ["doc_id", "chunk_no"])
+    shown = shown.withColumn("label", F.concat_ws("#", "doc_id", "chunk_no"))
+    return shown.select("item_id", "rank", A.format_results(shown).alias("result"))
+
+
 @query("cosine_topk", """
     with q as (select label as query_id, min_by(embedding, vec_id) as qv from embeddings group by label),
     s as (select query_id, vec_id, list_cosine_similarity(embedding::double[], qv::double[]) as score from embeddings, q)
