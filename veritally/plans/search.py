@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from veritally.functions import fixed as X
 from veritally.operators import archive as A
 from veritally.plans.registry import query
 from veritally.plans.render import expected, frame, table
@@ -234,7 +235,24 @@ def token_overlap(spark, sf):
     return conv.join(first, "conv_id").select("conv_id", "turn", overlap.alias("score"))
 
 
-@query("context_pack")
+@query("context_pack", rf"""
+    with recursive b as (
+      select conv_id, cast(turn as int) as block_no, role || ' · ' || turn as label,
+        case when length(text) > {X.PACK_PART_CHARS} then substring(text, 1, {X.PACK_PART_CHARS}) || '{X.PACK_CUT_NOTE}' else text end as text from conversations),
+    r as (
+      select b.conv_id, block_no, label, cast(length(b.text) + length(label) + {X.PACK_OVERHEAD} as int) as size,
+        cast(len(list_intersect({_WORDS.format('q.text')}, {_WORDS.format('b.text')})) as int) as score
+      from b join conversations q on b.conv_id = q.conv_id and q.turn = 0),
+    g as (select conv_id, sum(size) as total, list(struct_pack(b := block_no, s := size) order by -score, block_no) as l from r group by conv_id),
+    f(conv_id, l, i, used, taken) as (
+      select conv_id, l, 0, 0, []::int[] from g
+      union all
+      select conv_id, l, i + 1, case when used + l[i + 1].s <= 600 then used + l[i + 1].s else used end,
+        case when used + l[i + 1].s <= 600 then list_append(taken, l[i + 1].b) else taken end
+      from f where i < len(l))
+    select r.conv_id, block_no, label, size, score, total > 600 as over_budget
+    from r join g using (conv_id) join (select conv_id, taken from f where i = len(l)) d using (conv_id)
+    where total <= 600 or list_contains(taken, block_no)""")
 def context_pack(spark, sf):
     conv = table(spark, sf, "conversations")
     blocks = conv.selectExpr("conv_id", "cast(turn as int) as block_no", "role || ' · ' || turn as label", "text")
