@@ -17,7 +17,16 @@ def exchange_sizes(spark: SparkSession) -> tuple[int, int]:
     """Groups of documents and buckets of keys. Both follow the session's shuffle partitions,
     which whoever submits sets by the size of the data; results do not depend on them."""
     n = partitions(spark)
-    return 2 * n, n
+    return 4 * n, n
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Lets a Python worker see at most so many rows at a time: rows hold whole texts, and Spark's
+    own bound of 10,000 of them would not bound the memory of a worker. A lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

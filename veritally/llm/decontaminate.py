@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from veritally.llm import words as W
+from veritally.llm.common import bounded_batches
 
 U = np.uint64
 BLOCK_GRAMS = 500_000
@@ -182,6 +183,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, stretch: int
     Repeated rows each give their rows; items with one id are searched each. Empty tables: empty
     result. Extra columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")

@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from veritally.llm import words as W
-from veritally.llm.common import exchange_sizes, staged
+from veritally.llm.common import bounded_batches, exchange_sizes, staged
 from veritally.llm.graph import components
 
 U = np.uint64
 PIECE_BITS = 4096
-FLUSH_KEYS = 1_500_000
+FLUSH_KEYS = 750_000
+SHORT = (8, 128)
 
 
 def shingle_sets(column, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,6 +146,7 @@ def _send(k: int, percent: int, buckets: int):
             if have >= FLUSH_KEYS:
                 yield flush(keys, docs)
                 keys, docs, have = [], [], 0
+                W.release()
         if have:
             yield flush(keys, docs)
 
@@ -167,6 +169,7 @@ def _meet(bucket: pa.Table) -> pa.Table:
     use = np.zeros(len(first), bool)
     use[one] = True
     use = np.repeat(use & (count > 1), count)
+    W.release()
     return pa.table({"key": np.repeat(name, count)[use].view(np.int64), "doc": docs[use], "least": np.repeat(docs[first], count)[use]})
 
 
@@ -180,7 +183,7 @@ def _signatures(k: int):
                 if len(h):
                     first, full = (np.cumsum(n) - n)[n > 0], n > 0
                     one[full], two[full] = np.add.reduceat(W.mix(h), first), np.add.reduceat(W.mix(h ^ U(0x5851F42D4C957F2D)), first)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(folded(h, n), pa.binary())], names=["doc_id", "n_shingles", "one", "two", "sketch"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *_sketches(h, n)], names=["doc_id", "n_shingles", "one", "two", "sketch", "short"])
 
     return run
 
@@ -197,6 +200,15 @@ def folded(h: np.ndarray, n: np.ndarray) -> list[bytes]:
     return [out[a:a + b].tobytes() for a, b in zip(start, size, strict=True)]
 
 
+def _sketches(h: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    """The sketches, and their foldings to a quarter, which travel with every group a document is in.
+    Half a bit per shingle still tells unrelated texts apart; a long text is in many groups, so its
+    folding stops at the larger of SHORT, and pairs are compared by whole sketches before their sets."""
+    whole = folded(h, n)
+    short = [_fold(np.frombuffer(x, U), min(max(SHORT[0], len(x) // 32), SHORT[1])).tobytes() for x in whole]
+    return [pa.array(whole, pa.binary()), pa.array(short, pa.binary())]
+
+
 def _fold(x: np.ndarray, width: int) -> np.ndarray:
     while x.shape[-1] > width:
         x = x[..., :x.shape[-1] // 2] ^ x[..., x.shape[-1] // 2:]
@@ -221,8 +233,9 @@ def _may_link(percent: int):
 
 def _across(percent: int, best: bool):
     """Of each group in a bucket, the pairs of different components that the sketches leave possible;
-    with `best`, only the nearest one for each document and other component."""
-    def compare(ids, part, n, sketches, out):
+    with `best`, only the nearest one for each document and other component, and whether the group
+    has more than these."""
+    def compare(ids, part, n, sketches):
         width = min(len(x) for x in sketches) // 8
         x = np.stack([_fold(np.frombuffer(s, U), width) for s in sketches])
         step = max(1, (1 << 21) // max(1, len(ids) * width))
@@ -234,26 +247,33 @@ def _across(percent: int, best: bool):
             if not best:
                 ok &= ids[s, None] < ids
             i, j = np.nonzero(ok)
+            all_pairs = len(i)
             if best and len(i):
                 order = np.lexsort((apart[i, j], part[j], i))
                 i, j = i[order], j[order]
                 new = np.r_[True, (i[1:] != i[:-1]) | (part[j][1:] != part[j][:-1])]
                 i, j = i[new], j[new]
             a, b = ids[s][i], ids[j]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            yield np.stack([np.minimum(a, b), np.maximum(a, b)]), len(i) < all_pairs
 
     def run(bucket: pa.Table) -> pa.Table:
         key = bucket["key"].to_numpy()
         order = np.argsort(key, kind="stable")
         ids, part, n = (bucket[c].to_numpy()[order] for c in ("doc", "component", "n"))
-        sketches = bucket["sketch"].take(pa.array(order)).to_pylist()
-        edge = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0, True])
-        out = [np.zeros((2, 0), np.int64)]
+        sketches = bucket["short"].take(pa.array(order)).to_pylist()
+        key = key[order]
+        edge = np.flatnonzero(np.r_[True, np.diff(key) != 0, True])
+        pairs, more = [np.zeros((2, 0), np.int64)], []
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             if b - a > 1:
-                compare(ids[a:b], part[a:b], n[a:b], sketches[a:b], out)
-        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+                for found, left in compare(ids[a:b], part[a:b], n[a:b], sketches[a:b]):
+                    pairs.append(found)
+                    if left:
+                        more.append(key[a])
+        pairs, more = np.unique(np.concatenate(pairs, axis=1), axis=1), np.unique(np.array(more, np.int64))
+        out = pa.table({"a": np.r_[pairs[0], more], "b": np.r_[pairs[1], more], "more": np.arange(pairs.shape[1] + len(more)) >= pairs.shape[1]})
+        W.release()
+        return out
 
     return run
 
@@ -309,8 +329,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     """
     spark = docs.sparkSession
     _, buckets = exchange_sizes(spark)
+    bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sizes = docs.mapInArrow(_signatures(k), "doc_id long, n_shingles long, one long, two long, sketch binary")
+    sizes = docs.mapInArrow(_signatures(k), "doc_id long, n_shingles long, one long, two long, sketch binary, short binary")
     sizes = staged(sizes, "jaccard-sizes")
     full = sizes.where("n_shingles > 0 and doc_id is not null")
     key = ["n_shingles", "one", "two"]
@@ -324,7 +345,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     shared = docs.mapInArrow(_send(k, percent, buckets), _MESSAGE).groupBy("bucket").applyInArrow(_meet, "key long, doc long, least long").distinct()
     shared = staged(of_class(of_class(shared, "doc"), "least").distinct(), "jaccard-shared")
     seen = full.join(shared.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    seen = staged(seen.select("doc_id", F.col("n_shingles").alias("n"), "sketch"), "jaccard-sketches")
+    seen = staged(seen.select("doc_id", F.col("n_shingles").alias("n"), "sketch", "short"), "jaccard-sketches")
 
     def possible(pairs: DataFrame, name: str) -> DataFrame:
         for c in "ab":
@@ -332,19 +353,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         return staged(pairs.mapInArrow(_may_link(percent), "a long, b long").distinct(), name)
 
     least = shared.where("doc <> least").groupBy("doc").agg(F.min("least").alias("least"))
-    tested = possible(least.select(F.least("doc", "least").alias("a"), F.greatest("doc", "least").alias("b")).distinct(), "jaccard-stars")
-    links = _linked(tested, docs, k, percent, "jaccard-stars")
+    tested = staged(least.select(F.least("doc", "least").alias("a"), F.greatest("doc", "least").alias("b")).distinct(), "jaccard-stars")
+    links = _linked(possible(tested, "jaccard-possible"), docs, k, percent, "jaccard-stars")
 
+    groups = shared.select("key", "doc")  # in the last round only groups that had more than was tested
     for best in (True, False):
         label = components(links, "jaccard-labels")
-        nodes = shared.select("key", "doc").join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        nodes = groups.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         mixed = nodes.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        nodes = nodes.join(mixed, "key", "left_semi").distinct().join(seen.withColumnRenamed("doc_id", "doc"), "doc")
+        nodes = nodes.join(mixed, "key", "left_semi").join(seen.drop("sketch").withColumnRenamed("doc_id", "doc"), "doc")
         bucket = F.pmod(F.xxhash64("key"), F.lit(4 * buckets)).alias("bucket")
-        pairs = nodes.select(bucket, "key", "doc", "component", "n", "sketch").groupBy("bucket").applyInArrow(_across(percent, best), "a long, b long")
-        pairs = staged(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
-        links = links.union(_linked(pairs, docs, k, percent, "jaccard-pairs"))
+        found = nodes.select(bucket, "key", "doc", "component", "n", "short").groupBy("bucket").applyInArrow(_across(percent, best), "a long, b long, more boolean")
+        found = staged(found, "jaccard-found")
+        pairs = found.where("not more").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = staged(pairs, "jaccard-pairs")
+        links = links.union(_linked(possible(pairs, "jaccard-possible"), docs, k, percent, "jaccard-pairs"))
         tested = tested.union(pairs)
+        groups = groups.join(found.where("more").select(F.col("a").alias("key")).distinct(), "key", "left_semi")
 
     links = links.union(copies.select(F.col("rep").alias("a"), F.col("doc").alias("b")))
     final = components(links, "jaccard-components")

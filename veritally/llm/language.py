@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veritally.llm import words as W
+from veritally.llm.common import bounded_batches
 
 FEATURES = 1 << 13
 BATCH = 128
@@ -104,6 +105,7 @@ def fit(docs: DataFrame, landmarks: int = 24, ridge: float = 1e-3, most_language
     20,000 characters (of all, if a language has none), so at most landmarks * most_languages texts
     reach the driver; more than `most_languages` languages are refused.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null and text rlike '\\\\p{L}'")
     size = F.char_length("text")
     order = F.struct(F.when(size.between(200, 20_000), 0).otherwise(1).alias("far"), F.xxhash64("text").alias("hash"))

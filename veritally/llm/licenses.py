@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from veritally.llm import words as W
+from veritally.llm.common import bounded_batches
 
 # Phrases that name a license, and wordings of common notices.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -105,6 +106,7 @@ def license_labels(docs: DataFrame, k: int = 3, drift: int = 2, share: float = 0
     with one id share the labels found in any of them. Empty table: empty result. Extra columns are
     not read.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = docs.mapInArrow(_base(phrases or PHRASES), "doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>")

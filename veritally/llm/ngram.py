@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veritally.llm import words as W
-from veritally.llm.common import fresh, partitions
+from veritally.llm.common import bounded_batches, fresh, partitions
 
 U = np.uint64
 FLUSH_TOKENS = 1_500_000
@@ -223,6 +223,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Counts the model over all rows of docs and writes its arrays to a new shared folder."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     folder, buckets = local_folder(fresh(spark, "ngram")), partitions(spark)
     os.makedirs(folder, exist_ok=True)

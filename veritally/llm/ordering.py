@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from veritally.llm import words as W
-from veritally.llm.common import fresh
+from veritally.llm.common import bounded_batches, fresh
 from veritally.llm.ngram import local_folder
 from veritally.llm.packing import END_ID
 from veritally.llm.tokens import tokenizer
@@ -161,6 +161,7 @@ def training_order(docs: DataFrame, path: str, length: int = 512, key: int = 20_
     Empty table: empty result and no shard. Other columns are not read. docs must be a table scan (its
     partitions are read twice and must not change).
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     folder = local_folder(folder or fresh(spark, "order"))
     os.makedirs(folder, exist_ok=True)

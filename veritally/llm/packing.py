@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from veritally.llm import words as W
-from veritally.llm.common import exchange_sizes, staged
+from veritally.llm.common import bounded_batches, exchange_sizes, staged
 from veritally.llm.tokens import tokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -233,6 +233,7 @@ def best_fit_pack(docs: DataFrame, path: str, capacity: int = 4096, id_col: str
     are written once to the shared folder; only the histogram of lengths, at most `capacity` rows,
     reaches the driver.
     """
+    bounded_batches(docs.sparkSession)
     pieces = staged(token_pieces(docs, path, capacity, id_col, text_col), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     patterns, _ = plan(counts, capacity)

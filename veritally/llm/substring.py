@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from veritally.llm import words as W
-from veritally.llm.common import exchange_sizes
+from veritally.llm.common import bounded_batches, exchange_sizes
 
 U = np.uint64
 FINGERPRINT_BITS = 48
@@ -57,6 +57,7 @@ _ANSWER = pa.schema([("grp", pa.int32()), ("a", pa.binary()), ("b", pa.binary())
 
 def _blocks(block: int, buckets: int):
     def send(group: pa.Table) -> pa.Table:
+        W.release()
         w = W.words(group["text"])
         h, at = W.grams(w, block)
         text = w.text_of()[at]
@@ -80,6 +81,7 @@ def _blocks(block: int, buckets: int):
 
 
 def _answer_blocks(bucket: pa.Table) -> pa.Table:
+    W.release()
     grps = bucket["grp"].to_numpy()
     h, who, flag = [], [], []
     for bit, name in enumerate("abcd"):
@@ -121,6 +123,7 @@ def _windows(block: int, window: int, buckets: int):
         out = {f.name: [] for f in _MESSAGE}
         if not docs.num_rows or not answers.num_rows:
             return _rows(out, _MESSAGE)
+        W.release()
         hot = np.sort(np.concatenate([W.unpack(x) for x in answers["a"].to_pylist()]))
         w = W.words(docs["text"])
         h, at = W.grams(w, block)
@@ -162,6 +165,7 @@ def _remove(window: int):
     def remove(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:  # answers go to groups that have documents, so this is an empty table
             return pa.table({"carried": docs["carried"], **{k: pa.array([], t) for k, t in (("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("cut", pa.string()), ("spans", spans_type))}})
+        W.release()
         ids = W.ids_of(docs["doc_id"])
         w = W.words(docs["text"], spans=True)
         h, at = W.grams(w, window)
@@ -211,6 +215,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     """
     block = (window + 1) // 2
     groups, buckets = exchange_sizes(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     carried = F.struct(F.col(id_col).cast("long").alias("_id"), *carry).alias("carried")
     dealt = docs.select(
         carried,

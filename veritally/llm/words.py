@@ -8,6 +8,7 @@ Null texts count as empty. Hashes do not depend on the document, the batch or th
 
 from __future__ import annotations
 
+import ctypes
 from typing import NamedTuple
 
 import numpy as np
@@ -126,7 +127,7 @@ def _part(data, places, kind: Kind, spans: bool) -> Words:
     return Words(h, n, start - base, end - base)
 
 
-def words(column, kind: Kind = PLAIN, spans: bool = False, step: int = 1 << 21) -> Words:
+def words(column, kind: Kind = PLAIN, spans: bool = False, step: int = 1 << 19) -> Words:
     """All words of a column, hashed about `step` bytes at a time to bound the working memory."""
     data, places = buffers(column)
     parts, lo, count = [], 0, len(places) - 1
@@ -157,12 +158,18 @@ def one_hash(text: str, kind: Kind) -> np.ndarray:
     return words(pa.array([text]), kind).h
 
 
-def lowered(text: str) -> str:
-    """A-Z in lower case, nothing else changed."""
-    return text.translate(_AZ)
+def release() -> None:
+    """Gives memory that a finished group needed back to the system; workers live on."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
-_AZ = {c: c + 32 for c in range(65, 91)}
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
 
 
 # ---- sorted whole numbers as short byte strings: differences, one byte plane after another
