@@ -34,7 +34,7 @@ from veritally.llm.graph import components
 U = np.uint64
 PIECE_BITS = 4096
 FLUSH_KEYS = 750_000
-SHORT = (8, 128)
+SHORT = (8, 256)
 
 
 def shingle_sets(column, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,11 +201,11 @@ def folded(h: np.ndarray, n: np.ndarray) -> list[bytes]:
 
 
 def _sketches(h: np.ndarray, n: np.ndarray) -> list[pa.Array]:
-    """The sketches, and their foldings to a quarter, which travel with every group a document is in.
-    Half a bit per shingle still tells unrelated texts apart; a long text is in many groups, so its
+    """The sketches, and their foldings to a half, which travel with every group a document is in.
+    One bit per shingle still tells unrelated texts apart; a long text is in many groups, so its
     folding stops at the larger of SHORT, and pairs are compared by whole sketches before their sets."""
     whole = folded(h, n)
-    short = [_fold(np.frombuffer(x, U), min(max(SHORT[0], len(x) // 32), SHORT[1])).tobytes() for x in whole]
+    short = [_fold(np.frombuffer(x, U), min(max(SHORT[0], len(x) // 16), SHORT[1])).tobytes() for x in whole]
     return [pa.array(whole, pa.binary()), pa.array(short, pa.binary())]
 
 
