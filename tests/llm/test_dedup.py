@@ -144,3 +144,40 @@ def test_decontamination_in_blocks_is_the_same(corpus, spark, monkeypatch):
     assert [r[:2] for r in sorted(map(tuple, contaminated(corpus, benchmark).collect()))] == [r[:2] for r in whole]
 
 
+ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+@pytest.mark.parametrize("copies", [0, 3])
+def test_decontamination_finds_dense_edits(make, spark, copies):
+    noise = [f"n{i}" for i in range(60)]
+    every = {k: [f"x{i}" if i % k == k - 1 else w for i, w in enumerate(ITEM)] for k in (3, 4, 5)}
+    spread = [x for i, w in enumerate(ITEM) for x in (w, f"y{i}")]  # a new word after each: no two neighbours are left
+    rows = [(k, " ".join(noise + w + noise)) for k, w in every.items()] + [(6, " ".join(spread)), (7, " ".join(noise))]
+    rows += [(100 + i, " ".join(noise[i:] + ITEM)) for i in range(copies)]
+    benchmark = spark.createDataFrame([(10, " ".join(ITEM))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in contaminated(make(rows), benchmark).collect()}
+    assert got == {3: 0.55, 4: 0.65, 5: 0.725, 6: 0.525} | {100 + i: 1.0 for i in range(copies)}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.6])
+def test_decontamination_is_alignment_with_whole_documents(make, spark, threshold):
+    r = np.random.default_rng(8)
+    items = [[f"w{x}" for x in r.integers(0, 80, r.integers(8, 30)) ** 2 // 60] for _ in range(12)]
+    rows = []
+    for i in range(150):
+        w = [f"w{x}" for x in r.integers(0, 80, r.integers(0, 120)) ** 2 // 60]
+        for x in items[i % 12]:
+            u = r.random()
+            w += [] if u < 0.15 else [f"w{r.integers(0, 100)}"] if u < 0.35 else [x, "and"] if u < 0.5 else [x]
+        rows.append((i, " ".join(w + [f"w{x}" for x in r.integers(0, 80, r.integers(0, 90))])))
+    want = set()
+    for i, t in rows:
+        y = t.split()
+        for j, x in enumerate(items):
+            code = {v: k for k, v in enumerate(dict.fromkeys(x + y))}
+            best = smith_waterman(np.array([[code[v] for v in x]]), np.array([len(x)]), np.array([[code[v] for v in y]]), np.array([len(y)]))[0][0]
+            if best >= 12 and best / (2 * len(x)) >= threshold:
+                want.add((i, j, best / (2 * len(x))))
+    benchmark = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["score"]) for r in contaminated(make(rows), benchmark, threshold=threshold).collect()}
+    assert want and got == want

@@ -1,13 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-The test items are a stated query set. They are taken in blocks of at most `BLOCK_GRAMS` word n-grams,
-so what a task receives is bounded, and each block is run against all documents. A first pass counts
-in how many documents each of the block's n-grams occurs. Of every `stretch` neighbouring n-grams of an
-item the rarest one becomes a seed: any run of stretch + n - 1 words that a document has in common
-with the item holds a seed, however frequent the item has become by being copied. A second pass
-joins the seeds with the n-grams of the documents, gathers hits of one item on neighbouring diagonals
-to passages, and aligns item and passage word by word. The score is the alignment score over that of
-the item with itself, so words left out, added or replaced lower it without hiding the copy.
+"""Benchmark decontamination: seeds that no edit can hide, then Smith-Waterman alignment.
+
+The test items are a stated query set. They are taken in blocks of at most `BLOCK_GRAMS` words, so what a
+task receives is bounded, and each block is run against all documents. The score is the alignment
+score over that of the item with itself, so words left out, added or replaced lower it without hiding
+the copy.
+
+Seeds are single words and lose nothing: an alignment that reaches the threshold matches at least
+`need` of the n words of an item, so of any n - need + t places of the item it matches at least t. The rarest
+ones are taken, by a first pass that counts the block's words; the count only decides what is cheap, any
+choice is complete. Such an alignment covers at most `span` words of the document. A second pass looks
+for t seeds within a span, then for `need` words of the item within a span, and aligns item and
+passage word by word. The result is that of aligning every item with every whole document.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from veritally.llm.common import bounded_batches
 
 U = np.uint64
 BLOCK_GRAMS = 500_000
+SEED_HITS = 4  # seeds asked for within a span
+MOST_HITS = 2_000_000  # in memory at a time, for texts of usual length
 MATCH, MISMATCH, GAP = 2, -1, -1
 OUT = "doc_id long, item_id long, score double, first_word long, last_word long"
 
@@ -31,51 +36,57 @@ class Items(NamedTuple):
     ids: np.ndarray
     h: np.ndarray  # word hashes of all items in a row
     n: np.ndarray
-    gram: np.ndarray  # sorted n-gram hashes with their item and place
-    item: np.ndarray
-    place: np.ndarray
+    need: np.ndarray  # words an alignment has to match
+    span: np.ndarray  # words of a document that it covers at most
+    word: np.ndarray  # sorted distinct word hashes
+    pair: np.ndarray  # sorted item * len(word) + place in word
 
     def first(self):
         return np.cumsum(self.n) - self.n
 
+    def item_of(self):
+        return np.repeat(np.arange(len(self.n)), self.n)
+
+
+class Seeds(NamedTuple):
+    word: np.ndarray  # sorted place in Items.word, with its item
+    item: np.ndarray
+    hits: np.ndarray  # per item: seeds asked for
+
 
-def _items(rows: list, n: int) -> Items:
+def _items(rows: list, threshold: float, min_words: int) -> Items:
     w = W.words(pa.array([r["text"] for r in rows], pa.string()), W.ALNUM)
-    gram, at = W.grams(w, n)
-    item = w.text_of()[at] if len(at) else at
-    order = np.argsort(gram, kind="stable")
-    return Items(np.array([r["item_id"] for r in rows], np.int64), w.h, w.n, gram[order], item[order], (at - w.first()[item])[order])
+    need = np.maximum(np.ceil(threshold * w.n - 1e-9).astype(np.int64), min_words)
+    need = np.maximum(need, 1)
+    # m matched words and c charged ones score at most 2 m - c, and cover at most m + c words
+    span = np.maximum(3 * w.n - np.ceil(MATCH * threshold * w.n - 1e-9).astype(np.int64), w.n)
+    word, place = np.unique(w.h, return_inverse=True)
+    return Items(np.array([r["item_id"] for r in rows], np.int64), w.h, w.n, need, span, word, np.unique(w.text_of() * len(word) + place))
 
 
-def _frequencies(grams: np.ndarray, n: int):
+def _frequencies(word: np.ndarray):
     def run(batches):
-        total = np.zeros(len(grams), np.int64)
+        total = np.zeros(len(word), np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
-                w = W.words(batch.slice(lo, 1024)["text"], W.ALNUM)
-                h, at = W.grams(w, n)
-                hit = W.member(h, grams)
-                place = np.searchsorted(grams, h[hit])
-                pair = np.unique(w.text_of()[at[hit]] * len(grams) + place)
-                total += np.bincount(pair % max(len(grams), 1), minlength=len(grams))
+                h = W.words(batch.slice(lo, 1024)["text"], W.ALNUM).h
+                total += np.bincount(np.searchsorted(word, h[W.member(h, word)]), minlength=len(word))
         use = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"g": pa.array(use), "n": pa.array(total[use])})
 
     return run
 
 
-def rare_seeds(items: Items, frequency: np.ndarray, stretch: int) -> Items:
-    """Keeps the rarest n-gram of every `stretch` neighbours of an item (of all, if it has fewer)."""
-    order = np.lexsort((items.place, items.item))
-    item, f = items.item[order], frequency[order]
-    keep = np.zeros(len(order), bool)
-    edge = np.flatnonzero(np.r_[True, item[1:] != item[:-1], True]) if len(item) else np.zeros(1, np.int64)
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
-        size = min(stretch, b - a)
-        view = np.lib.stride_tricks.sliding_window_view(f[a:b], size)
-        keep[a + np.arange(len(view)) + view.argmin(1)] = True
-    chosen = np.sort(order[keep])
-    return items._replace(gram=items.gram[chosen], item=items.item[chosen], place=items.place[chosen])
+def rare_seeds(items: Items, frequency: np.ndarray) -> Seeds:
+    """The rarest n - need + t places of every item: whoever matches `need` places matches t of these."""
+    hits = np.minimum(SEED_HITS, items.need)
+    item, place = items.item_of(), np.searchsorted(items.word, items.h)
+    order = np.lexsort((place, frequency[place], item))
+    rank = np.arange(len(order)) - items.first()[item]
+    possible = items.need <= items.n
+    keep = (rank < (items.n - items.need + hits)[item]) & possible[item]
+    pair = np.unique(place[order[keep]] * len(items.n) + item[keep])
+    return Seeds(pair // max(len(items.n), 1), pair % max(len(items.n), 1), hits)
 
 
 def smith_waterman(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,54 +120,96 @@ def smith_waterman(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray)
     return best, start, stop
 
 
-def _align(seeds: Items, n: int, threshold: float, min_words: int):
+def _align(items: Items, seeds: Seeds, threshold: float, min_words: int):
     def run(batches):
-        first_item = seeds.first()
+        each = np.bincount(seeds.word, minlength=len(items.word))
+        base = np.cumsum(each) - each
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 w = W.words(part["text"], W.ALNUM)
-                h, at = W.grams(w, n)
-                hit = W.member(h, seeds.gram)
-                h, at = h[hit], at[hit]
-                if not len(h):
+                word = np.searchsorted(items.word, w.h)
+                word[~W.member(w.h, items.word)] = -1
+                at = np.flatnonzero(word >= 0)
+                at = at[each[word[at]] > 0]
+                if not len(at):
                     continue
-                a, b = np.searchsorted(seeds.gram, h), np.searchsorted(seeds.gram, h, "right")
-                each = b - a
-                seed = np.repeat(a - (np.cumsum(each) - each), each) + np.arange(each.sum())
-                at = np.repeat(at, each)
-                text, item = w.text_of()[at], seeds.item[seed]
-                diagonal = at - w.first()[text] - seeds.place[seed]
-                order = np.lexsort((diagonal, item, text))
-                text, item, diagonal = text[order], item[order], diagonal[order]
-                margin = 4 + seeds.n[item] // 4
-                new = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > margin[1:])]
-                edge = np.flatnonzero(new)
-                last = np.r_[edge[1:], len(new)] - 1
-                text, item, margin = text[edge], item[edge], margin[edge]
-                begin = np.maximum(diagonal[edge] - margin, 0)
-                end = np.minimum(diagonal[last] + seeds.n[item] + margin, w.n[text])
-                yield from _scored(part["doc_id"], w, seeds, first_item, text, item, begin, end, threshold, min_words)
+                # whole texts at a time, until their hits are many
+                total = np.bincount(w.text_of()[at], each[word[at]], len(w.n)).cumsum().astype(np.int64)
+                cut = np.flatnonzero(np.diff(total // MOST_HITS)) + 1
+                for places in np.split(at, np.searchsorted(at, w.first()[cut])):
+                    found = _passages(w, word, places, items, seeds, each, base)
+                    if len(found[0]):
+                        yield from _scored(part["doc_id"], w, items, *found, threshold, min_words)
 
     return run
 
 
-def _scored(ids, w, seeds, first_item, text, item, begin, end, threshold, min_words):
+def _passages(w, word, at, items, seeds, each, base):
+    """text, item, begin and end of all stretches that can hold an alignment reaching the threshold."""
+    size = each[word[at]]
+    seed = np.repeat(base[word[at]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    at, item = np.repeat(at, size), seeds.item[seed]
+    order = np.lexsort((at, item))  # places of a text follow each other
+    at, item = at[order], item[order]
+    text = w.text_of()[at]
+    other = np.arange(len(at)) + seeds.hits[item] - 1
+    inside = other < len(at)
+    other[~inside] = 0
+    use = np.flatnonzero(inside & (item[other] == item) & (text[other] == text) & (at[other] - at < items.span[item]))
+    first, last, text, item = at[use], at[other[use]], text[use], item[use]
+    start = w.first()[text]
+    begin = np.maximum(last - items.span[item] + 1 - start, 0)
+    end = np.minimum(first + items.span[item] - start, w.n[text])
+    text, item, begin, end = _merged(text, item, begin, end)
+    good = np.zeros(len(text), bool)
+    stop = np.cumsum(end - begin)
+    for part in np.split(np.arange(len(text)), np.flatnonzero(np.diff(stop // MOST_HITS)) + 1):
+        good[part] = _enough(w, word, items, text[part], item[part], begin[part], end[part])
+    return text[good], item[good], begin[good], end[good]
+
+
+def _merged(text, item, begin, end):
+    """Stretches of one text and item that overlap as one; they arrive sorted by item, text and place."""
+    if not len(text):
+        return text, item, begin, end
+    new = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > end[:-1])]
+    edge = np.flatnonzero(new)
+    return text[edge], item[edge], np.minimum.reduceat(begin, edge), np.maximum.reduceat(end, edge)
+
+
+def _enough(w, word, items, text, item, begin, end):
+    """Whether some span of a stretch holds as many words of the item as an alignment has to match."""
+    if not len(text):
+        return np.zeros(0, bool)
+    size = end - begin
+    edge = np.cumsum(size) - size
+    flat = np.arange(size.sum())
+    which = np.repeat(np.arange(len(text)), size)
+    known = word[flat - edge[which] + (w.first()[text] + begin)[which]]
+    hit = (known >= 0) & W.member(item[which] * len(items.word) + known, items.pair)
+    total = np.r_[0, np.cumsum(hit)]
+    within = total[np.minimum(flat + items.span[item][which], (edge + size)[which])] - total[flat]
+    return np.maximum.reduceat(within, edge) >= items.need[item]
+
+
+def _scored(ids, w, items, text, item, begin, end, threshold, min_words):
+    first_item = items.first()
     base = w.first()[text] + begin
     size = end - begin
     found = []
-    order = np.lexsort((seeds.n[item], size))
+    order = np.lexsort((items.n[item], size))
     lo = 0
     while lo < len(order):
         hi = lo + 1
         while hi < len(order) and (hi - lo) * int(size[order[hi]]) < 60_000:
             hi += 1
         c = order[lo:hi]
-        wide, tall = int(size[c].max()), int(seeds.n[item[c]].max())
+        wide, tall = int(size[c].max()), int(items.n[item[c]].max())
         column = np.minimum(base[c][:, None] + np.arange(wide), len(w.h) - 1)
-        row = np.minimum(first_item[item[c]][:, None] + np.arange(tall), len(seeds.h) - 1)
-        best, start, stop = smith_waterman(seeds.h[row], seeds.n[item[c]], w.h[column], size[c])
-        score = best / (MATCH * seeds.n[item[c]])
+        row = np.minimum(first_item[item[c]][:, None] + np.arange(tall), len(items.h) - 1)
+        best, start, stop = smith_waterman(items.h[row], items.n[item[c]], w.h[column], size[c])
+        score = best / (MATCH * items.n[item[c]])
         good = (score >= threshold) & (best >= MATCH * min_words)
         found += [(int(text[i]), int(item[i]), float(s), int(begin[i] + x), int(begin[i] + y)) for i, s, x, y in zip(c[good], score[good], start[good], stop[good], strict=True)]
         lo = hi
@@ -168,18 +221,18 @@ def _scored(ids, w, seeds, first_item, text, item, begin, end, threshold, min_wo
             seen = (r[0], r[1])
     if kept:
         yield pa.RecordBatch.from_arrays([
-            ids.take(pa.array([r[0] for r in kept])), pa.array(seeds.ids[[r[1] for r in kept]]), pa.array([r[2] for r in kept]),
+            ids.take(pa.array([r[0] for r in kept])), pa.array(items.ids[[r[1] for r in kept]]), pa.array([r[2] for r in kept]),
             pa.array([r[3] for r in kept]), pa.array([r[4] for r in kept])], names=["doc_id", "item_id", "score", "first_word", "last_word"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, stretch: int = 3, threshold: float = 0.5, min_words: int = 6, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_words: int = 6, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Documents that hold a copy, whole or edited, of a benchmark item.
 
     Words are runs of ASCII letters and digits (A-Z in lower case) and of characters beyond ASCII.
     Returns a row per document and item whose best alignment scores at least `threshold` of the
     item's own score and at least `min_words` matching words: doc_id, item_id, score (0 to 1),
-    first_word and last_word (the aligned words of the document, from 0). Items of fewer than n words
-    have no seed and are never found. Null texts have no words; items with a null id are left out.
+    first_word and last_word (the aligned words of the document, from 0). No alignment that
+    does so is missed, whatever was edited. Null texts have no words; items with a null id are left out.
     Repeated rows each give their rows; items with one id are searched each. Empty tables: empty
     result. Extra columns are not read.
     """
@@ -193,12 +246,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, stretch: int
     out = None
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        block = _items(sorted(rows, key=lambda r: (r["item_id"], r["text"])), n)
-        grams = np.unique(block.gram)
-        frequency = np.zeros(len(grams), np.int64)
-        for r in docs.select("text").mapInArrow(_frequencies(grams, n), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect():
+        block = _items(sorted(rows, key=lambda r: (r["item_id"], r["text"])), threshold, min_words)
+        frequency = np.zeros(len(block.word), np.int64)
+        for r in docs.select("text").mapInArrow(_frequencies(block.word), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect():
             frequency[r["g"]] = r["n"]
-        seeds = rare_seeds(block, frequency[np.searchsorted(grams, block.gram)], stretch)
-        found = docs.mapInArrow(_align(seeds, n, threshold, min_words), OUT)
+        found = docs.mapInArrow(_align(block, rare_seeds(block, frequency), threshold, min_words), OUT)
         out = found if out is None else out.union(found)
     return out
