@@ -171,6 +171,22 @@ def test_thresholds_keep_within_the_risk(spark):
     assert sum(good) / len(good) >= 0.95 and not any(kept[i] for i in range(0, 3600, 4)) and all(kept[i] for i in range(3600, 4000))
 
 
+def test_few_good_labels_suffice(spark):
+    # 130 good and 40 bad labels in each of four strata: symbols set the bad ones apart
+    r = np.random.default_rng(4)
+    rows = [(i, " ".join(f"word{r.integers(1000)}" + ("##$$" if i % 17 < 4 else "") for _ in range(60)), f"l{i % 4}") for i in range(1360)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 17 >= 4)) for i in range(680)], "doc_id long, quality int")
+    cut = Q.thresholds(Q._scores(Q.features(docs)), labels).collect()
+    assert {c["stratum"] for c in cut} == {"l0", "l1", "l2", "l3"} and all(c["p_value"] <= 0.05 / 4 for c in cut)
+    kept = {x["doc_id"]: x["kept"] for x in Q.quality_verdicts(docs, labels).collect()}
+    assert not any(kept[i] for i in range(1360) if i % 17 < 4)
+    good = [kept[i] for i in range(680, 1360) if i % 17 >= 4]
+    assert sum(good) / len(good) >= 0.95
+    few = labels.where("doc_id < 340")  # 65 good ones each: too few for four strata
+    assert Q.thresholds(Q._scores(Q.features(docs)), few).collect() == []
+
+
 def test_quality_is_native(corpus, spark):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     plan = Q.quality_verdicts(corpus, labels)._jdf.queryExecution().toString() + Q.features(corpus)._jdf.queryExecution().toString()

@@ -1,19 +1,22 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions throughout.
 
 Features of whole texts are counted in the row. A rule rejects a document whose feature is beyond a
-cutoff. Labelled documents serve as holdout: in each stratum, for each rule and each cutoff of a fixed
-grid, the good documents that the cutoff would reject are counted, and the exact binomial tail
-P(X <= k), X ~ Bin(n, risk), is the p-value of "this cutoff rejects more than `risk` of the good
-documents". Only cutoffs whose p-value is at most alpha / (rules * strata * cutoffs) (Bonferroni over
-everything that is tried) are allowed, so with probability 1 - alpha no chosen cutoff of any stratum
-exceeds the risk. Of the allowed cutoffs the strictest is used if it rejects bad documents more often
-than good ones; a rule without one never rejects. Rules share the risk: each gets risk / rules, so
-the whole verdict keeps within it.
+cutoff. In each stratum the pairs of rule and cutoff (a fixed grid) are put into an order that is fixed
+before any good label is read: by how much more often bad labelled documents are beyond the cutoff
+than unlabelled ones, and only where they are at all. Step j rejects what any of the first j pairs
+rejects. The good documents that a step would reject are counted, and the exact binomial tail
+P(X <= k), X ~ Bin(n, risk), is the p-value of "this step rejects more than `risk` of the good
+documents". Steps are tested in sequence at level alpha / strata until one fails; as every step rejects
+what the one before does, the p-values rise and this is the last step at most that level. A fixed sequence
+needs no correction for its length, and what is tested is the joint verdict of all rules: with probability
+1 - alpha it exceeds the risk in no stratum. Of the allowed steps the one that catches most bad
+documents is used, of equals the one with the fewest false rejections, and with it the steps after it
+that reject no further labelled document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veritally.llm.common import staged
 
@@ -22,6 +25,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 RULES = {"word_length": "both", "symbol_share": "high", "dup_line_share": "high", "repeat_share": "high", "log_words": "both"}
 
 
+#: Unlabelled documents that the share of all documents beyond a cutoff counts for.
+PRIOR = 100
+
+
 def _bind(value: Column, use) -> Column:
     """use(value) with the value computed once per row."""
     return F.transform(F.array(value), use)[0]
@@ -110,35 +117,53 @@ def _log(x: float) -> float:
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, risk: float = 0.05, alpha: float = 0.05, cutoffs: int = 64) -> DataFrame:
-    """stratum, rule, cutoff, n_good, n_false, n_bad, n_caught, p_value of the chosen cutoffs.
+    """stratum, rule, cutoff of the chosen step, and its n_good, n_false, n_bad, n_caught, p_value.
 
     The grid of a rule is `cutoffs` quantiles of the feature over all documents, none of which looks
-    at a label, so the tests stay valid. Labels that disagree about a document count as bad.
+    at a label; the order of the steps looks at bad labels and at documents without one, so the tests
+    stay valid. Labels that disagree about a document count as bad. With zero false rejections a
+    stratum needs log(alpha / strata) / log(1 - risk) good documents: 59 for one stratum, 86 for four.
     """
-    rules = sum(2 if side == "both" else 1 for side in RULES.values())
     label = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     grid = scored.select(F.explode(_tests(RULES)).alias("t")).select("t.*").where("value is not null")
-    share = F.array(*[F.lit(0.5 + 0.5 * (i + 0.5) / cutoffs) for i in range(cutoffs)])
-    grid = grid.groupBy("rule").agg(F.percentile_approx("value", share, F.lit(10_000)).alias("grid")).select("rule", F.array_distinct("grid").alias("grid"))
-    seen = scored.where("not base_failed").join(label, "doc_id").select("stratum", "quality", F.explode(_tests(RULES)).alias("t")).select("stratum", "quality", "t.*")
+    tails = [0.5 - 0.5 * (i + 0.5) / cutoffs for i in range(cutoffs)]
+    grid = grid.groupBy("rule").agg(F.percentile_approx("value", F.array(*[F.lit(1 - t) for t in tails]), F.lit(10_000)).alias("g"))
+    pairs = F.zip_with("g", F.array(*map(F.lit, tails)), lambda g, t: F.struct(g.alias("cutoff"), t.alias("tail")))
+    # of equal quantiles the last has the share beyond it
+    pairs = _bind(pairs, lambda x: F.filter(x, lambda g, i: (i == F.size(x) - 1) | (F.get(x, i + 1)["cutoff"] > g["cutoff"])))
+    grid = staged(grid.select("rule", pairs.alias("g")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "g"))).alias("grid")), "quality-grid")
+    above = F.transform(_tests(RULES), lambda t: F.struct(t["rule"].alias("rule"), F.size(F.filter(F.col("grid")[t["rule"]], lambda g: t["value"] > g["cutoff"])).alias("above")))
+    seen = scored.where("not base_failed").join(label, "doc_id", "left").crossJoin(F.broadcast(grid)).select(
+        "stratum", F.when(F.col("quality").isNull(), "free").when(F.col("quality") > 0, "good").otherwise("bad").alias("kind"), above.alias("t"))
     # a document counts for every cutoff below its value: histogram first, then the sums over cutoffs
-    placed = seen.join(F.broadcast(grid), "rule").select(
-        "stratum", "rule", "quality", F.size(F.filter("grid", lambda g: F.col("value") > g)).alias("above"))
-    counts = placed.groupBy("stratum", "rule", "above").agg(
-        F.sum(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("quality") > 0, 0).otherwise(1)).alias("bad"))
-    counts = counts.groupBy("stratum", "rule").agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"), F.collect_list(F.struct("above", "good", "bad")).alias("h"))
+    count = lambda kind: F.sum((F.col("kind") == kind).cast("long"))
+    counts = seen.where("kind != 'good'").select("stratum", "kind", F.explode("t").alias("t")).groupBy("stratum", "t.rule", "t.above").agg(count("bad").alias("bad"), count("free").alias("free"))
+    counts = counts.groupBy("stratum", "rule").agg(F.sum("bad").alias("n_bad"), F.sum("free").alias("n_free"), F.collect_list(F.struct("above", "bad", "free")).alias("h"))
     total = lambda name, i: F.aggregate(F.filter("h", lambda x: x["above"] > i), F.lit(0).cast("long"), lambda acc, x: acc + x[name])
-    tried = counts.join(F.broadcast(grid), "rule").select(
-        "stratum", "rule", "n_good", "n_bad",
-        F.explode(F.transform("grid", lambda g, i: F.struct(g.alias("cutoff"), total("good", i).alias("n_false"), total("bad", i).alias("n_caught")))).alias("c")).select("stratum", "rule", "n_good", "n_bad", "c.*")
-    strata = F.expr("greatest(count(distinct stratum), 1)")
-    level = tried.agg((F.lit(alpha) / (strata * rules * cutoffs)).alias("level"))
+    tried = counts.where("n_bad > 0").crossJoin(F.broadcast(grid)).select(
+        "stratum", "rule", "n_bad", "n_free", F.explode(F.transform(F.col("grid")[F.col("rule")], lambda g, i: F.struct(
+            i.alias("place"), g["cutoff"].alias("cutoff"), g["tail"].alias("tail"), total("bad", i).alias("bad"), total("free", i).alias("free")))).alias("c")).select("stratum", "rule", "n_bad", "n_free", "c.*")
+    lift = F.col("bad") / F.col("n_bad") / ((F.col("free") + PRIOR * F.col("tail")) / (F.col("n_free") + PRIOR))
+    order = Window.partitionBy("stratum").orderBy(F.desc("lift"), F.desc("cutoff"), "rule")
+    steps = staged(tried.select("stratum", "rule", "place", "cutoff", lift.alias("lift")).where("lift > 1").withColumn("step", F.row_number().over(order)), "quality-steps")
+    path = steps.groupBy("stratum").agg(F.collect_list(F.struct("rule", "place", "step")).alias("path"))
+    # the first step that rejects a document
+    known = seen.where("kind != 'free'").select("stratum", "kind", F.map_from_entries("t").alias("t")).join(F.broadcast(path), "stratum", "left")
+    first = F.array_min(F.transform(F.filter("path", lambda p: F.col("t")[p["rule"]] > p["place"]), lambda p: p["step"]))
+    counts = known.select("stratum", "kind", first.alias("step")).groupBy("stratum", "step").agg(count("good").alias("good"), count("bad").alias("bad"))
+    counts = counts.groupBy("stratum").agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"), F.collect_list(F.struct("step", "good", "bad")).alias("h"))
+    until = lambda name, j: F.aggregate(F.filter("h", lambda x: x["step"] <= j), F.lit(0).cast("long"), lambda acc, x: acc + x[name])
+    at = F.filter("h", lambda x: x["step"].isNotNull())
+    tried = counts.select("stratum", "n_good", "n_bad", F.explode(F.transform(at, lambda x: F.struct(
+        x["step"].alias("step"), F.array_min(F.transform(F.filter("h", lambda y: y["step"] > x["step"]), lambda y: y["step"])).alias("next"), until("good", x["step"]).alias("n_false"), until("bad", x["step"]).alias("n_caught")))).alias("c")).select("stratum", "n_good", "n_bad", "c.*")
+    level = counts.agg((F.lit(alpha) / F.greatest(F.count("stratum"), F.lit(1))).alias("level"))
     # the tail is summed only where it can be small: k below its mean
-    tested = tried.where(F.col("n_false") < F.col("n_good") * F.lit(risk / rules)).withColumn("p_value", binomial_tail(F.col("n_false"), F.col("n_good"), risk / rules))
+    tested = tried.where(F.col("n_false") < F.col("n_good") * F.lit(risk)).withColumn("p_value", binomial_tail(F.col("n_false"), F.col("n_good"), risk))
     allowed = tested.crossJoin(F.broadcast(level)).where(
         (F.col("p_value") <= F.col("level")) & (F.col("n_caught") * F.col("n_good") > F.col("n_false") * F.col("n_bad")))
-    best = allowed.groupBy("stratum", "rule").agg(F.min(F.struct("cutoff", "n_good", "n_false", "n_bad", "n_caught", "p_value")).alias("best"))
-    return best.select("stratum", "rule", "best.*")
+    best = allowed.groupBy("stratum").agg(F.max(F.struct("n_caught", (-F.col("n_false")).alias("spared"), "step", "next", "n_good", "n_false", "n_bad", "p_value")).alias("best")).select("stratum", "best.*").drop("step")
+    used = steps.join(F.broadcast(best), "stratum").where("next is null or step < next")
+    return used.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"), *[F.first(c).alias(c) for c in ("n_good", "n_false", "n_bad", "n_caught", "p_value")])
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.05, alpha: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
