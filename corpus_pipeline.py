@@ -13,22 +13,24 @@ from veritally.llm import decontaminate, jaccard, language, packing, substring
 from veritally.llm.common import staged, table
 from veritally.llm.tokens import vocabulary
 
-#: Below this share of the best language the text counts as none of them; with four languages a
-#: text that says nothing about any has 0.25.
-MIN_LANGUAGE_SCORE = 0.3
+#: A text counts as none of the languages if its best one has less than so many times the even share
+#: 1 / languages, which is the score of a text that says nothing about any.
+MIN_LANGUAGE_LIFT = 1.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters or text, and those that are like no language of the corpus.
 
-    The classifier learns from the rows that have a language. Rows are otherwise unchanged.
+    The classifier learns from the rows that have a language. Of one language there is nothing to tell
+    apart, so only documents without letters go. Rows are otherwise unchanged.
     """
     names = docs.columns
     model = language.fit(docs)
     known = language.predict(docs, model, F.struct(*names))
     if not model.languages:  # nothing to learn from: only texts without letters go
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return known.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("id.*")
+    least = MIN_LANGUAGE_LIFT / len(model.languages) if len(model.languages) > 1 else 0.0
+    return known.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least)).select("id.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

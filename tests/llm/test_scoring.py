@@ -220,3 +220,20 @@ def test_kernel_counts_common_grams():
     assert has.tolist() == [True, True, False, False, True]
     assert x[0].sum() >= x[1].sum() and x[2].sum() == x[3].sum() == 0
     assert (x[0] * x[1]).sum() == x[1].sum()
+
+
+@pytest.mark.parametrize("languages", [1, 2, 150])
+def test_language_stage_with_few_and_many_languages(make, spark, languages):
+    from corpus_pipeline import identify_language
+
+    r = np.random.default_rng(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(languages):
+        some = ["".join(r.choice(list(letters), 4)) for _ in range(12)]  # the words of a language
+        rows += [(3 * k + j, " ".join(r.choice(some, 60)), f"l{k:03}") for j in range(3)]
+    odd = [(1000, "\u10d0\u10d1 \u10d2", None), (1001, "123", None), (1002, None, None)]  # a script no language has; no letters
+    got = {x["doc_id"] for x in identify_language(spark, make(rows + odd), "").collect()}
+    assert got >= {x[0] for x in rows} and not got & {1001, 1002}
+    if languages == 2:
+        assert 1000 not in got
