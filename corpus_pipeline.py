@@ -60,9 +60,13 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a whole or edited benchmark item; rows with a null id stay."""
-    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents that hold a whole or edited benchmark item, whatever their id.
+
+    What a text holds does not depend on its row, so rows are known by the hash of their text.
+    """
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    leaks = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_text_key").select(F.col("doc_id").alias("_text_key")).distinct()
+    return keyed.join(leaks, "_text_key", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -181,3 +181,14 @@ def test_decontamination_is_alignment_with_whole_documents(make, spark, threshol
     benchmark = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"], r["score"]) for r in contaminated(make(rows), benchmark, threshold=threshold).collect()}
     assert want and got == want
+
+
+def test_short_items_and_null_ids(make, spark, tmp_path):
+    from corpus_pipeline import drop_benchmark_leaks
+
+    benchmark = spark.createDataFrame([(1, "one two"), (2, "red green blue cyan"), (3, " ".join(ITEM))], "item_id long, text string")
+    rows = [(1, "so one two it is"), (2, "a red green blue cyan b"), (3, "two one red blue"), (None, "x " + " ".join(ITEM)), (None, "clean"), (4, None)]
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in contaminated(make(rows), benchmark).collect()) == [(0, 3), (1, 1), (2, 2)]
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = drop_benchmark_leaks(spark, make(rows), str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == [(0, "clean"), (3, "two one red blue"), (4, "")]

@@ -56,7 +56,7 @@ class Seeds(NamedTuple):
 
 def _items(rows: list, threshold: float, min_words: int) -> Items:
     w = W.words(pa.array([r["text"] for r in rows], pa.string()), W.ALNUM)
-    need = np.maximum(np.ceil(threshold * w.n - 1e-9).astype(np.int64), min_words)
+    need = np.maximum(np.ceil(threshold * w.n - 1e-9).astype(np.int64), np.minimum(min_words, w.n))
     need = np.maximum(need, 1)
     # m matched words and c charged ones score at most 2 m - c, and cover at most m + c words
     span = np.maximum(3 * w.n - np.ceil(MATCH * threshold * w.n - 1e-9).astype(np.int64), w.n)
@@ -210,7 +210,7 @@ def _scored(ids, w, items, text, item, begin, end, threshold, min_words):
         row = np.minimum(first_item[item[c]][:, None] + np.arange(tall), len(items.h) - 1)
         best, start, stop = smith_waterman(items.h[row], items.n[item[c]], w.h[column], size[c])
         score = best / (MATCH * items.n[item[c]])
-        good = (score >= threshold) & (best >= MATCH * min_words)
+        good = (score >= threshold) & (best >= MATCH * np.minimum(min_words, items.n[item[c]]))
         found += [(int(text[i]), int(item[i]), float(s), int(begin[i] + x), int(begin[i] + y)) for i, s, x, y in zip(c[good], score[good], start[good], stop[good], strict=True)]
         lo = hi
     found.sort(key=lambda r: (r[0], r[1], -r[2], r[3]))
@@ -230,7 +230,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
 
     Words are runs of ASCII letters and digits (A-Z in lower case) and of characters beyond ASCII.
     Returns a row per document and item whose best alignment scores at least `threshold` of the
-    item's own score and at least `min_words` matching words: doc_id, item_id, score (0 to 1),
+    item's own score and that of `min_words` matching words (of all, if the item has fewer): doc_id, item_id, score (0 to 1),
     first_word and last_word (the aligned words of the document, from 0). No alignment that
     does so is missed, whatever was edited. Null texts have no words; items with a null id are left out.
     Repeated rows each give their rows; items with one id are searched each. Empty tables: empty
