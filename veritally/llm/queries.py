@@ -17,6 +17,7 @@ from veritally.llm.packing import best_fit_pack
 from veritally.llm.quality import quality_verdicts
 from veritally.llm.substring import substring_dedup
 from veritally.llm.tokens import vocabulary
+from veritally.llm.whitening import whitened
 
 
 @query("op2_substring_dedup")
@@ -68,3 +69,8 @@ def op7(spark, sf_dir):
 @query("op4_training_order")
 def op4(spark, sf_dir):
     return training_order(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark, sf_dir):
+    return whitened(table(spark, sf_dir, "embeddings"), components=16)
