@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veritally.llm.alignment import alignment
 from veritally.llm.common import table
 from veritally.llm.registry import EXPECTED, QUERIES, query  # noqa: F401
 from veritally.llm.decontaminate import contaminated
@@ -74,3 +75,9 @@ def op4(spark, sf_dir):
 @query("op13_embedding_whitening")
 def op13(spark, sf_dir):
     return whitened(table(spark, sf_dir, "embeddings"), components=16)
+
+
+@query("op12_token_alignment")
+def op12(spark, sf_dir):
+    out = alignment(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return out.drop("a", "b", "times")
