@@ -15,6 +15,7 @@ from veritally.llm.mainhtml import main_content
 from veritally.llm.ngram import perplexity_scores
 from veritally.llm.ordering import training_order
 from veritally.llm.packing import best_fit_pack
+from veritally.llm.privacy import personal_spans
 from veritally.llm.quality import quality_verdicts
 from veritally.llm.substring import substring_dedup
 from veritally.llm.tokens import vocabulary
@@ -81,3 +82,9 @@ def op13(spark, sf_dir):
 def op12(spark, sf_dir):
     out = alignment(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
     return out.drop("a", "b", "times")
+
+
+@query("op11_personal_data")
+def op11(spark, sf_dir):
+    out = personal_spans(table(spark, sf_dir, "documents"))
+    return out.withColumn("base_spans", F.sha2("base_spans", 256)).withColumnRenamed("base_spans", "base_sha256")
