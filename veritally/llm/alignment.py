@@ -28,7 +28,7 @@ from veritally.llm.common import bounded_batches, staged
 
 #: Fixed: the pre-tokenizer of byte-level BPE vocabularies of this kind.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-MOST_WINDOWS = 500_000
+MOST_WINDOWS = 400_000
 SLICE = 1 << 21  # bytes of text per step
 HEAD = 1 << 20
 FLUSH = 1 << 20  # pairs counted in a task before they are sent on
@@ -61,8 +61,8 @@ class ByteLevel:
 
         self.model = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.model.encode_ordinary(t) for t in texts]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [self.model.encode_to_numpy(t, disallowed_special=()) for t in texts]
 
 
 class Pieces:
@@ -102,24 +102,28 @@ def align_window(a: list[int], b: list[int], a_length: list[int], b_length: list
     """Of a window's ids and their byte lengths: the groups as text, their number, and the linked pairs.
 
     Groups end where tokens of both end. Within one, the tokens at hand are linked, and the one that
-    ends first gives way to the next.
+    ends first gives way to the next. A lone token is linked with all of the other side.
     """
+    if len(a) == 1 or len(b) == 1:
+        return ",".join(map(str, a)) + "|" + ",".join(map(str, b)), 1, [x << _A | y for x in a for y in b]
     groups, pairs = [], []
     i = j = i0 = j0 = 0
-    a_end, b_end = (a_length[0] if a else 0), (b_length[0] if b else 0)
-    while i < len(a) and j < len(b):
+    a_end, b_end = a_length[0], b_length[0]
+    while True:
         pairs.append(a[i] << _A | b[j])
-        step_a, step_b = a_end <= b_end, b_end <= a_end
-        if step_a:
-            i += 1
-            a_end += a_length[i] if i < len(a) else 0
-        if step_b:
-            j += 1
-            b_end += b_length[j] if j < len(b) else 0
-        if step_a and step_b:
+        if a_end == b_end:
+            i, j = i + 1, j + 1
             groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
+            if i == len(a):
+                return ";".join(groups), len(groups), pairs
             i0, j0 = i, j
-    return ";".join(groups), len(groups), pairs
+            a_end, b_end = a_end + a_length[i], b_end + b_length[j]
+        elif a_end < b_end:
+            i += 1
+            a_end += a_length[i]
+        else:
+            j += 1
+            b_end += b_length[j]
 
 
 class Aligner:
@@ -156,7 +160,7 @@ class Aligner:
         whole = np.array([bool(t) for t in texts])
         flat = []
         for v, ids, n in ((self.a, ids_a, n_a), (self.b, ids_b, n_b)):
-            ids = np.concatenate([np.zeros(0, np.int64), *[np.array(x, np.int64) for x, k in zip(ids, n, strict=True) if k]])
+            ids = np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x, k in zip(ids, n, strict=True) if k]])
             total = np.bincount(np.repeat(np.arange(len(texts)), n), v.length[ids], len(texts)).astype(np.int64)
             whole &= total == size
             flat.append(ids)
@@ -198,17 +202,34 @@ class Aligner:
         return n_a, n_b, n_groups, n_links, digest, pairs[first], times, np.bincount(of[first], minlength=count)
 
     def _slots(self, a, b, lo_a, hi_a, lo_b, hi_b) -> np.ndarray:
+        """The table's entry of each window. Equal windows of the batch are looked up once: they are found
+        by a hash of their ids, and then compared id by id."""
+        if not len(lo_a):
+            return np.zeros(0, np.int64)
         if len(self.text) > MOST_WINDOWS:
             self._empty()
-        ba, bb, slot = a.astype("<u4").tobytes(), b.astype("<u4").tobytes(), self.slot
-        out = []
-        for p, q, r, s in zip((4 * lo_a).tolist(), (4 * hi_a).tolist(), (4 * lo_b).tolist(), (4 * hi_b).tolist(), strict=True):
-            key = (ba[p:q], bb[r:s])
+        hashed = W.mix(_rolled(a, lo_a, hi_a, 1) ^ W.mix(_rolled(b, lo_b, hi_b, 2)))
+        _, first, each = np.unique(hashed, return_index=True, return_inverse=True)
+        n_a, n_b, like = hi_a - lo_a, hi_b - lo_b, first[each]
+        if not (np.array_equal(n_a, n_a[like]) and np.array_equal(n_b, n_b[like]) and np.array_equal(a, a[_ranges(lo_a[like], n_a)]) and np.array_equal(b, b[_ranges(lo_b[like], n_b)])):
+            first = each = np.arange(len(lo_a))  # two windows with one hash: look up every one
+        ba, bb, slot, out = a.astype("<u4").tobytes(), b.astype("<u4").tobytes(), self.slot, []
+        for p, q, r, s in zip(lo_a[first].tolist(), hi_a[first].tolist(), lo_b[first].tolist(), hi_b[first].tolist(), strict=True):
+            key = ba[4 * p:4 * q] + _BETWEEN + bb[4 * r:4 * s]
             k = slot.get(key)
             if k is None:
-                k = slot[key] = self._learn(a[p // 4:q // 4], b[r // 4:s // 4])
+                k = slot[key] = self._learn(a[p:q], b[r:s])
             out.append(k)
-        return np.array(out, np.int64)
+        return np.array(out, np.int64)[each]
+
+
+_BETWEEN = b"\xff" * 4  # no id
+
+
+def _rolled(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, side: int) -> np.ndarray:
+    """A hash of each window ids[lo:hi]; windows are not empty and follow each other."""
+    place = np.arange(len(ids)) - np.repeat(lo, hi - lo)
+    return np.add.reduceat(W.mix(ids.astype(np.uint64) << np.uint64(34) | place.astype(np.uint64) << np.uint64(2) | np.uint64(side)), lo)
 
 
 @functools.lru_cache(maxsize=1)
