@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tests.llm.conftest import ODD
@@ -107,10 +108,11 @@ def test_windows_forget_without_change(tokenizers, corpus, monkeypatch):
     assert [work.texts([t])[4] for t in texts] == once and len(work.text) < 20_000
 
 
-def test_window_by_hand():
-    text, n, pairs = A.align_window([1, 2, 3], [7, 8], [2, 3, 4], [2, 7])
-    assert (text, n) == ("1|7;2,3|8", 2)
-    assert [(p >> 32, p & 0xFFFFFFFF) for p in pairs] == [(1, 7), (2, 8), (3, 8)]
+def test_windows_by_hand():
+    length = np.array([0, 2, 3, 4, 1, 0, 0, 2, 7])
+    texts, n_groups, n_links, pairs = A.align_windows(np.array([1, 2, 3, 4]), np.array([3, 1]), np.array([7, 8, 4]), np.array([2, 1]), length, length)
+    assert texts == ["1|7;2,3|8", "4|4"] and n_groups.tolist() == [2, 1] and n_links.tolist() == [3, 1]
+    assert [(p >> 32, p & 0xFFFFFFFF) for p in pairs.tolist()] == [(1, 7), (2, 8), (3, 8), (4, 4)]
 
 
 def test_empty_table(empty):

@@ -61,8 +61,8 @@ class ByteLevel:
 
         self.model = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [self.model.encode_to_numpy(t, disallowed_special=()) for t in texts]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [self.model.encode_ordinary(t) for t in texts]
 
 
 class Pieces:
@@ -98,32 +98,39 @@ def _ranges(at: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(at - (stop - length), length) + np.arange(stop[-1] if len(stop) else 0)
 
 
-def align_window(a: list[int], b: list[int], a_length: list[int], b_length: list[int]) -> tuple[str, int, list[int]]:
-    """Of a window's ids and their byte lengths: the groups as text, their number, and the linked pairs.
-
-    Groups end where tokens of both end. Within one, the tokens at hand are linked, and the one that
-    ends first gives way to the next. A lone token is linked with all of the other side.
+def align_windows(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, a_length: np.ndarray, b_length: np.ndarray) -> tuple:
+    """Of windows in a row, with n_a and n_b ids each: their groups as texts and their number, and the
+    linked pairs and their number. Both sides of a window have the same bytes, so places on one line of
+    all windows' bytes do for all of them.
     """
-    if len(a) == 1 or len(b) == 1:
-        return ",".join(map(str, a)) + "|" + ",".join(map(str, b)), 1, [x << _A | y for x in a for y in b]
-    groups, pairs = [], []
-    i = j = i0 = j0 = 0
-    a_end, b_end = a_length[0], b_length[0]
-    while True:
-        pairs.append(a[i] << _A | b[j])
-        if a_end == b_end:
-            i, j = i + 1, j + 1
-            groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-            if i == len(a):
-                return ";".join(groups), len(groups), pairs
-            i0, j0 = i, j
-            a_end, b_end = a_end + a_length[i], b_end + b_length[j]
-        elif a_end < b_end:
-            i += 1
-            a_end += a_length[i]
-        else:
-            j += 1
-            b_end += b_length[j]
+    ends_a, ends_b = np.cumsum(a_length[a]), np.cumsum(b_length[b])
+    shared = np.intersect1d(ends_a, ends_b)
+    of_window = np.searchsorted(ends_a[np.cumsum(n_a) - 1], shared, "left")
+    # links: the B tokens whose bytes meet those of each A token
+    first = np.searchsorted(ends_b, ends_a - a_length[a], "right")
+    each = np.searchsorted(ends_b - b_length[b], ends_a, "left") - first
+    pairs = np.repeat(a, each) << _A | b[_ranges(first, each)]
+    n_links = np.add.reduceat(each, np.cumsum(n_a) - n_a)
+    # texts: ids of both sides in the order of their groups, A before B, each with the sign behind it
+    group_a, group_b = np.searchsorted(shared, ends_a, "left"), np.searchsorted(shared, ends_b, "left")
+    until_a, until_b = (np.cumsum(np.bincount(g, minlength=len(shared))) for g in (group_a, group_b))
+    ids, sign = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+    ids[np.arange(len(a)) + np.r_[0, until_b][group_a]] = a
+    ids[np.arange(len(b)) + until_a[group_b]] = b
+    sign[until_a + np.r_[0, until_b[:-1]] - 1], sign[until_a + until_b - 1] = ord("|"), ord(";")
+    pool, at, length = _decimals(max(len(a_length), len(b_length)))
+    text, stop = pool[_ranges(at[ids], length[ids])], np.cumsum(length[ids])
+    text[stop - 1] = sign
+    line, cut = text.tobytes().decode("ascii"), [0, *stop[np.cumsum(n_a + n_b) - 1].tolist()]
+    texts = [line[lo:hi - 1] for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+    return texts, np.bincount(of_window, minlength=len(n_a)), n_links, pairs
+
+
+@functools.lru_cache(maxsize=2)
+def _decimals(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers below n as text with one place behind each, in one array."""
+    length = np.array([len(str(i)) + 1 for i in range(n)], np.int64)
+    return np.frombuffer("".join(f"{i}," for i in range(n)).encode(), np.uint8), np.cumsum(length) - length, length
 
 
 class Aligner:
@@ -138,18 +145,13 @@ class Aligner:
         self.text, self.n_groups, self.n_links = [], np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.at, self.pairs, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def _learn(self, a: np.ndarray, b: np.ndarray) -> int:
-        text, n, pairs = align_window(a.tolist(), b.tolist(), self.a.length[a].tolist(), self.b.length[b].tolist())
-        s = len(self.text)
-        if s == len(self.at):
-            self.n_groups, self.n_links, self.at = (np.concatenate([x, np.zeros_like(x)]) for x in (self.n_groups, self.n_links, self.at))
-        if self.used + len(pairs) > len(self.pairs):
-            self.pairs = np.concatenate([self.pairs, np.zeros(max(len(self.pairs), len(pairs)), np.int64)])
-        self.text.append(text)
-        self.n_groups[s], self.n_links[s], self.at[s] = n, len(pairs), self.used
-        self.pairs[self.used:self.used + len(pairs)] = pairs
+    def _learn(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray):
+        texts, n_groups, n_links, pairs = align_windows(a, n_a, b, n_b, self.a.length, self.b.length)
+        self.text += texts
+        at = self.used + np.cumsum(n_links) - n_links
+        self.n_groups, self.n_links, self.at = (_put(x, len(self.text) - len(texts), y) for x, y in ((self.n_groups, n_groups), (self.n_links, n_links), (self.at, at)))
+        self.pairs = _put(self.pairs, self.used, pairs)
         self.used += len(pairs)
-        return s
 
     def texts(self, texts: list[str]) -> tuple:
         """Per text: n_a, n_b, n_groups, n_links, digest, and its distinct pairs with their number of links."""
@@ -213,16 +215,28 @@ class Aligner:
         n_a, n_b, like = hi_a - lo_a, hi_b - lo_b, first[each]
         if not (np.array_equal(n_a, n_a[like]) and np.array_equal(n_b, n_b[like]) and np.array_equal(a, a[_ranges(lo_a[like], n_a)]) and np.array_equal(b, b[_ranges(lo_b[like], n_b)])):
             first = each = np.arange(len(lo_a))  # two windows with one hash: look up every one
-        ba, bb, slot, out = a.astype("<u4").tobytes(), b.astype("<u4").tobytes(), self.slot, []
-        for p, q, r, s in zip(lo_a[first].tolist(), hi_a[first].tolist(), lo_b[first].tolist(), hi_b[first].tolist(), strict=True):
-            key = ba[4 * p:4 * q] + _BETWEEN + bb[4 * r:4 * s]
-            k = slot.get(key)
-            if k is None:
-                k = slot[key] = self._learn(a[p:q], b[r:s])
+        ba, bb, slot, out, new = a.astype("<u4").tobytes(), b.astype("<u4").tobytes(), self.slot, [], []
+        known = len(slot)
+        for w, p, q, r, s in zip(first.tolist(), (4 * lo_a[first]).tolist(), (4 * hi_a[first]).tolist(), (4 * lo_b[first]).tolist(), (4 * hi_b[first]).tolist(), strict=True):
+            key = ba[p:q] + _BETWEEN + bb[r:s]
+            k = slot.setdefault(key, known)
+            if k == known:
+                known += 1
+                new.append(w)
             out.append(k)
+        if new:
+            self._learn(a[_ranges(lo_a[new], n_a[new])], n_a[new], b[_ranges(lo_b[new], n_b[new])], n_b[new])
         return np.array(out, np.int64)[each]
 
 
+def _put(x: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """x with values from `at` on, grown by doubling."""
+    if at + len(values) > len(x):
+        x = np.concatenate([x[:at], np.zeros(max(at, len(values)), x.dtype)])
+    x[at:at + len(values)] = values
+    return x
+
+
 _BETWEEN = b"\xff" * 4  # no id
 
 
