@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veritally.functions import fixed as X
 from veritally.functions.text import strip, unix_lines
+from veritally.sources.stage import staged
+from veritally.sources.stored import StoredTables
 
 
 # --- tokens and chunks --------------------------------------------------------------
@@ -95,6 +97,42 @@ def reindex(stored_docs: DataFrame, stored_chunks: DataFrame, seen: DataFrame) -
     return docs, kept.unionByName(new_chunks.select(*kept.columns))
 
 
+DOC_ROW = "path string, name string, mtime double, year int, error string"
+CHUNK_ROW = "path string, chunk_no int, label string, text string, tokens array<string>, length int"
+
+
+def update_index(store: StoredTables, seen: DataFrame, complete: bool = True, notes: dict[str, int] | None = None,
+                 seen_before: DataFrame | None = None) -> DataFrame:
+    """Brings the stored tables `docs` and `chunks` up to date with a snapshot; returns (path, action).
+
+    `seen`: path, name, mtime, error, text, one row per path. Only buckets with a new, changed, failed or
+    vanished document are written; only new and changed documents are chunked; without any change there
+    is no new version (with `notes` there is a manifest). If the snapshot is not `complete`, documents
+    that it does not name stay - but for those that `seen_before` (path) does not name either, if given.
+    """
+    stored = store.read("docs", DOC_ROW)
+    actions = archive_diff(stored, seen)
+    if not complete:
+        if seen_before is None:
+            actions = actions.where("action <> 'removed'")
+        else:
+            actions = actions.join(seen_before.select("path", F.lit(True).alias("_before")), "path", "left").where("action <> 'removed' or _before is null").select("path", "action")
+    actions = staged(actions.withColumn("bucket", store.bucket("path")), "actions")
+    changed = actions.where("action <> 'skipped'")
+    touched = [r["bucket"] for r in changed.select("bucket").distinct().collect()]
+    if not touched:
+        if notes:
+            store.commit({}, [], notes)
+        return actions.drop("bucket")
+    fresh = seen.join(changed.where("action <> 'removed'").select("path", "action"), "path")
+    docs = store.read("docs", DOC_ROW, touched).join(changed.select("path"), "path", "left_anti").unionByName(
+        fresh.withColumn("year", guess_year(F.col("name"))).selectExpr("path", "name", "cast(mtime as double) as mtime", "year", "error"))
+    new = chunks(fresh.where("action = 'indexed'"), ["path"]).withColumn("label", F.lit(X.BODY_LABEL))
+    rows = store.read("chunks", CHUNK_ROW, touched).join(changed.select("path"), "path", "left_anti")
+    store.commit({"docs": docs, "chunks": rows.unionByName(new.select(*rows.columns))}, touched, notes)
+    return actions.drop("bucket")
+
+
 def archive_stats(docs: DataFrame, chunk_rows: DataFrame) -> DataFrame:
     """docs, failed, chunks in one row, each counted with partial sums."""
     a = docs.select(F.col("error").isNull().cast("long").alias("docs"),

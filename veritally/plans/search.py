@@ -9,7 +9,8 @@ from veritally.operators import archive as A
 from veritally.plans.registry import query
 from veritally.plans.render import expected, frame, table
 from veritally.sources import parts as S
-from veritally.sources.stage import staged
+from veritally.sources.stage import fresh_path, staged
+from veritally.sources.stored import StoredTables
 
 OLD, NEW = expected("archive_old"), expected("archive_new")
 
@@ -145,8 +146,11 @@ def stored_index(spark, sf) -> tuple[DataFrame, DataFrame]:
       select path as doc_id, text from {NEW} n where error is null and not exists (select 1 from {OLD} o where o.path = n.path and o.mtime = n.mtime and o.error is null)
       union all select o.path, o.text from {OLD} o join {NEW} n on o.path = n.path and o.mtime = n.mtime and o.error is null))""") + " select doc_id as path, chunk_no, text from c")
 def archive_reindex(spark, sf):
-    docs, rows = stored_index(spark, sf)
-    return A.reindex(docs, rows, frame(spark, sf, "archive_new"))[1].select("path", "chunk_no", "text")
+    """The stored index after two snapshots: the second update writes only the buckets it touches."""
+    store = StoredTables(spark, fresh_path(spark, "archive"), "path")
+    for snapshot in ("archive_old", "archive_new"):
+        A.update_index(store, frame(spark, sf, snapshot))
+    return store.read("chunks", A.CHUNK_ROW).select("path", "chunk_no", "text")
 
 
 @query("archive_stats", _CHUNKS.replace("from documents)", f"from (select doc_id, text from {OLD} o where error is null))") + f"""
