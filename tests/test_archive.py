@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from veritally.operators import archive as A
@@ -74,3 +75,70 @@ def test_cosine(spark):
     q = spark.createDataFrame([(9, [2.0, 0.1])], "query_id long, embedding array<float>")
     got = [r.vec_id for r in A.cosine_topk(v, q, k=3).orderBy("rank").collect()]
     assert got == [1, 4, 2]
+
+
+def plain_best(terms, n, k):
+    score = [0.0] * n
+    for w, t in terms:
+        for a, p in zip(t.at, t.part):
+            score[a] += w * p
+    return sorted((i for i in range(n) if score[i]), key=lambda i: (-round(score[i], 9), i))[:k], score
+
+
+def test_pruned_search_equals_a_full_one():
+    rng, skipped = np.random.default_rng(1), 0
+    for trial in range(200):
+        n, k = int(rng.integers(1, 3000)), int(rng.integers(1, 8))
+        terms = []
+        for _ in range(int(rng.integers(1, 9))):
+            at = np.flatnonzero(rng.random(n) < rng.choice([0.002, 0.05, 0.9]))
+            if len(at):
+                part = np.round(rng.random(len(at)), 1 if trial % 2 else 6) + 0.1  # ties in every other trial
+                terms.append((float(np.log(1 + n / len(at))), A.TermPostings(at, part)))
+        looked = []
+        top, scores = A.best_chunks(terms, n, k, looked)
+        want, score = plain_best(terms, n, k)
+        assert top.tolist() == want
+        assert np.allclose(scores, [score[i] for i in want])
+        skipped += sum(looked) < sum(len(t.at) for _, t in terms)
+    assert skipped > 50
+
+
+def test_search_equals_brute_force_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(A, "SHARD", 7)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i % 40 if i % 11 else None, " ".join(rng.choices(words, weights=range(30, 0, -1), k=rng.randint(0, 40)))) for i in range(90)]
+    rows = A.chunks(spark.createDataFrame(docs, "doc_id long, text string").withColumn("place", F.monotonically_increasing_id()).repartition(4), ["doc_id", "place"])
+    rows = rows.cache()
+    queries = spark.createDataFrame([(i, " ".join(rng.sample([*words, "none"], rng.randint(1, 12)))) for i in range(25)] + [(99, "none"), (98, "")], "query_id long, text string")
+    got = {}
+    for r in A.search_postings(A.term_postings(rows, ["doc_id", "place", "chunk_no"]).cache(), queries, ["doc_id", "place", "chunk_no"], block=4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], (r.doc_id, r.place), round(r.score, 7)))
+    data = [((r.doc_id, r.place), r.tokens) for r in rows.collect()]
+    n, avgdl = len(data), sum(len(t) for _, t in data) / len(data)
+    want = {}
+    for q in queries.collect():
+        scored = []
+        for key, t in data:
+            s = 0.0
+            for term in set(q.text.split()):
+                tf, df = t.count(term), sum(term in u for _, u in data)
+                if tf:
+                    s += np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avgdl))
+            if s:
+                scored.append((-round(s, 9), (key[0] is not None, key[0], key[1]), key, s))
+        if scored:
+            want[q.query_id] = [(i + 1, x[2], round(float(x[3]), 7)) for i, x in enumerate(sorted(scored)[:5])]
+    assert {q: sorted(v) for q, v in got.items()} == want
+
+
+def test_postings_keep_groups_apart_and_take_empty_tables(spark):
+    rows = A.chunks(spark.createDataFrame([(i, f"word{i} all") for i in range(20)], "doc_id long, text string"), ["doc_id"]).withColumn("bucket", (F.col("doc_id") % 3).cast("int"))
+    p = A.term_postings(rows, ["doc_id", "chunk_no"], "bucket")
+    for r in p.where("term is null").collect():
+        assert {key["doc_id"] % 3 for key in r["keys"]} == {r["bucket"]}
+    none = rows.where("false")
+    q = spark.createDataFrame([(1, "all")], "query_id long, text string")
+    assert A.bm25(none, q, ["doc_id", "chunk_no"]).collect() == []
+    assert A.bm25(rows, q.where("false"), ["doc_id", "chunk_no"]).collect() == []

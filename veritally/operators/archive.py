@@ -157,36 +157,167 @@ def term_df(chunk_rows: DataFrame) -> DataFrame:
         F.count("*").alias("df"))
 
 
-def bm25(chunk_rows: DataFrame, queries: DataFrame, ids: list[str], query_id: str = "query_id",
-         k: int = X.SEARCH_TOP_K) -> DataFrame:
-    """Top k chunks per query: query_id, ids, score (unrounded), rank.
+#: Chunks of a shard, and postings of a block.
+SHARD, BLOCK = 4096, 64
+#: Scores within so much of the k-th best are compared to the last digit that ranks.
+MARGIN = 1e-8
+
 
-    Chunk rows: ids, tokens, length; queries: query_id, text.  Only terms that some query has are
-    exploded into postings, and only they are shuffled, once, by chunk: counting a term, scoring a
-    chunk and the rank filter that keeps k rows per query and task all happen where a chunk is.
-    Whether the query terms are broadcast is left to the sizes that Spark sees. Chunk rows are read
-    three times (totals, frequencies, hits), so they should be a stored table.
+def term_postings(chunk_rows: DataFrame, ids: list[str], within: str | None = None) -> DataFrame:
+    """The postings of chunk rows (ids, tokens, length), to be stored and searched by search_postings().
+
+    Each task cuts its rows into shards of at most `SHARD` chunks, none of which mixes values of the
+    column `within`. A shard has one row per term - `at`, the places of its chunks in ascending order,
+    and `tf` of each - and one row without a term that holds the ids of its chunks in `keys`, in their
+    order, and their `length`. No shuffle.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    kinds = dict(chunk_rows.dtypes)
+    extra = [] if within is None else [within]
+    schema = "".join(f"{c} {kinds[c]}, " for c in extra) + f"shard long, term string, at array<int>, tf array<int>, length array<int>, keys array<struct<{','.join(f'{c}:{kinds[c]}' for c in ids)}>>"
+
+    def lists(starts, values):
+        return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, pa.int32()))
+
+    def shard(table, number):
+        table = table.take(pc.sort_indices(table.select(ids), sort_keys=[(c, "ascending") for c in ids], null_placement="at_start"))
+        tokens, n = table.column("tokens").combine_chunks(), table.num_rows
+        length = table.column("length").to_numpy().astype("int64")
+        words = pc.dictionary_encode(tokens.flatten())
+        of = np.repeat(np.arange(n), np.diff(tokens.offsets.to_numpy()))
+        pair, tf = np.unique(words.indices.to_numpy().astype("int64") * n + of, return_counts=True)
+        term, at = pair // n, pair % n
+        starts = np.searchsorted(term, np.arange(len(words.dictionary) + 1))
+        size = len(words.dictionary) + 1
+        keys = pa.StructArray.from_arrays([table.column(c).combine_chunks() for c in ids], names=ids)
+        header = lambda x: pa.ListArray.from_arrays(pa.array([0, n] + [n] * (size - 1), pa.int32()), x, mask=pa.array([False] + [True] * (size - 1)))
+        columns = [pa.array([number] * size, pa.int64()), pa.concat_arrays([pa.nulls(1, pa.string()), words.dictionary.cast(pa.string())]),
+                   lists(np.r_[0, starts], at), lists(np.r_[0, starts], tf), header(pa.array(length, pa.int32())), header(keys)]
+        groups = [pa.chunked_array([table.column(c).combine_chunks().take(pa.array(np.zeros(size, np.int64)))]).combine_chunks() for c in extra]
+        return pa.record_batch(groups + columns, [*extra, "shard", "term", "at", "tf", "length", "keys"])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            parts = [table] if within is None else [table.filter(pc.equal(table.column(within), v)) for v in pc.unique(table.column(within))]
+            for part in parts:
+                for lo in range(0, part.num_rows, SHARD):
+                    yield shard(part.slice(lo, SHARD), number)
+                    number += 1
+
+    return chunk_rows.select(*extra, *ids, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), F.coalesce("length", F.lit(0)).cast("int").alias("length")).mapInArrow(run, schema)
+
+
+def search_postings(postings: DataFrame, queries: DataFrame, ids: list[str], query_id: str = "query_id",
+                    k: int = X.SEARCH_TOP_K, block: int = 256) -> DataFrame:
+    """Top k chunks per query by stored postings: query_id, ids, score (unrounded), rank.
+
+    Only the rows of terms that some query has are read on; they meet in their shard, whose size is
+    bounded, and every shard meets the queries in blocks of `block`. In a shard a query takes its terms
+    by falling upper bound, rare ones first, until the terms that are left cannot lift a chunk without
+    any of the others above the k-th best; from then on only the chunks that can still get there are
+    looked up, and not in blocks of postings whose highest part is too low. Each pair of shard and query
+    keeps k chunks, and each task keeps k per query of all its shards before anything is shuffled.
     """
+    kinds, key_kind = dict(queries.dtypes), dict(postings.dtypes)["keys"]
+    names = [f.split(":")[0] for f in key_kind[len("array<struct<"):-2].split(",")]
     terms = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    wanted = terms.select("term").distinct()
-    totals = chunk_rows.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
-    occurrences = chunk_rows.select(*ids, "length", F.explode("tokens").alias("term")).join(
-        wanted, "term", "left_semi")
-    postings = occurrences.repartition(*ids).groupBy(*ids, "term").agg(
-        F.count("*").alias("tf"), F.first("length").alias("length"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # the one row of corpus totals meets the terms of the queries, never the postings
-    weights = df.crossJoin(F.broadcast(totals)).select(
-        "term", idf.alias("idf"), F.greatest(F.coalesce("avgdl", F.lit(0.0)), F.lit(1e-9)).alias("avgdl"))
-    weighted = terms.join(weights, "term")
-    hits = postings.join(weighted, "term")
-    part = F.col("idf") * F.col("tf") * (X.BM25_K1 + 1) / (
-        F.col("tf") + X.BM25_K1 * (1 - X.BM25_B + X.BM25_B * F.col("length") / F.col("avgdl")))
-    scores = hits.select(query_id, *ids, part.alias("part")).groupBy(query_id, *ids).agg(F.sum("part").alias("score"))
-    # last bits of a float sum depend on its order: rank on nine decimals, then by chunk
+    hits = postings.where("term is not null").join(terms.select("term").distinct(), "term", "left_semi")
+    headers = postings.where("term is null")
+    totals = headers.agg(F.sum(F.size("keys")).alias("n"), F.sum(F.aggregate("length", F.lit(0).cast("long"), lambda a, x: a + x)).alias("words")).first()
+    n, words = totals["n"] or 0, totals["words"] or 0
+    avgdl = max(words / n if n else 0.0, 1e-9)
+    df = hits.groupBy("term").agg(F.sum(F.size("at")).alias("df"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = terms.join(df.select("term", idf.alias("idf")), "term").groupBy(query_id).agg(F.collect_list(F.struct("term", "idf")).alias("terms"))
+    blocks = weighted.groupBy(F.pmod(F.xxhash64(query_id), F.lit(-(-queries.count() // block) or 1)).alias("_b")).agg(
+        F.collect_list(F.struct(F.col(query_id).alias("id"), F.col("terms"))).alias("queries")).drop("_b")
+    shards = headers.unionByName(hits.select(headers.columns)).groupBy("shard").agg(
+        F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "at", "tf"))).alias("postings"), *[F.first(c, ignorenulls=True).alias(c) for c in ("length", "keys")])
+    schema = f"{query_id} {kinds[query_id]}, key struct<{key_kind[len('array<struct<'):-1]}, score double"
+    best = shards.where(F.size("postings") > 0).crossJoin(blocks).mapInArrow(_shard_scorer(query_id, k, avgdl), schema)
+    best = best.select(query_id, *[F.col(f"key.{c}").alias(c) for c in names], "score")
     order = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), *ids)
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _shard_scorer(query_id: str, k: int, avgdl: float):
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows, keys = batch.column("postings")[i].values, batch.column("keys")[i].values
+                cut = rows.field("at").offsets.to_numpy()
+                at, tf = (rows.field(c).values.to_numpy()[cut[0]:cut[-1]] for c in ("at", "tf"))
+                cut = cut - cut[0]
+                length = batch.column("length")[i].values.to_numpy()[at]
+                part = tf * (X.BM25_K1 + 1) / (tf + X.BM25_K1 * (1 - X.BM25_B + X.BM25_B * length / avgdl))
+                found = {t: TermPostings(at[lo:hi], part[lo:hi]) for t, lo, hi in zip(rows.field("term").to_pylist(), cut[:-1], cut[1:], strict=True)}
+                wanted = batch.column("queries")[i].values
+                query, place, score = [], [], []
+                for q, terms in enumerate(wanted.field("terms").to_pylist()):
+                    mine = [(t["idf"], found[t["term"]]) for t in terms if t["term"] in found]
+                    top, scores = best_chunks(mine, len(keys), k)
+                    query += [q] * len(top)
+                    place.append(top)
+                    score.append(scores)
+                if query:
+                    yield pa.record_batch([wanted.field("id").take(pa.array(query)), keys.take(pa.array(np.concatenate(place))), pa.array(np.concatenate(score))], [query_id, "key", "score"])
+
+    return run
+
+
+class TermPostings:
+    """Of one term in one shard: places, parts of the score without the idf, and the highest part per block."""
+
+    def __init__(self, at: np.ndarray, part: np.ndarray):
+        self.at, self.part = at, part
+        self.block = np.maximum.reduceat(part, np.arange(0, len(part), BLOCK))
+        self.most = self.block.max()
+
+
+def best_chunks(terms: list[tuple[float, TermPostings]], n: int, k: int, looked: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the k best of n chunks, ties to the smaller place; `looked` gets the postings read."""
+    terms = sorted(terms, key=lambda t: -t[0] * t[1].most)
+    left = np.r_[np.cumsum([w * t.most for w, t in reversed(terms)])[::-1], 0.0]
+    score, least = np.zeros(n), 0.0
+    chosen = None  # places that can still be among the best
+    for i, (w, t) in enumerate(terms):
+        if chosen is None and n > k and left[i] < score.max():
+            least = np.partition(score, n - k)[n - k] - MARGIN
+            if left[i] < least:
+                chosen = np.flatnonzero(score + left[i] >= least)
+        if chosen is None:
+            score[t.at] += w * t.part
+            if looked is not None:
+                looked.append(len(t.at))
+            continue
+        at = np.searchsorted(t.at, chosen)
+        block = np.minimum(at, len(t.at) - 1) // BLOCK
+        open_ = score[chosen] + w * t.block[block] + left[i + 1] >= least  # others lack this term or cannot make it with it
+        there = open_ & (t.at[np.minimum(at, len(t.at) - 1)] == chosen)
+        if looked is not None:
+            looked.append(int(open_.sum()))
+        score[chosen[there]] += w * t.part[at[there]]
+        chosen = chosen[open_ | (score[chosen] + left[i + 1] >= least)]
+    if chosen is None:
+        chosen = np.flatnonzero(score)
+    near = np.round(score[chosen], 9)
+    by = np.lexsort((chosen, -near))[:k]
+    top = chosen[by]
+    return top, score[top]
+
+
+def bm25(chunk_rows: DataFrame, queries: DataFrame, ids: list[str], query_id: str = "query_id",
+         k: int = X.SEARCH_TOP_K) -> DataFrame:
+    """Top k chunks per query of chunk rows (ids, tokens, length): their postings, stored for this search."""
+    return search_postings(staged(term_postings(chunk_rows, ids), "postings"), queries, ids, query_id, k)
 
 
 def format_results(hits: DataFrame) -> Column:

@@ -177,17 +177,17 @@ def _bm25_sql(scope: str, queries: str) -> str:
       select *, row_number() over (partition by item_id order by round(score, 9) desc, doc_id, chunk_no) as rank from sc) where rank <= 5"""
 
 
-def stored_chunks(spark, sf):
-    """Chunks of the documents as an archive keeps them: chunked and tokenised once."""
+def archive_chunks(spark, sf):
+    """Chunks of the documents, with tokens, name and year."""
     files = table(spark, sf, "documents", ["doc_id", "text", "source", "lang"])
     rows = A.chunks(files, ["doc_id", "source", "lang"])
     year = (F.lit(2020) + F.pmod("doc_id", F.lit(5))).cast("int").alias("year")
-    return staged(rows.select("doc_id", "chunk_no", "text", "tokens", "length", F.concat_ws(" ", "source", "lang").alias("name"), year), "chunks")
+    return rows.select("doc_id", "chunk_no", "text", "tokens", "length", F.concat_ws(" ", "source", "lang").alias("name"), year)
 
 
 @query("bm25_topk", _bm25_sql("c", "benchmark"))
 def bm25_topk(spark, sf):
-    hits = A.bm25(stored_chunks(spark, sf), table(spark, sf, "benchmark"), ["doc_id", "chunk_no"], "item_id")
+    hits = A.bm25(archive_chunks(spark, sf), table(spark, sf, "benchmark"), ["doc_id", "chunk_no"], "item_id")
     return hits.select("item_id", "doc_id", "chunk_no", F.round("score", 3).alias("score"), "rank")
 
 
@@ -197,7 +197,7 @@ _SCOPE = "(select c.* from c join documents d using (doc_id) where d.doc_id % 5
 @query("bm25_filtered", _bm25_sql(_SCOPE, "benchmark"))
 def bm25_filtered(spark, sf):
     """Ranked search among the files of one year whose name holds a word: statistics follow the filter."""
-    scope = A.in_scope(A.in_scope(stored_chunks(spark, sf), 2023), name_contains="EN").where("name like '%src%'")
+    scope = A.in_scope(A.in_scope(archive_chunks(spark, sf), 2023), name_contains="EN").where("name like '%src%'")
     hits = A.bm25(scope, table(spark, sf, "benchmark"), ["doc_id", "chunk_no"], "item_id")
     return hits.select("item_id", "doc_id", "chunk_no", F.round("score", 3).alias("score"), "rank")
 
@@ -207,7 +207,7 @@ def bm25_filtered(spark, sf):
     from ({_bm25_sql("c", "benchmark")}) r join documents d using (doc_id) join ({_CHUNKS} select * from c) c using (doc_id, chunk_no)""")
 def search_results(spark, sf):
     """The text that a search shows for every hit."""
-    rows = stored_chunks(spark, sf)
+    rows = staged(archive_chunks(spark, sf), "chunks")
     hits = A.bm25(rows, table(spark, sf, "benchmark"), ["doc_id", "chunk_no"], "item_id")
     shown = hits.join(rows.select("doc_id", "chunk_no", "name", "text"), ["doc_id", "chunk_no"])
     shown = shown.withColumn("label", F.concat_ws("#", "doc_id", "chunk_no"))
