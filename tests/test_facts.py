@@ -1,5 +1,7 @@
+import random
 from datetime import date
-from decimal import Decimal
+from decimal import Decimal, localcontext
+from fractions import Fraction
 
 from veritally.operators import facts as P
 from veritally.operators import identity as I
@@ -51,6 +53,35 @@ def test_growth_and_average_round_half_even(spark):
     assert [r.normalized for r in P.column_averages(data, "x").collect()] == ["0.02"]
 
 
+def test_ratios_are_exact(spark):
+    rng = random.Random(8)
+    pairs = [("123450001", "1000000000"), ("1", "3"), ("-1", "3"), ("0.0000000001", "9"), ("1" + "0" * 24, "7"), ("5", "1000"), ("15", "1000"), ("-25", "1000"), ("0", "5"), ("9" * 24, "0.0000000001")]
+    for _ in range(300):
+        big = rng.choice([10, 10 ** 6, 10 ** 15, 10 ** 22])
+        num, den = rng.randrange(-big, big), rng.choice([8, 16, 1000, rng.randrange(1, big)]) * rng.choice([1, -1])
+        pairs.append((str(Decimal(num).scaleb(-rng.randint(0, 10))), str(Decimal(den).scaleb(-rng.randint(0, 6)))))
+    df = spark.createDataFrame([(i, Decimal(a), Decimal(b)) for i, (a, b) in enumerate(pairs)], "i int, a decimal(38,10), b decimal(38,10)")
+    got = {r["i"]: r["x"] for r in P.rounded_ratio(df, "a", "b", 2, 2, "x").collect()}
+    with localcontext() as c:
+        c.prec = 100
+        for i, (a, b) in enumerate(pairs):
+            want = Fraction(a) / Fraction(b) * 10 ** 4
+            low, rest = divmod(abs(want).numerator, abs(want).denominator)
+            low += 2 * rest > abs(want).denominator or (2 * rest == abs(want).denominator and low % 2 == 1)
+            want = Decimal(low if want >= 0 else -low).scaleb(-2)
+            assert got[i] == want or (got[i] is None and abs(want) > 10 ** 30), (a, b)
+    none = spark.createDataFrame([(Decimal("1"), Decimal("0")), (None, Decimal("1")), (Decimal("9" * 28), Decimal("3"))], "a decimal(38,10), b decimal(38,10)")
+    assert [r["x"] for r in P.rounded_ratio(none, "a", "b", 0, 2, "x").collect()] == [None] * 3
+
+
+def test_growth_of_large_sums_and_sums_beyond_the_type(spark):
+    data = P.data_rows(sheet(spark, [["x", "y"], [10 ** 9, 1_123_450_001]]))
+    assert [r.normalized for r in P.growth_rates(data, "x", "y").collect()] == ["12.35"]
+    data = P.data_rows(sheet(spark, [["x", "y"], [9 * 10 ** 27, 1], [9 * 10 ** 27, 1]]))
+    assert {r.raw.split()[0] for r in P.column_sums(data).collect()} == {"y"}  # the other sum has no digits left
+    assert P.growth_rates(data, "x", "y").collect() == [] and P.column_averages(data, "x").collect() == []
+
+
 def test_conflicts_use_last_value_and_real_addresses(spark):
     rows = [("a", "S!A2", "amount", 1, "1"), ("a", "S!A2", "amount", 2, "2"), ("b", "S!A2", "amount", 1, "2"),
             ("a", "S!A3", "amount", 1, "1"), ("b", "S!A3", "amount", 1, "2"), ("a", "S!합(합계)", "amount", 1, "1"),

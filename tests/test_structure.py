@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from veritally.operators import outline as O
 from veritally.operators import rules as U
 
@@ -91,5 +93,28 @@ def test_two_edits_of_one_document(spark):
     log = {(r.section_id, r["mode"]): r for r in log.collect()}
     assert log["s5", "replace_body"].before == "새는 곳 없음" and log["s7", "replace_body"].before == ""
     assert log["s5", "append"].reason == "앞의 수정과 범위가 겹칩니다"
-    back, _ = O.revert_edits(out, O.outline(out), spark.createDataFrame(list(log.values())))
-    assert [r.text for r in back.orderBy("para").collect()][:7] == PARAS[:7]
+
+
+def lines(df):
+    return [(r.text, r.is_table) for r in df.orderBy("para").collect()]
+
+
+def test_reverts_of_every_kind(spark):
+    p = paras(spark)
+    for rows in ([("s5", "replace_body", "a\nb\nc"), ("s7", "replace_body", "x")], [("s5", "append", "a\nb"), ("s7", "append", "c")],
+                 [("s5", "replace", "all new"), ("s7", "insert_after", "z\n\n y")], [("s7", "replace", "one\ntwo")]):
+        out, log = O.apply_edits(p, O.outline(p), spark.createDataFrame([(1, *r) for r in rows], "doc_id long, section_id string, mode string, text string"))
+        assert all(r.applied for r in log.collect())
+        back, states = O.revert_edits(out, log)
+        assert lines(back) == lines(p) and {r.state for r in states.collect()} == {"reverted"}
+
+
+def test_revert_states(spark):
+    p = paras(spark)
+    e = spark.createDataFrame([(1, "s5", "replace_body", "새는 곳 없음"), (1, "s7", "replace_body", "본문"), (1, "s99", "append", "x")], "doc_id long, section_id string, mode string, text string")
+    out, log = O.apply_edits(p, O.outline(p), e)
+    assert {r.section_id: r.state for r in O.revert_edits(out, log)[1].collect()} == {"s5": "no_change", "s7": "reverted"}
+    later = out.withColumn("text", F.regexp_replace("text", "^본문$", "다른 본문"))
+    back, states = O.revert_edits(later, log)
+    assert {r.section_id: r.state for r in states.collect()} == {"s5": "no_change", "s7": "no_target"} and lines(back) == lines(later)
+    assert lines(O.revert_edits(p, log.where("false"))[0]) == lines(p)

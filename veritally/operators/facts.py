@@ -83,7 +83,8 @@ def column_totals(data: DataFrame) -> DataFrame:
         F.try_sum("v").alias("total"), F.count("*").alias("n_rows")
     )
     kept_rows = kept.groupBy(*SHEET).agg(F.count("*").alias("n_kept"))
-    return totals.join(kept_rows, SHEET).where("n_rows = n_kept").drop("n_kept")
+    # a sum that 38 digits do not hold is no total
+    return totals.join(kept_rows, SHEET).where("n_rows = n_kept and total is not null").drop("n_kept")
 
 
 def column_sums(data: DataFrame) -> DataFrame:
@@ -104,10 +105,38 @@ def column_sums(data: DataFrame) -> DataFrame:
     )
 
 
+def rounded_ratio(rows: DataFrame, num: str, den: str, shift: int, places: int, name: str) -> DataFrame:
+    """rows with name = num / den * 10^shift, half-even at `places`, exactly; NULL if it cannot be exact.
+
+    Quotient and remainder, then a digit at a time from the remainder: no step rounds, as no value needs
+    more digits than its type has. num and den may have ten decimals and 25 digits before them.
+    """
+    narrow, wide = "decimal(35,10)", "decimal(37,10)"
+    a, b = F.abs(F.col(num)).try_cast(narrow), F.abs(F.col(den)).try_cast(narrow)
+    out = rows.withColumn("_r", F.struct(a.alias("a"), b.alias("b"), ((F.col(num) < 0) != (F.col(den) < 0)).alias("minus")))
+    of = F.col("_r.b")
+
+    def split(value: Column, units: Column) -> Column:
+        """What is whole of value / b, behind `units`, and the remainder."""
+        rest = (value % of).cast(narrow)
+        whole = F.try_divide(value.cast(wide) - rest.cast(wide), of.cast(wide)).cast("decimal(30,0)")
+        return F.struct((units * 10 + whole).try_cast("decimal(34,0)").alias("units"), rest.alias("rest"))
+
+    none = F.lit(0).cast("decimal(34,0)")
+    digits = F.aggregate(F.sequence(F.lit(1), F.lit(shift + places)), split(F.col("_r.a"), none),
+                         lambda acc, _: split((acc["rest"] * F.lit(10).cast("decimal(2,0)")).cast(wide), acc["units"]))
+    out = out.withColumn("_d", F.when(F.col("_r.a").isNotNull() & (of != 0), digits))
+    twice = (F.col("_d.rest") * F.lit(2).cast("decimal(1,0)")).cast(wide)
+    up = (twice > of) | ((twice == of) & (F.col("_d.units") % 2 == 1))
+    units = F.col("_d.units") + F.when(up, 1).otherwise(0)
+    value = F.when(F.col("_r.minus"), -units).otherwise(units).try_cast("decimal(34,0)") * F.lit(f"1e-{places}").cast(f"decimal({places},{places})")
+    return out.withColumn(name, value).drop("_r", "_d")
+
+
 def column_averages(data: DataFrame, column: str) -> DataFrame:
     totals = column_totals(data).where(F.col("name") == column)
-    mean = F.bround(F.try_divide("total", F.col("n_rows").cast("decimal(10,0)")), 2)
-    return totals.select(*SHEET, canonical_number(mean).alias("normalized"),
+    totals = rounded_ratio(totals.withColumn("n_rows", F.col("n_rows").cast("decimal(20,0)")), "total", "n_rows", 0, 2, "mean").where("mean is not null")
+    return totals.select(*SHEET, canonical_number(F.col("mean")).alias("normalized"),
                          F.lit(f"{column} {X.AVERAGE_SUFFIX}").alias("raw"),
                          F.concat("sheet", F.lit(f"!{column}({X.AVERAGE_SUFFIX})")).alias("location"))
 
@@ -118,10 +147,10 @@ def growth_rates(data: DataFrame, before: str, after: str) -> DataFrame:
     both = column_totals(data).where(F.col("name").isin(before, after)).groupBy(*SHEET).agg(
         pick(before).alias("a"), pick(after).alias("b")
     ).where("a is not null and b is not null and a <> 0")
-    # b / a - 1 keeps more digits than (b - a) / a in 38 of them; an overflow gives no row
-    ratio = F.try_divide("b", "a").cast("decimal(38,12)")
-    rate = F.bround((ratio - 1).cast("decimal(36,12)") * 100, 2)
-    return both.select(*SHEET, canonical_number(rate).alias("normalized"),
+    # what 37 digits do not hold gives no row
+    both = both.withColumn("_more", F.col("b").try_cast("decimal(36,10)") - F.col("a").try_cast("decimal(36,10)"))
+    both = rounded_ratio(both, "_more", "a", 2, 2, "rate").where("rate is not null")
+    return both.select(*SHEET, canonical_number(F.col("rate")).alias("normalized"),
                        F.lit(f"{before}→{after} {X.GROWTH_SUFFIX}").alias("raw"),
                        F.concat("sheet", F.lit(f"!{before}->{after}({X.GROWTH_SUFFIX})")).alias("location"))
 

@@ -151,7 +151,8 @@ def apply_edits(paras: DataFrame, sections: DataFrame, edits: DataFrame,
                 doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Applies edits(doc, section_id, mode, text), any number per document.
 
-    An edit whose paragraphs meet those of an earlier one of its document (by place, then section,
+    The log also says where the edit stands in the result: its lines are the `n_new` paragraphs from
+    `new_para` on, in place of `n_old` paragraphs. An edit whose paragraphs meet those of an earlier one of its document (by place, then section,
     mode and text) is refused (replacements go first). Returns (paragraphs renumbered, log with applied, reason, before, after).
     """
     lines = F.split(F.regexp_replace(unix_lines(F.col("new_text")), "\r+(?=\n|\\z)", ""), "\n")
@@ -189,18 +190,25 @@ def apply_edits(paras: DataFrame, sections: DataFrame, edits: DataFrame,
         "_lines", F.transform("_lines", lambda l: F.when(own(l), l).otherwise(F.concat(keep, l))))
     # the log, the removed range and the new lines all read it
     asked = staged(asked.withColumn("applied", F.col("reason").isNull()), "edits")
-    log = asked.select(
+    # new lines stand where the old ones were, or after the heading or the section's end
+    at = F.when(F.col("_from").isNotNull(), F.col("_from")).when(F.col("mode") == "replace_body", F.col("para")).otherwise(F.col("_end"))
+    n_new, n_old = F.size("_lines"), F.when(F.col("_from").isNotNull(), F.col("_end") - F.col("_from") + 1).otherwise(0)
+    placed = asked.withColumns({"_at": at, "_n_new": n_new, "_n_old": n_old})
+    earlier = Window.partitionBy(doc, "applied").orderBy("_at", "_edit").rowsBetween(Window.unboundedPreceding, -1)
+    moved = F.coalesce(F.sum(F.col("_n_new") - F.col("_n_old")).over(earlier), F.lit(0))
+    placed = placed.withColumn("_new", (F.col("_at") + F.when(F.col("_from").isNull(), 1).otherwise(0) + moved).cast("int"))
+    held = lambda c: F.when(F.col("applied"), F.col(c))
+    log = placed.select(
         doc, "section_id", "mode", "applied", "reason",
         F.when(F.col("applied"), F.coalesce("before", F.lit(""))).alias("before"),
         F.when(F.col("applied"), F.array_join("_lines", "\n")).alias("after"),
+        held("_new").alias("new_para"), held("_n_new").alias("n_new"), held("_n_old").cast("int").alias("n_old"),
     )
 
     good = asked.where("applied")
     gone = good.where("_from is not null").select(doc, F.col("_from"), F.col("_end"))
     kept = paras.alias("p").join(gone.alias("g"), (F.col(f"p.{doc}") == F.col(f"g.{doc}")) & F.col("p.para").between(F.col("g._from"), F.col("g._end")), "left_anti")
     kept = kept.select(doc, F.col("para").alias("_at"), F.lit(0).alias("_k"), "text", "is_table")
-    # new lines stand where the old ones were, or after the heading or the section's end
-    at = F.when(F.col("_from").isNotNull(), F.col("_from")).when(F.col("mode") == "replace_body", F.col("para")).otherwise(F.col("_end"))
     new = good.select(doc, at.alias("_at"), F.posexplode("_lines").alias("_k", "text")).select(
         doc, "_at", (F.col("_k") + 1).alias("_k"), "text", F.lit(False).alias("is_table"))
     order = Window.partitionBy(doc).orderBy("_at", "_k")
@@ -209,8 +217,26 @@ def apply_edits(paras: DataFrame, sections: DataFrame, edits: DataFrame,
     return result, log
 
 
-def revert_edits(paras: DataFrame, sections: DataFrame, log: DataFrame,
-                 doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Puts the old text of applied edits back as the body of the same sections."""
-    undo = log.where("applied").select(doc, "section_id", F.lit("replace_body").alias("mode"), F.col("before").alias("text"))
-    return apply_edits(paras, sections, undo, doc)
+def revert_edits(paras: DataFrame, log: DataFrame, doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Takes applied edits of apply_edits() back: (paragraphs renumbered, proposals with state).
+
+    The log's places are those of the version the edits made, so what one edit moved does not matter to
+    the next. A proposal's state is `reverted`; `no_target` if the edit's lines are not there any more;
+    `no_change` if they are what was there before. Edits that were refused give no proposal. Only the
+    lines an edit wrote are touched; without an edit a document stays as it is.
+    """
+    undo = log.where("applied").select(doc, "section_id", "mode", "before", "after", "new_para", "n_new", "n_old")
+    last = F.col("new_para") + F.col("n_new") - 1
+    now = paras.join(undo.select(doc, "new_para", "n_new"), doc).where(F.col("para").between(F.col("new_para"), last))
+    now = now.groupBy(doc, "new_para").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "text"))), lambda x: x["text"]), "\n").alias("_now"), F.bool_or("is_table").alias("_table"))
+    same = (F.col("n_old") == F.col("n_new")) & (F.col("before") == F.col("after"))
+    state = F.when(F.col("_now").isNull() | (F.col("_now") != F.col("after")) | F.col("_table"), "no_target").when(same, "no_change").otherwise("reverted")
+    proposals = staged(undo.join(now, [doc, "new_para"], "left").withColumn("state", state).drop("_now", "_table"), "reverts")
+    good = proposals.where("state = 'reverted'")
+    gone = good.select(F.col(doc).alias("_doc"), "new_para", last.alias("_last"))
+    kept = paras.join(gone, (F.col(doc) == F.col("_doc")) & F.col("para").between(F.col("new_para"), F.col("_last")), "left_anti")
+    old = good.where("n_old > 0").select(doc, F.col("new_para").alias("_at"), F.posexplode(F.split("before", "\n")).alias("_k", "text"))
+    both = kept.select(doc, F.col("para").alias("_at"), F.lit(0).alias("_k"), "text", "is_table").unionByName(
+        old.select(doc, "_at", (F.col("_k") + 1).alias("_k"), "text", F.lit(False).alias("is_table")))
+    order = Window.partitionBy(doc).orderBy("_at", "_k")
+    return both.select(doc, (F.row_number().over(order) - 1).alias("para"), "text", "is_table"), proposals

@@ -124,15 +124,33 @@ def edit_log(spark, sf):
     return O.apply_edits(paras, sections, edits(paras))[1].select("doc_id", "applied", "reason", "before")
 
 
-@query("revert_edits", f"""
-    select doc_id, cast(para as int) as para, text from {_LINES} p""")
-def revert_edits(spark, sf):
+def several_edits(paras: DataFrame) -> DataFrame:
+    """Two edits of every document, the first of which moves what the second one touches."""
+    body = edits(paras).withColumn("mode", F.lit("replace_body")).withColumn("text", F.lit("새 줄 하나\n들여쓴 줄"))
+    early = edits(paras).select("doc_id", F.lit("s4").alias("section_id"), F.when(F.col("doc_id") % 2 == 0, "append").otherwise("insert_after").alias("mode"), F.lit("덧붙인 줄\n둘째\n셋째").alias("text"))
+    return body.unionByName(early)
+
+
+def reverted(spark, sf):
     paras, sections = parts(spark, sf)
-    body_edits = edits(paras).withColumn("mode", F.lit("replace_body")).withColumn("text", F.lit("새 줄 하나\n들여쓴 줄"))
-    changed, log = O.apply_edits(paras, sections, body_edits)
+    changed, log = O.apply_edits(paras, sections, several_edits(paras))
     changed = staged(changed, "edited")
-    back, _ = O.revert_edits(changed, O.outline(changed), log)
-    return back.select("doc_id", "para", "text")
+    # in every seventh document someone has written over the lines of the second edit
+    written = (F.col("doc_id") % 7 == 0) & (F.col("text").isin("둘째", "  둘째"))
+    return O.revert_edits(changed.withColumn("text", F.when(written, F.lit("고친 줄")).otherwise(F.col("text"))), log)
+
+
+@query("revert_edits", f"""
+    select doc_id, cast(para as int) as para, text from {_LINES} p where doc_id % 7 <> 0""")
+def revert_edits(spark, sf):
+    return reverted(spark, sf)[0].where("doc_id % 7 <> 0").select("doc_id", "para", "text")
+
+
+@query("revert_states", f"""
+    select k as doc_id, section_id, case when section_id = 's4' and k % 7 = 0 then 'no_target' else 'reverted' end as state
+    from {V} v, (values ('s4'), ('s9')) t(section_id)""")
+def revert_states(spark, sf):
+    return reverted(spark, sf)[1].select("doc_id", "section_id", "state")
 
 
 @query("common_indent", f"""
