@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritally.operators import archive as A
+from veritally.sources import parts as S
 from veritally.sources.stored import StoredTables
 from veritally.streaming import jobs as J
 
@@ -65,6 +66,15 @@ def test_empty_snapshots(spark, tmp_path):
     assert store.read("docs", A.DOC_ROW).collect() == []
 
 
+def test_the_ignore_list_is_appended_to_once(spark, tmp_path):
+    store = StoredTables(spark, str(tmp_path), "raw", buckets=8)
+    add = lambda *rows: S.keep_ignored(store, spark.createDataFrame(list(rows), "raw string, ordinal long"))
+    kept = lambda: [r["raw"] for r in store.read("ignored", S.IGNORED_ROW).orderBy("added", "ordinal").collect()]
+    assert add(("b", 2), ("a", 5), ("b", 1), (None, 0)) == 2 and kept() == ["b", "a"]
+    assert add(("a", 1)) == 0 and store.version() == 1
+    assert add(("c", 9), ("b", 0), ("d", 3)) == 2 and kept() == ["b", "a", "d", "c"] and store.version() == 2
+
+
 def test_rows_outside_the_touched_buckets_are_an_error(spark, tmp_path):
     store = StoredTables(spark, str(tmp_path), "path", buckets=64)
     with pytest.raises(ValueError, match="outside"):

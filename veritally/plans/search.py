@@ -59,6 +59,19 @@ def ignore_upsert(spark, sf):
     return S.upsert_ignored(stored, added)
 
 
+@query("ignore_kept", """
+    select raw, case when bool_or(s = 0) then 1 else 2 end as added, min(o) filter (where s = m) as ordinal from (
+      select *, min(s) over (partition by raw) as m from (
+        select cast(floor(c_acctbal) as bigint) % 500 || '원' as raw, 0 as s, c_custkey as o from customer
+        union all select cast(floor(s_acctbal) as bigint) % 700 || '원', 1, s_suppkey from supplier)) group by raw""")
+def ignore_kept(spark, sf):
+    """The kept list after two updates; the second brings only what is new."""
+    store = StoredTables(spark, fresh_path(spark, "ignored"), "raw")
+    for name, value, key in (("customer", "c_acctbal) as bigint) % 500", "c_custkey"), ("supplier", "s_acctbal) as bigint) % 700", "s_suppkey")):
+        S.keep_ignored(store, table(spark, sf, name).selectExpr(f"cast(floor({value} || '원' as raw", f"{key} as ordinal"))
+    return store.read("ignored", S.IGNORED_ROW)
+
+
 @query("template_merge", """
     select c_custkey, case c_custkey % 2 when 0 then c_name || ' (' || c_mktsegment || ') ' || c_name || ' 귀하 ' else '안내: ' || case when c_custkey % 3 = 0 then '' else c_mktsegment end || ' / {{없음}}' end as text from customer""")
 def template_merge(spark, sf):

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from veritally.functions import fixed as X
 from veritally.functions.text import base_name, document_kind, extension, strip
+from veritally.sources.stage import staged
+from veritally.sources.stored import StoredTables
 
 
 def read_texts(spark: SparkSession, *paths: str) -> DataFrame:
@@ -49,6 +51,26 @@ def upsert_ignored(stored: DataFrame, added: DataFrame) -> DataFrame:
         "raw", (F.col("_f._s") == 0).alias("was_stored"), F.col("_f.ordinal").alias("ordinal"))
 
 
+IGNORED_ROW = "raw string, added long, ordinal long"
+
+
+def keep_ignored(store: StoredTables, added: DataFrame) -> int:
+    """Appends values (raw, ordinal) that a kept ignore list does not have; returns how many.
+
+    The list is the table `ignored` of a store keyed by `raw`, in the order of (added, ordinal): the
+    update that brought a value, and its smallest ordinal there. Null values are not kept. Only buckets
+    that get a value are written, and nothing if all are there.
+    """
+    new = added.where("raw is not null").groupBy("raw").agg(F.min("ordinal").cast("long").alias("ordinal"))
+    new = new.join(store.read("ignored", IGNORED_ROW).select("raw"), "raw", "left_anti").withColumn("_b", store.bucket("raw"))
+    new = staged(new, "ignored")
+    touched = {r["_b"]: r["count"] for r in new.groupBy("_b").count().collect()}
+    if touched:
+        rows = new.select("raw", F.lit(store.version() + 1).cast("long").alias("added"), "ordinal")
+        store.commit({"ignored": store.read("ignored", IGNORED_ROW, list(touched)).unionByName(rows)}, list(touched))
+    return sum(touched.values())
+
+
 def outdated(files: DataFrame, keys: list[str], keep: int = X.PREVIEWS_KEPT) -> DataFrame:
     """Files beyond the newest `keep` of each folder.
 
