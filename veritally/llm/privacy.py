@@ -201,10 +201,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def judged(kind: int, is_base: bool):
         def one(c):
             others = F.size(F.array_except("kinds", F.array(F.lit(kind)))) > 0
-            state = F.lit("more") if not is_base else F.lit("base") if kind == EMAIL else None
 
             def full(check):
-                kept = F.when(check == 1, "base").otherwise("failed") if state is None else state
+                kept = F.lit("base" if is_base else "more")
+                if kind in ((IP, CARD, PHONE) if is_base else (CARD, ID)):
+                    kept = F.when(check == 1, kept).otherwise("failed")
                 return F.struct(F.lit(kind).alias("kind"), c["s"].alias("s"), c["e"].alias("e"), kept.alias("state"), _votes(kind, is_base, c, check, others).alias("votes"), _features(kind, c, check).alias("features"))
 
             return _bind(_check(kind, is_base, c["hit"]), full)
@@ -239,7 +240,7 @@ def _chance(log_odds: Column) -> Column:
 
 def reliabilities(votes: DataFrame) -> DataFrame:
     """kind, prior, true and false of (kind, state, votes) rows: expectation-maximisation over the counted
-    vote combinations. What failed the check of a base form is known to be false."""
+    vote combinations. What failed a check that disproves it is known to be false."""
     counted = votes.groupBy("kind", (F.col("state") == "failed").alias("no"), "votes").agg(F.count("*").cast("double").alias("n"))
     counted = counted.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("votes", "no", "n"))).alias("p"))
 
@@ -301,7 +302,8 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     base_spans are the base hits that pass, as kind:start:end in code points, in the order of the kinds
     and then of the places; spans has those that the classifier adds too, none of which overlaps a
-    base span. A hit of a base form that fails its check is never a span, but a candidate to learn from.
+    base span. A hit that its check disproves - of a base form, a checksum, an impossible number - is
+    never a span, but a candidate to learn from.
     Null or empty text: no spans. Each row is judged, whatever its id. No candidates, or an empty table:
     nothing to learn and nothing added. Extra columns are not read. Texts are read once and never
     shuffled; the candidates are written once to the shared folder.
