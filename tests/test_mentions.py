@@ -6,10 +6,10 @@ from veritally.functions import fixed as X
 from veritally.operators import mentions as M
 
 GOLDEN = [
-    ("담당자 031-1234-5678, 예산 1,850,000원, 2026-09-07 14:00~16:00 진행",
-     [("amount", "1850000"), ("date", "2026-09-07"), ("phone", "031-1234-5678"), ("time", "14:00~16:00")]),
+    ("문의 042-7654-3210, 회비 64,200원, 2025-03-11 09:30~11:00 모임",
+     [("amount", "64200"), ("date", "2025-03-11"), ("phone", "042-7654-3210"), ("time", "09:30~11:00")]),
     ("예산은 1.005천원입니다", [("amount", "1005")]),
-    ("예산 1.5억원, 2.3조원, 185만원, 0.0000001%", [("amount", "0.0000001"), ("amount", "150000000"), ("amount", "1850000"), ("amount", "2300000000000")]),
+    ("사업비 7.25억원, 4.1조원, 36만원, 오차 0.00000025%", [("amount", "0.00000025"), ("amount", "360000"), ("amount", "4100000000000"), ("amount", "725000000")]),
     ("12345678901234567890123456789012345678901원", [("amount", "12345678901234567890123456789012345678901")]),
     ("2026-09-07, 9월 7일, '26.9.7(화), 2026. 1., 2026. 1. 15., 2024.1월, 2024.1월~12월",
      [("date", "2024-01"), ("date", "2024-01~2024-12"), ("date", "2026-01"), ("date", "2026-01-15"),
@@ -17,14 +17,14 @@ GOLDEN = [
     ("14:00~16시 14:100~16시 09:001~10시",
      [("amount", v) for v in sorted(["14", "0", "16", "14", "100", "16", "9", "1", "10"])]),
     ("14:30~16:45, 14시~16시, 14~16시", [("time", "14:00~16:00"), ("time", "14:00~16:00"), ("time", "14:30~16:45")]),
-    ("('23) 1,595개소 → (`24) 1,694 → (25) 1,827", [("amount", "1595"), ("amount", "1694"), ("amount", "1827")]),
+    ("(`19) 3,210명 → ('20) 4,055 → (21) 5,871", [("amount", "3210"), ("amount", "4055"), ("amount", "5871")]),
     ("2026년 '26년 24년도", [("year", "2024"), ("year", "2026"), ("year", "2026")]),
-    ("계약 건수(1,827)는 증가. 규모는 1850000.", [("amount", "1827"), ("amount", "1850000")]),
+    ("대여 권수(4,306)는 감소. 총합은 9120000.", [("amount", "4306"), ("amount", "9120000")]),
     ("1. 개요\n 2) 항목\n(3) 셋\n붙임  1. 계획서 1부.", [("amount", "1")]),
     ("1 2 3 4 5 6 7 8 9 10 11 12 합 78", [("amount", "78")]),
     ("3 4 5 6 7", [("amount", v) for v in "34567"]),
     ("12026-09-07", [("date", "2026-09-07")]),
-    ("목   차\n\nⅠ. 개요\t 1\n 붙 임 1. 실적\t 14\n\n본문\n예산은 1,850,000원", [("amount", "1850000")]),
+    ("목  차\n\nⅠ. 여는 글\t 3\n 별 지 2. 통계표\t 27\n\n첫 쪽\n회비는 64,200원", [("amount", "64200")]),
     ("２０２４년 예산 ３０원", [("amount", "30"), ("year", "2024")]),
     ("숫자 없음", []),
 ]
@@ -48,10 +48,10 @@ def test_spans_are_those_of_the_pattern(spark):
 
 
 def test_context_ends_at_clause_not_at_grouping_comma(spark):
-    text = "앞 문장. 정기점검 실적 : ('23) 1,595개소 → ('24) 1,694, 다음 5명; 또 6"
+    text = "첫 문장. 도서 대출 : ('18) 2,408권 → ('19) 3,117, 이어서 8명; 끝 9"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = {r.normalized: r.context for r in M.extract_all(df, ["doc_id"]).collect()}
-    assert got == {"1595": "정기점검 실적 : ('23)", "1694": "정기점검 실적 : ('23) 1,595개소 → ('24)", "5": "다음", "6": "또"}
+    assert got == {"2408": "도서 대출 : ('18)", "3117": "도서 대출 : ('18) 2,408권 → ('19)", "8": "이어서", "9": "끝"}
 
 
 def test_weekdays(spark):
