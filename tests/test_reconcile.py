@@ -52,6 +52,61 @@ def test_table_context_narrows(spark):
     assert [v for v, _ in verdicts(spark, m, p)] == ["match", "mismatch", "ambiguous", "ambiguous", "match"]
 
 
+SPELLINGS = ["2024", "2024년", "'24년", "２０２４년도", "(2024)", " 2024 년 ", "2024년 목표", "'24 목표", "목표", "목표 금액", "집행률", "", None]
+ROW_NAMES = ["점검", "정기 점검", "점 검", "예산", "", None]
+
+
+def random_case(spark, seed, n_facts, n_mentions):
+    rng = random.Random(seed)
+    value = lambda: str(rng.randint(1, 4))
+    p = pool(spark, [dict(normalized=value(), label=rng.choice(["점검 실적", "예산 현황", ""]), row_label=rng.choice(ROW_NAMES), column_header=rng.choice(SPELLINGS)) for _ in range(n_facts)])
+    m = mentions(spark, [("amount", value(), rng.choice(["점검 실적", "x"]), rng.choice(ROW_NAMES), rng.choice(SPELLINGS)) for _ in range(n_mentions)], tables=True)
+    return m, p
+
+
+def test_header_keys_of_tables_equal_the_agreement_of_single_headers(spark):
+    """Facts that a mention's keys lead to are those whose column and row agree, compared one by one."""
+    m, p = random_case(spark, 3, 40, 120)
+    facts, asked = p.collect(), m.collect()
+    clean = lambda x: (x or "").strip()
+    heads = sorted({clean(x) for x in SPELLINGS if clean(x)})
+    every = spark.createDataFrame([(1, a) for a in heads], "k int, a string")
+    agree = {(r.a, r.b) for r in R.agreeing_columns(every, every.withColumnRenamed("a", "b"), ["k"]).collect()}
+    bare = lambda x: "".join(clean(x).split())
+
+    def row_ok(a, b):
+        return not bare(a) or not bare(b) or bare(a) in bare(b) or bare(b) in bare(a)
+
+    known = any(clean(f.column_header) for f in facts)
+
+    def column_ok(a, b):
+        return not (clean(a) and known) or (clean(a), clean(b)) in agree
+
+    done = {r.s: r for r in R.categorize(m, p, IDS).collect()}
+    for x in asked:
+        left = {f.normalized for f in facts if column_ok(x.column_header, f.column_header) and row_ok(x.row_header, f.row_label)}
+        verdict = done[x.s].verdict
+        if not left:
+            assert verdict == "ambiguous"
+        elif len(left) == 1:
+            assert verdict == ("match" if x.normalized in left else "mismatch")
+        else:
+            assert verdict != "match" or x.normalized in left
+
+
+def test_spellings_of_a_dated_column_make_one_key(spark):
+    """Rows of keys follow the headers asked, not the spellings or the product with the rows."""
+    years = [f"{q}2024{w}" for q in ("", "(", "[", "<") for w in ("", "년", "년도", " ", ")", "]")]
+    p = pool(spark, [dict(normalized="1", label="a", row_label=f"점검 {i}", column_header=y) for i, y in enumerate(years)])
+    m = mentions(spark, [("amount", "1", "", f"점검 {i}", "'24년") for i in range(len(years))] + [("amount", "1", "", "", "2024")], tables=True)
+    rows, digest = R.with_headers(m), R.pool_digest(p)
+    keys = R.header_keys(rows, digest).collect()
+    columns = {k.k_col for k in keys}
+    assert len(columns) == 1 and len({(k.m_col, k.m_row) for k in keys}) == len(years) + 1
+    pairs = {(i, j) for i in range(len(years)) for j in range(len(years)) if f"점검{i}" in f"점검{j}" or f"점검{j}" in f"점검{i}"}
+    assert len(keys) == len(pairs) + 1  # row names that agree; no key for a pair that no fact has
+
+
 def test_column_agreement_truth_table(spark):
     cases = [("2024년", "2024년도", True), ("2024년 목표", "2024년 실적", False), ("2024년 목표", "2024년", False),
              ("2024년 목표", "2024년 상반기 목표", False), ("2024년", "2025년", False), ("집행률", "예산 집행률", True),

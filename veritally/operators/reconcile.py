@@ -17,6 +17,7 @@ from veritally.sources.stage import staged
 
 CASE_TYPE = ["case_id", "type"]
 ANY = "\u0001any"  # header key that stands for "whatever header"
+DATED = "\u0001"  # begins and parts the header key of a year and a modifier
 EVIDENCE = ["ord", "source_file", "location", "normalized", "raw", "label", "from_text"]
 
 
@@ -91,18 +92,36 @@ def agreeing_columns(left: DataFrame, right: DataFrame, keys: list[str]) -> Data
     return dated.unionByName(undated)
 
 
+def agreement_class(headers: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, name): what stands for all headers that agree with a header.
+
+    Headers with a year agree if year and modifier are equal, so these two are their class; others agree
+    by containment, which is no equivalence, and stand for themselves.  A blank header is its own class.
+    """
+    ident = column_identity(headers.where(F.col(column) != ""), column)
+    dated = F.concat(F.lit(DATED), "year", F.lit(DATED), F.coalesce("modifier", F.lit("")))
+    known = ident.select(F.col("header").alias(column), F.coalesce(dated, "header").alias(name))
+    return known.unionByName(headers.sparkSession.range(1).select(F.lit("").alias(column), F.lit("").alias(name)))
+
+
 def _header_keys(heads: DataFrame, digest: DataFrame) -> DataFrame:
     """For every (case, type, column header, row header) of mentions, the digest keys that apply.
 
     A blank header on either side never blocks.  When a mention knows its column and some
-    candidate knows one too, candidates without a column are out.
+    candidate knows one too, candidates without a column are out.  A column with a year has one key,
+    however many spellings the candidates have, and only keys that some candidate has are returned.
     """
     cands = staged(digest.select(*CASE_TYPE, "c_col", "c_row").distinct(), "candidates")
+    present = staged(_keyed(cands, True).select(*CASE_TYPE, "k_col", "k_row").distinct(), "present")
     known = cands.where("c_col <> ''").select(*CASE_TYPE).distinct().withColumn("_known", F.lit(True))
-    cols = agreeing_columns(
-        heads.where("m_col <> ''").select(*CASE_TYPE, F.col("m_col").alias("a")),
-        cands.where("c_col <> ''").select(*CASE_TYPE, F.col("c_col").alias("b")), CASE_TYPE,
+    dated = F.startswith("k_col", F.lit(DATED)) & (F.col("k_col") != ANY)
+    asked = heads.where("m_col <> ''").select(*CASE_TYPE, "m_col").distinct().join(
+        agreement_class(heads, "m_col", "k_col"), "m_col").select(*CASE_TYPE, "m_col", "k_col")
+    loose = loose_pairs(
+        asked.where(~dated).select(*CASE_TYPE, F.col("m_col").alias("a")),
+        present.where(~dated & (F.col("k_col") != ANY)).select(*CASE_TYPE, F.col("k_col").alias("b")), CASE_TYPE,
     ).select(*CASE_TYPE, F.col("a").alias("m_col"), F.col("b").alias("k_col"))
+    cols = asked.where(dated).unionByName(loose)
     rows = loose_pairs(
         heads.where("m_row <> ''").select(*CASE_TYPE, F.col("m_row").alias("a")),
         cands.where("c_row <> ''").select(*CASE_TYPE, F.col("c_row").alias("b")), CASE_TYPE,
@@ -116,16 +135,18 @@ def _header_keys(heads: DataFrame, digest: DataFrame) -> DataFrame:
     with_col = flagged.where("_by_col").join(cols, [*CASE_TYPE, "m_col"]).unionByName(
         flagged.where("not _by_col").withColumn("k_col", F.lit(ANY))
     ).drop("_by_col")
-    return with_col.where("m_row <> ''").join(rows, [*CASE_TYPE, "m_row"]).unionByName(
+    keys = with_col.where("m_row <> ''").join(rows, [*CASE_TYPE, "m_row"]).unionByName(
         with_col.where("m_row = ''").withColumn("k_row", F.lit(ANY))
     )
+    return keys.join(present, [*CASE_TYPE, "k_col", "k_row"], "left_semi")
 
 
 def _keyed(digest: DataFrame, tables: bool) -> DataFrame:
     """The digest under every header key it can be asked by."""
     if not tables:
         return digest.withColumn("k_col", F.lit(ANY)).withColumn("k_row", F.lit(ANY))
-    return digest.withColumn("k_col", F.explode(F.array(F.lit(ANY), "c_col"))).withColumn(
+    classed = digest.join(agreement_class(digest, "c_col", "_class"), "c_col")
+    return classed.withColumn("k_col", F.explode(F.array(F.lit(ANY), "_class"))).drop("_class").withColumn(
         "k_row", F.explode(F.array(F.lit(ANY), "c_row"))
     )
 

@@ -314,5 +314,6 @@ def identity_filter(spark, sf):
     rows = R.with_headers(table_mentions(spark, sf)).where("m_row <> '' and type = 'amount'")
     digest = R.staged_digest(year_pool(spark, sf))
     keys = R.header_keys(rows, digest)
-    real = digest.where("c_row <> ''").select("case_id", F.col("c_col").alias("k_col"), F.col("c_row").alias("k_row")).distinct()
-    return keys.join(real, ["case_id", "k_col", "k_row"], "left_semi").select("case_id", "m_row", "m_col", "k_row", "k_col")
+    real = digest.where("c_row <> ''").select("case_id", "c_col", F.col("c_row").alias("k_row")).distinct()
+    real = real.join(R.agreement_class(digest, "c_col", "k_col"), "c_col")
+    return keys.join(real, ["case_id", "k_col", "k_row"]).select("case_id", "m_row", "m_col", "k_row", F.col("c_col").alias("k_col"))
