@@ -42,8 +42,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = jaccard.jaccard_components(docs, k=5, percent=80)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
-    one = kept.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("_h"), *[c for c in names if c != "doc_id"])).alias("row"))
-    return one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"row.{c}").alias(c) for c in names]).unionByName(docs.where("doc_id is null"))
+    rows = kept.select("doc_id", F.struct(F.xxhash64("text").alias("hash"), F.struct(*names).alias("row")).alias("best"))
+    one = rows.groupBy("doc_id").agg(F.min("best").alias("best"))
+    return one.select("best.row.*").unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +53,13 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     n_chars follows the new text. A document of which nothing is left goes.
     """
     names = docs.columns
-    out = substring.substring_dedup(docs, window=13, carry=tuple(c for c in names if c != "text"))
+    place = {c: f"column{i}" for i, c in enumerate(names) if c != "text"}  # whatever they are called
+    rows = docs.select(F.col("doc_id"), F.col("text"), *[F.col(f"`{c}`").alias(p) for c, p in place.items()])
+    out = substring.substring_dedup(rows, window=13, carry=tuple(place.values()))
     out = out.where("n_words = 0 or n_removed < n_words")
-    length = F.when(F.col("n_removed") > 0, F.char_length("cut").cast("long")).otherwise(F.col("carried.n_chars"))
+    length = F.when(F.col("n_removed") > 0, F.char_length("cut").cast("long")).otherwise(F.col(f"carried.{place['n_chars']}"))
     value = {"text": F.col("cut"), "n_chars": length}
-    return out.select(*[value.get(c, F.col(f"carried.`{c}`")).alias(c) for c in names])
+    return out.select(*[(value[c] if c in value else F.col(f"carried.{place[c]}")).alias(c) for c in names])
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +67,9 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     What a text holds does not depend on its row, so rows are known by the hash of their text.
     """
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    leaks = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_text_key").select(F.col("doc_id").alias("_text_key")).distinct()
-    return keyed.join(leaks, "_text_key", "left_anti").select(*docs.columns)
+    keyed = docs.select(F.xxhash64("text").alias("text_key"), "text", F.struct(*docs.columns).alias("row"))
+    leaks = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="text_key").select(F.col("doc_id").alias("text_key")).distinct()
+    return keyed.join(leaks, "text_key", "left_anti").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -192,3 +192,17 @@ def test_short_items_and_null_ids(make, spark, tmp_path):
     benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
     left = drop_benchmark_leaks(spark, make(rows), str(tmp_path)).collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == [(0, "clean"), (3, "two one red blue"), (4, "")]
+
+
+def test_stages_take_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline as C
+
+    spark.createDataFrame([(1, "nothing of this kind")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    some = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, some, 9, 7, "x", 9), (2, some, 9, 8, "y", 8), (3, "other " + some + " " + " ".join(f"z{i}" for i in range(60)), 9, 1, "q", 2), (None, "alone", 5, 1, "k", 3), (4, None, None, 2, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, _id int, _h string, _text_key int")
+    extra = {r[:1] + r[3:] for r in rows}
+    for stage, gone in ((C.drop_near_duplicates, {2}), (C.cut_repeated_passages, {2}), (C.drop_benchmark_leaks, set())):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert {(r["doc_id"], r["_id"], r["_h"], r["_text_key"]) for r in out.collect()} == {r for r in extra if r[0] not in gone}
