@@ -1,10 +1,12 @@
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from tests.llm import plain
@@ -83,6 +85,24 @@ def test_large_counts_and_one_word_texts(make):
         assert r["score"] == pytest.approx(score("the" if r["doc_id"] < 1000 else "the end")[4])
 
 
+@pytest.mark.parametrize("kind", ["pairs", "words"])
+@pytest.mark.parametrize("harm", ["lost", "short"])
+def test_a_harmed_model_is_an_error(make, kind, harm):
+    docs = make([(i, f"a b c{i} d{i} e") for i in range(40)])
+    model = N.fit(docs)
+    assert {f for f in os.listdir(model.folder) if f.startswith(kind)} == {f for f in model.files if f.startswith(kind)}
+    assert len(N.score(docs, model).collect()) == 40
+    for name in model.files:
+        if name.startswith(kind):
+            path = f"{model.folder}/{name}"
+            if harm == "lost":
+                os.remove(path)
+            else:
+                os.truncate(path, model.files[name] - 1)
+    with pytest.raises(PythonException, match="instead of"):
+        N.score(docs, model).collect()
+
+
 def test_model_folder_must_be_mounted():
     with pytest.raises(ValueError):
         N.local_folder("s3a://bucket/x")

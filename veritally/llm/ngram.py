@@ -48,6 +48,7 @@ class Model(NamedTuple):
     d2: tuple[float, float, float]
     d1: tuple[float, float, float]
     floor: float
+    files: dict[str, int]  # what was written, and how long it is: a bucket without n-grams has no file
 
 
 def local_folder(uri: str) -> str:
@@ -59,13 +60,16 @@ def local_folder(uri: str) -> str:
     return uri
 
 
-def _write(path: str, arrays: list[np.ndarray]):
+def _write(path: str, arrays: list[np.ndarray]) -> int:
+    """Writes the arrays under another name first; returns the length of the file."""
     part = f"{path}.{uuid.uuid4().hex}"
     with open(part, "wb") as f:
         f.write(np.array([len(a) for a in arrays], "<i8").tobytes())
         for a in sorted(arrays, key=lambda a: -a.itemsize):
             f.write(a.tobytes())
+        size = f.tell()
     os.replace(part, path)
+    return size
 
 
 @functools.lru_cache(maxsize=2048)
@@ -165,7 +169,8 @@ def _add_pairs(folder: str, buckets: int):
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         key, context, word, count = key[first], context[first], word[first], np.add.reduceat(count, first)
         large = count >= 255
-        _write(f"{folder}/pairs-{rows['bucket'][0].as_py()}", [key, np.minimum(count, 255).astype(np.uint8), key[large], count[large].astype(U)])
+        bucket = rows["bucket"][0].as_py()
+        size = _write(f"{folder}/pairs-{bucket}", [key, np.minimum(count, 255).astype(np.uint8), key[large], count[large].astype(U)])
         one = np.ones(len(count), np.int64)
         words, kinds, total = _sum_runs(word, one, count)
         contexts, once, twice, more = _sum_runs(context, (count == 1).astype(np.int64), (count == 2).astype(np.int64), (count > 2).astype(np.int64))
@@ -181,32 +186,36 @@ def _add_pairs(folder: str, buckets: int):
                 if cut[i] < cut[i + 1]:
                     s = slice(cut[i], cut[i + 1])
                     send(i, mark, W.pack(keys[s]), *(W.plain_pack(v[s]) for v in values))
-        send(-1, np.array(_four(count), "<i8").tobytes())
+        send(-1, np.array(_four(count), "<i8").tobytes(), np.array([bucket, size], "<i8").tobytes())
         return pa.table([pa.array(out[f.name], f.type) for f in _SCHEMA], schema=_SCHEMA)
 
     return reduce
 
 
 def _add_words(folder: str):
+    def written(level: int, stats: list[int], files: list[int]) -> pa.Table:
+        lists = pa.list_(pa.int64())
+        return pa.table({"level": pa.array([level], pa.int32()), "stats": pa.array([stats], lists), "files": pa.array([files], lists)})
+
     def reduce(rows: pa.Table) -> pa.Table:
         bucket = rows["bucket"][0].as_py()
         if bucket < 0:
             stats = np.sum([np.frombuffer(x, "<i8") for x in rows["a"].to_pylist()], axis=0)
-            return pa.table({"level": pa.array([2], pa.int32()), "stats": pa.array([stats.tolist()], pa.list_(pa.int64()))})
+            return written(2, stats.tolist(), np.frombuffer(b"".join(rows["b"].to_pylist()), "<i8").tolist())
         rows = rows.to_pylist()
         empty = np.zeros(0, np.int64)
         words = [(W.unpack(r["b"]), W.plain_unpack(r["c"]), W.plain_unpack(r["d"])) for r in rows if r["a"] == b"w"]
         contexts = [(W.unpack(r["b"]), *(W.plain_unpack(r[x]) for x in "cde")) for r in rows if r["a"] == b"c"]
         both = [np.concatenate([x[0] for x in words] + [x[0] for x in contexts] + [empty.astype(U)])]
-        size = sum(len(x[0]) for x in words)
+        seen = sum(len(x[0]) for x in words)
         for i in (1, 2):
-            both.append(np.concatenate([*(x[i] for x in words), np.zeros(len(both[0]) - size, np.int64)]))
+            both.append(np.concatenate([*(x[i] for x in words), np.zeros(len(both[0]) - seen, np.int64)]))
         for i in (1, 2, 3):
-            both.append(np.concatenate([np.zeros(size, np.int64), *(x[i] for x in contexts)]))
+            both.append(np.concatenate([np.zeros(seen, np.int64), *(x[i] for x in contexts)]))
         key, kinds, total, once, twice, more = _sum_runs(*both)
-        _write(f"{folder}/words-{bucket}", [key, total, kinds, once, twice, more])
+        size = _write(f"{folder}/words-{bucket}", [key, total, kinds, once, twice, more])
         stats = [*_four(kinds), int((kinds > 0).sum()), int(kinds.sum()), int(total.sum())]
-        return pa.table({"level": pa.array([1], pa.int32()), "stats": pa.array([stats], pa.list_(pa.int64()))})
+        return written(1, stats, [bucket, size])
 
     return reduce
 
@@ -222,26 +231,33 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Counts the model over all rows of docs and writes its arrays to a new shared folder."""
+    """Counts the model over all rows of docs and writes its arrays to a new shared folder. The model
+    knows the length of each file; scoring with a file lost or cut short is an error."""
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     folder, buckets = local_folder(fresh(spark, "ngram")), partitions(spark)
     os.makedirs(folder, exist_ok=True)
     rows = (docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count(buckets), _MESSAGE)
             .groupBy("bucket").applyInArrow(_add_pairs(folder, buckets), _MESSAGE)
-            .groupBy("bucket").applyInArrow(_add_words(folder), "level int, stats array<long>").collect())
+            .groupBy("bucket").applyInArrow(_add_words(folder), "level int, stats array<long>, files array<long>").collect())
+    names = {2: "pairs", 1: "words"}
+    files = {f"{names[r['level']]}-{i}": size for r in rows for i, size in zip(r["files"][::2], r["files"][1::2], strict=True)}
     two = next((r["stats"] for r in rows if r["level"] == 2), [0] * 4)
     one = np.sum([r["stats"] for r in rows if r["level"] == 1] or [[0] * 7], axis=0).tolist()
     n1, n2, n3, n4, types, followers, tokens = one
     d1 = discounts(n1, n2, n3, n4)
     mass = d1[0] * n1 + d1[1] * n2 + d1[2] * (types - n1 - n2)
     floor = mass / followers / (types + 1) if followers else 1.0
-    return Model(folder, buckets, tokens, types, followers, discounts(*two), d1, floor)
+    return Model(folder, buckets, tokens, types, followers, discounts(*two), d1, floor, files)
 
 
-def _find(path: str, kinds, keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    if not os.path.exists(path):
+def _find(model: Model, name: str, kinds, keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    if name not in model.files:
         return [np.zeros(0, k) for k in kinds], np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    path = f"{model.folder}/{name}"
+    have = os.path.getsize(path) if os.path.exists(path) else None
+    if have != model.files[name]:
+        raise RuntimeError(f"{path} has {have} bytes instead of {model.files[name]}: the model folder must be shared by all workers and kept")
     arrays = _map(path, kinds)
     at = np.searchsorted(arrays[0], keys)
     at[at == len(arrays[0])] = 0
@@ -255,7 +271,7 @@ def _lookup_words(model: Model, keys: np.ndarray) -> np.ndarray:
     for i in range(model.buckets):
         s = slice(cut[i], cut[i + 1])
         if cut[i] < cut[i + 1]:
-            arrays, at, hit = _find(f"{model.folder}/words-{i}", WORDS, keys[s])
+            arrays, at, hit = _find(model, f"words-{i}", WORDS, keys[s])
             for j in range(5):
                 out[j, s][hit] = arrays[j + 1][at[hit]]
     return out
@@ -269,7 +285,7 @@ def _lookup_pairs(model: Model, context, word) -> np.ndarray:
     for i in range(model.buckets):
         if cut[i] < cut[i + 1]:
             part = sorted_key[cut[i]:cut[i + 1]]
-            arrays, at, hit = _find(f"{model.folder}/pairs-{i}", PAIRS, part)
+            arrays, at, hit = _find(model, f"pairs-{i}", PAIRS, part)
             count = np.zeros(len(part), np.int64)
             count[hit] = arrays[1][at[hit]]
             large = np.flatnonzero(count == 255)
