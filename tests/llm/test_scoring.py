@@ -207,6 +207,20 @@ def test_few_good_labels_suffice(spark):
     assert Q.thresholds(Q._scores(Q.features(docs)), few).collect() == []
 
 
+def test_copies_of_a_labelled_text_count_once(spark):
+    # twenty good texts, one of them in a hundred rows of its document and in a hundred labelled copies
+    r = np.random.default_rng(6)
+    text = lambda bad: " ".join(f"word{r.integers(1000)}" + ("##$$" if bad else "") for _ in range(60))
+    good, bad = [(i, text(False), "xx") for i in range(20)], [(i, text(True), "xx") for i in range(20, 60)]
+    rows = good + bad + [good[0]] * 100 + [(1000 + i, good[0][1], "xx") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(not 20 <= i < 60)) for i, *_ in rows], "doc_id long, quality int")
+    assert Q.thresholds(Q._scores(Q.features(docs)), labels).collect() == []  # 59 good ones are needed
+    # at a larger risk these twenty do, and are counted as twenty
+    cut = Q.thresholds(Q._scores(Q.features(docs)), labels, risk=0.3).collect()
+    assert cut and all((c["n_good"], c["n_bad"]) == (20, 40) for c in cut)
+
+
 def test_quality_is_native(corpus, spark):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     plan = Q.quality_verdicts(corpus, labels)._jdf.queryExecution().toString() + Q.features(corpus)._jdf.queryExecution().toString()

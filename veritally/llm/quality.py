@@ -61,13 +61,13 @@ def _repeat_words(words: Column, window: int) -> Column:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """doc_id, stratum and the counted features of each whole text; null text: no words."""
+    """doc_id, stratum, a hash and the counted features of each whole text; null text: no words."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), text.alias("text"))
     base = base.select("doc_id", "stratum", "text", F.filter(F.split("text", SPACE), lambda w: w != "").alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return base.select(
-        "doc_id", "stratum", F.size("words").cast("long").alias("n_words"),
+        "doc_id", "stratum", F.xxhash64("text").alias("text_key"), F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.char_length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         _bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
@@ -134,10 +134,15 @@ def thresholds(scored: DataFrame, labels: DataFrame, risk: float = 0.05, alpha:
     grid = staged(grid.select("rule", pairs.alias("g")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "g"))).alias("grid")), "quality-grid")
     above = F.transform(_tests(RULES), lambda t: F.struct(t["rule"].alias("rule"), F.size(F.filter(F.col("grid")[t["rule"]], lambda g: t["value"] > g["cutoff"])).alias("above")))
     seen = scored.where("not base_failed").join(label, "doc_id", "left").crossJoin(F.broadcast(grid)).select(
-        "stratum", F.when(F.col("quality").isNull(), "free").when(F.col("quality") > 0, "good").otherwise("bad").alias("kind"), above.alias("t"))
+        "stratum", "doc_id", "text_key", F.when(F.col("quality").isNull(), "free").when(F.col("quality") > 0, "good").otherwise("bad").alias("kind"), above.alias("t"))
+    # the bound is about independent draws: copies of a labelled text count once, and so do rows of one document
+    labelled = seen.where("kind != 'free'").groupBy("text_key").agg(F.min(F.struct("kind", "doc_id", "stratum", "t")).alias("x")).select("text_key", "x.*")
+    labelled = labelled.groupBy("doc_id").agg(F.min(F.struct("kind", "text_key", "stratum", "t")).alias("x")).select("x.stratum", "x.kind", "x.t")
+    labelled = staged(labelled, "quality-labelled")
     # a document counts for every cutoff below its value: histogram first, then the sums over cutoffs
     count = lambda kind: F.sum((F.col("kind") == kind).cast("long"))
-    counts = seen.where("kind != 'good'").select("stratum", "kind", F.explode("t").alias("t")).groupBy("stratum", "t.rule", "t.above").agg(count("bad").alias("bad"), count("free").alias("free"))
+    others = seen.where("kind = 'free'").select("stratum", "kind", "t").unionByName(labelled.where("kind = 'bad'"))
+    counts = others.select("stratum", "kind", F.explode("t").alias("t")).groupBy("stratum", "t.rule", "t.above").agg(count("bad").alias("bad"), count("free").alias("free"))
     counts = counts.groupBy("stratum", "rule").agg(F.sum("bad").alias("n_bad"), F.sum("free").alias("n_free"), F.collect_list(F.struct("above", "bad", "free")).alias("h"))
     total = lambda name, i: F.aggregate(F.filter("h", lambda x: x["above"] > i), F.lit(0).cast("long"), lambda acc, x: acc + x[name])
     tried = counts.where("n_bad > 0").crossJoin(F.broadcast(grid)).select(
@@ -148,7 +153,7 @@ def thresholds(scored: DataFrame, labels: DataFrame, risk: float = 0.05, alpha:
     steps = staged(tried.select("stratum", "rule", "place", "cutoff", lift.alias("lift")).where("lift > 1").withColumn("step", F.row_number().over(order)), "quality-steps")
     path = steps.groupBy("stratum").agg(F.collect_list(F.struct("rule", "place", "step")).alias("path"))
     # the first step that rejects a document
-    known = seen.where("kind != 'free'").select("stratum", "kind", F.map_from_entries("t").alias("t")).join(F.broadcast(path), "stratum", "left")
+    known = labelled.select("stratum", "kind", F.map_from_entries("t").alias("t")).join(F.broadcast(path), "stratum", "left")
     first = F.array_min(F.transform(F.filter("path", lambda p: F.col("t")[p["rule"]] > p["place"]), lambda p: p["step"]))
     counts = known.select("stratum", "kind", first.alias("step")).groupBy("stratum", "step").agg(count("good").alias("good"), count("bad").alias("bad"))
     counts = counts.groupBy("stratum").agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"), F.collect_list(F.struct("step", "good", "bad")).alias("h"))
