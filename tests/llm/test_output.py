@@ -127,6 +127,18 @@ def test_feistel_is_a_permutation():
     assert (O.Feistel(5000, 9).slots(np.arange(50)) != O.Feistel(5000, 10).slots(np.arange(50))).any()
 
 
+def test_ids_beyond_a_record_are_an_error(monkeypatch):
+    import pyarrow as pa
+
+    class Wide:
+        def ids(self, column):
+            return np.array([65_536], np.uint32), np.array([1])
+
+    monkeypatch.setattr(O, "tokenizer", lambda path: Wide())
+    with pytest.raises(ValueError, match="65536"):
+        list(O._pieces("", [pa.record_batch({"doc_id": [1], "text": ["x"]})]))
+
+
 @pytest.mark.parametrize("which", ["corpus", "odd"])
 def test_training_order_round_trip(request, which, spark, tmp_path, whole):
     docs = request.getfixturevalue(which)

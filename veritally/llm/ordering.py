@@ -85,6 +85,8 @@ def _pieces(path: str, batches):
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
             ids, n = encode.ids(part["text"])
+            if len(ids) and int(ids.max()) >= 1 << 16:
+                raise ValueError(f"id {int(ids.max())} does not fit into the 16 bits of a record")
             check = zlib.crc32(n.tobytes(), zlib.crc32(W.ids_of(part["doc_id"]).tobytes(), check))
             yield part["doc_id"].to_pylist(), ids, n, check
 
@@ -152,7 +154,7 @@ def _write(folder: str, length: int, per_shard: int):
 def training_order(docs: DataFrame, path: str, length: int = 512, key: int = 20_240_117, per_shard: int = 16_384, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes all documents as fixed-stride shards in a keyed order and returns where each sequence is.
 
-    A document's ids and the end id are cut at `length`; ids must fit into 16 bits. Returns a row per
+    A document's ids and the end id are cut at `length`; ids that do not fit into 16 bits are an error. Returns a row per
     sequence: doc_id, piece, length, number (its place before the permutation), slot (0..n-1, each
     once), shard, record (place in the shard) and ids_crc32 (of the ids as little-endian unsigned 32-bit). The
     shards lie in `folder`, by default a new one in the shared folder, as 00000000.bin and so on,
