@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -10,8 +11,9 @@ import corpus_pipeline
 from tests.llm import plain
 from tests.llm.conftest import ODD
 from veritally.llm import ordering as O, packing as P
+from veritally.llm.alignment import byte_values
 from veritally.llm.mainhtml import blocks, main_content, main_text, minimum_cut
-from veritally.llm.tokens import ChunkTokenizer, vocabulary
+from veritally.llm.tokens import ChunkTokenizer, WordMerges, vocabulary
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +40,23 @@ def test_chunks_give_the_ids_of_whole_texts(whole, texts):
         assert ids.tolist() == [x for t in texts for x in whole(t)]
 
 
+def test_the_fast_way_gives_the_ids_of_the_tokenizer():
+    with open(vocabulary()) as f:
+        values, pieces = byte_values(), json.load(f)["model"]["vocab"]
+    words = [bytes(values[c] for c in p.removesuffix("</w>")).decode(errors="ignore") for p in pieces]
+    r = random.Random(5)
+    signs = "aAbBzZ'sStTdDmMlLreRvV019.,!-'\"éÉßñÑçøÆİıſµªº²½×÷ŁłǅǄȀ\x00\x1f\x7f\x85\xa0ΣÅ中$<>|_"
+    words += ["".join(r.choice(signs) for _ in range(r.randint(1, 14))) for _ in range(30_000)] + ["ab'S" * 64, "ab'S" * 65, "<|endoftext|>"]
+    words = [w for text in words for w in text.split(" ") if w and not any(c in "\t\n\x0b\x0c\r" for c in w)]
+    t = ChunkTokenizer(vocabulary())
+    assert sum(map(t.fast.knows, words)) > 50_000
+    ids, n = t.encode(words)
+    want = t._encode(words)
+    assert n.tolist() == [len(x) for x in want] and np.array_equal(ids, np.concatenate(want))
+    assert t.encode([])[1].tolist() == []
+    assert WordMerges.of(vocabulary("byte_bpe_50k.json")) is None  # another form: the tokenizer's own library only
+
+
 def check_packing(rows, docs, whole, capacity):
     want = Counter((i, tuple(whole(t) + [1])) for i, t in docs)
     parts, places = defaultdict(list), defaultdict(list)
