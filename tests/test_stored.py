@@ -131,3 +131,24 @@ def test_a_hot_key_sends_twenty_calls_a_task(spark, tmp_path):
     calls.where("at >= 3000").write.mode("append").parquet(arriving)
     last = [c for k, a, c, _ in rows if k == 1][-20:]
     assert run()[1] == pytest.approx(300 / (sum(last) / 20) * 0.8)
+
+
+def test_a_stream_of_a_table_in_one_file_or_a_folder(spark, tmp_path):
+    from veritally.plans.streams import stream_intake
+
+    rows = spark.createDataFrame([(c, t, "user", f"말 {c}") for c in range(6) for t in range(3)], "conv_id long, turn long, role string, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "conversations.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (part,) = glob.glob(f"{tmp_path}/one/*.parquet")
+    os.makedirs(tmp_path / "file")
+    os.link(part, tmp_path / "file" / "conversations.parquet")
+    for folder in ("many", "file"):
+        got = sorted((r.conv_id, r.turn) for r in stream_intake(spark, str(tmp_path / folder)).collect())
+        assert got == [(c, t) for c in range(6) for t in range(3)]
+
+
+def test_a_stream_to_which_nothing_has_come(spark, tmp_path):
+    os.makedirs(tmp_path / "none")
+    stream = spark.readStream.schema("conv_id long, turn long, text string").parquet(str(tmp_path / "none"))
+    rows = J.intake_stream(stream, ["conv_id", "turn"], str(tmp_path / "job"))
+    assert rows.columns == ["conv_id", "turn", "kinds", "command", "item", "tool"] and rows.count() == 0
