@@ -165,3 +165,20 @@ def test_table_alignment_with_merged_and_missing_tables(spark):
     g = spark.createDataFrame(cells, "doc_id long, table_no int, r int, c int, text string")
     got = sorted((text[r.s:r.e], r.row_header, r.column_header) for r in T.table_contexts(docs, g).collect())
     assert got == [("10", "점검", "2024년"), ("20", "점검", "2025년"), ("7", "합", "2024년")]
+
+
+def test_fact_lists_and_label_digests_give_the_same_verdicts(spark):
+    rng = random.Random(7)
+    words = ["점검 실적", "예산", "참여 인원", "정기점검 실적 개소", "", " "]
+    p = pool(spark, [dict(normalized=str(rng.randint(1, 6)), type=rng.choice(["amount", "date"]), label=rng.choice(words)) for _ in range(40)])
+    m = mentions(spark, [(rng.choice(["amount", "date", "year"]), str(rng.randint(1, 7)), rng.choice(words) + rng.choice(["", " 올해 점검"])) for _ in range(60)])
+    assert len({v for v, _ in verdicts(spark, m, p)}) == 4
+    for size in (0, 18):  # no list; a list for one type only
+        other = [(r.verdict, r.ev.location if r.ev else None) for r in R.categorize(m, p, IDS, small_group=size).orderBy("s").collect()]
+        assert other == verdicts(spark, m, p)
+
+
+def test_mentions_outside_tables_are_shuffled_once(spark):
+    p, m = pool(spark, [dict(normalized="21", label="참여 인원"), dict(normalized="30")]), mentions(spark, [("amount", "21", "참여 인원")])
+    plan = R.categorize(m, p, IDS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Broadcast" not in plan
