@@ -182,3 +182,17 @@ def test_mentions_outside_tables_are_shuffled_once(spark):
     p, m = pool(spark, [dict(normalized="21", label="참여 인원"), dict(normalized="30")]), mentions(spark, [("amount", "21", "참여 인원")])
     plan = R.categorize(m, p, IDS)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 2 and "Broadcast" not in plan
+
+
+def test_another_order_of_the_same_amount_is_no_choice_of_a_report(spark, tmp_path):
+    from veritally.plans import verification as V
+
+    rows = [(1, 7, 100.0), (2, 7, 100.0), (3, 7, 900.0)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").selectExpr(
+        "*", "date'1995-03-04' as o_orderdate", "'1-URGENT' as o_orderpriority")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    code = {k: "주문 " + "a" * 7 + "abcd"[k] for k in (1, 2, 3)}
+    want = [(k, 0, 1, code[k]) for k in (1, 2, 3)] + [(k, 1, c, l) for k in (1, 2) for c, l in ((1, code[k]), (2, code[3]))]
+    assert sorted(map(tuple, V.shortlist(spark, str(tmp_path)).collect())) == sorted(want)
+    done = {(r.doc_id, r.place): r.verdict for r in V.apply_answers(spark, str(tmp_path)).collect()}
+    assert done == {(1, 0): "ambiguous", (1, 1): "match", (2, 0): "ambiguous", (2, 1): "ambiguous", (3, 0): "ambiguous", (3, 1): "match"}
