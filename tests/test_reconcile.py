@@ -130,6 +130,18 @@ def test_contained_pairs_equal_brute_force_both_ways(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_contained_pairs_of_needles_that_share_their_grams(spark, monkeypatch):
+    # every three characters of a needle are in dozens of others, so such grams tell none apart
+    needles = ["".join(p) + tail for p in itertools.product("ab", repeat=7) for tail in ("", "cdefghijklmnop")]
+    texts = [f"앞 {n} 뒤" for n in needles]
+    t = spark.createDataFrame([(1, x) for x in texts], "k int, text string")
+    n = spark.createDataFrame([(1, x) for x in needles], "k int, needle string")
+    want = {(x, y) for x in texts for y in needles if y in x}
+    assert {(r.text, r.needle) for r in contains.contained_pairs(t, n, ["k"]).collect()} == want
+    monkeypatch.setattr(contains.F, "contains", lambda text, needle: contains.F.lit(True))  # all that the test would see
+    assert contains.contained_pairs(t, n, ["k"]).count() < 2 * len(want)
+
+
 def test_ignored_only_leaves_mismatches(spark):
     v = spark.createDataFrame([("5", "match"), ("5", "mismatch"), ("6", "mismatch")], "raw string, verdict string")
     ignored = spark.createDataFrame([("5",), ("5",)], "raw string")
