@@ -152,3 +152,16 @@ def test_a_stream_to_which_nothing_has_come(spark, tmp_path):
     stream = spark.readStream.schema("conv_id long, turn long, text string").parquet(str(tmp_path / "none"))
     rows = J.intake_stream(stream, ["conv_id", "turn"], str(tmp_path / "job"))
     assert rows.columns == ["conv_id", "turn", "kinds", "command", "item", "tool"] and rows.count() == 0
+
+
+def test_snapshots_of_the_index_stream_are_files_of_many_tasks(spark, tmp_path, monkeypatch):
+    from veritally.plans import streams as S
+
+    docs = [(i, f"글 {i}", "web") for i in range(40)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(S, "fresh_path", lambda spark, name: str(tmp_path / name))
+    got = {r.path: r.mtime for r in S.stream_index(spark, str(tmp_path)).collect()}
+    want = {i: i + (60 if i % 10 == 0 else 0) for i in range(40) if i % 13 != 5 or i % 10 != 1}
+    assert {int(p.split("_")[-1][:-4]): t for p, t in got.items()} == want
+    assert len(list((tmp_path / "arrivals").glob("part-*"))) > 2  # one file is one task that reads a whole snapshot
