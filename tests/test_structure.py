@@ -128,3 +128,34 @@ def test_no_side_of_an_outline_join_is_broadcast(spark):
     back, states = O.revert_edits(out, log)
     for rows in (O.read_section(p, sections, e.select("doc_id", "section_id")), O.section_of_paragraph(p, sections), out, log, back, states):
         assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_those_of_splitlines(spark):
+    texts = ["", "\n", "a", "a\n", "a\n\n", "\na\nb", "a\r\nb\r", "a\x0bb\x0c", "a\x1cb\x1db\x1e", "a\x85b\u2028c\u2029", "a\n\x85", "\r\n\n"]
+    got = {}
+    for r in U.text_lines(docs(spark, *texts), ["doc_id"]).orderBy("doc_id", "line").collect():
+        got.setdefault(r.doc_id, []).append(r.content)
+    assert [got.get(i, []) for i in range(len(texts))] == [t.splitlines() for t in texts]
+
+
+def test_rule_checks_counts_both_kinds_in_one_pass(spark):
+    texts = ["1. 가\n3. 나\n값 5\n합계 6\n값 1\n총계 1", "", None, "본문", "1. 합계 7\n값 7\n소계 8\n5. 끝", "\n\n가. 나\n다. 라"]
+    rows = docs(spark, *texts)
+    checks = U.rule_checks(rows, ["doc_id"])
+    assert sorted(tuple(r) for r in checks.collect()) == [(0, 1, 1, 2), (1, 0, 0, 0), (2, 0, 0, 0), (3, 0, 0, 0), (4, 1, 1, 2), (5, 1, 0, 1)]
+    assert plan(U.rule_checks(rows.repartition(3, "doc_id"), ["doc_id"])).count("Exchange") == 1
+
+
+def test_tasks_of_lines_grow_with_the_table_and_move_no_text(spark, tmp_path, monkeypatch):
+    from veritally.plans import render, structure
+
+    orders = "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    spark.range(500).selectExpr("id", "id", "id * 1.5D", "timestamp_ntz'1995-03-04 00:00:00'", "'1-URGENT'").toDF(*[c.split()[0] for c in orders.split(", ")]).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(render, "TASK_ROWS", 20)
+    for query in (structure.rule_checks, structure.subtotal_check, structure.outline, structure.outline_text, structure.item_numbering):
+        out = plan(query(spark, str(tmp_path)))
+        assert out.count("Exchange") == 1 and "hashpartitioning(o_orderkey" in out and ", 25)" in out

@@ -10,39 +10,53 @@ from veritally.functions import fixed as X
 from veritally.functions.text import ascii_digits, contains_any, lstrip, rx, strip
 
 _LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+_OTHER_BREAK = r"[\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
-def text_lines(docs: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
-    """One row per line (from 1), as splitlines() cuts: no empty line after a final break."""
-    body = F.regexp_replace(F.col(text), f"(?:{_LINE_BREAK})\\z", "")
-    parts = F.when(F.col(text) == "", F.array().cast("array<string>")).otherwise(F.split(body, _LINE_BREAK))
-    return docs.select(*ids, F.posexplode(parts).alias("_i", "content")).select(
+def text_lines(docs: DataFrame, ids: list[str], text: str = "text", empty: bool = False) -> DataFrame:
+    """One row per line (from 1), as splitlines() cuts: no empty line after a final break.
+
+    With `empty`, a text without a line has a row too, whose line is NULL.
+    """
+    whole = F.col(text)
+    # texts with no break but \n, which are most, need no pattern
+    unix = F.split(F.when(F.endswith(whole, F.lit("\n")), F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole), "\n")
+    other = F.split(F.regexp_replace(whole, f"(?:{_LINE_BREAK})\\z", ""), _LINE_BREAK)
+    parts = F.when(whole == "", F.array().cast("array<string>")).when(whole.rlike(_OTHER_BREAK), other).otherwise(unix)
+    return docs.select(*ids, (F.posexplode_outer if empty else F.posexplode)(parts).alias("_i", "content")).select(
         *ids, (F.col("_i") + 1).alias("line"), "content"
     )
 
 
+def first_match(text: Column, body: Column, patterns: tuple[str, ...], unless: Column | None = None) -> Column:
+    """Place of the first pattern that `body`, the text without blanks before it, has; NULL without one.
+
+    Texts for which `unless` holds have none either. Lines without any, which are most, cost one pattern on the text as it is.
+    """
+    level = reduce(
+        lambda acc, i: F.when(body.rlike(rx(patterns[i])), F.lit(i)).otherwise(acc),
+        range(len(patterns) - 1, -1, -1), F.lit(None).cast("int"),
+    )
+    some = rx(f"^[{X.STRIP_CHARS}]*(?:" + "|".join(p.removeprefix("^") for p in patterns) + ")")
+    return F.when(text.rlike(some), level if unless is None else F.when(unless, F.lit(None).cast("int")).otherwise(level))
+
+
 def item_level(line: Column) -> Column:
     """0..3 for the four numbering styles, NULL for other lines."""
-    body = strip(line)
-    return reduce(
-        lambda acc, i: F.when(body.rlike(rx(X.ITEM_LEVELS[i])), F.lit(i)).otherwise(acc),
-        (3, 2, 1, 0), F.lit(None).cast("int"),
-    )
+    return first_match(line, strip(line), X.ITEM_LEVELS)
 
 
-def item_numbering(docs: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
-    """Items whose number is not the one after the last item of the same level and scope.
+def numbered(lines: DataFrame, ids: list[str], *more: str) -> DataFrame:
+    """Items (lines with a level) with their number and the one expected; other rows have neither.
 
-    A scope of a level starts anew after every item of a shallower level.
+    A scope of a level starts anew after every item of a shallower level. `more` are columns kept.
     """
-    lines = text_lines(docs, ids, text).withColumn("level", item_level(F.col("content"))).where("level is not null")
     body = strip(F.col("content"))
-    token = F.regexp_extract(body, rx(r"^(\d+|[가-힣])"), 1)
-    numeric = F.col("level").isin(0, 2)
-    number = F.when(numeric, ascii_digits(token).try_cast("bigint")).otherwise(
-        F.instr(F.lit(X.HANGUL_ORDER), token).cast("bigint")
+    token = F.when(F.col("level").isNotNull(), F.regexp_extract(body, rx(r"^(\d+|[가-힣])"), 1))
+    number = F.when(F.col("level").isin(0, 2), ascii_digits(F.col("token")).try_cast("bigint")).otherwise(
+        F.instr(F.lit(X.HANGUL_ORDER), F.col("token")).cast("bigint")
     )
-    items = lines.withColumn("token", token).withColumn("number", number)
+    items = lines.withColumn("token", token).withColumn("number", number).select(*ids, "line", "level", "token", "number", *more)
     before = Window.partitionBy(*ids).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     scope = reduce(
         lambda acc, lv: F.when(
@@ -52,7 +66,14 @@ def item_numbering(docs: DataFrame, ids: list[str], text: str = "text") -> DataF
     )
     items = items.withColumn("_scope", F.coalesce(scope, F.lit(0)))
     same = Window.partitionBy(*ids, "level", "_scope").orderBy("line")
-    items = items.withColumn("_expected", F.lag("number", 1, 0).over(same) + 1)
+    return items.withColumn("_expected", F.when(F.col("level").isNotNull(), F.lag("number", 1, 0).over(same) + 1))
+
+
+def item_numbering(docs: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
+    """Items whose number is not the one after the last item of the same level and scope."""
+    lines = text_lines(docs, ids, text).withColumn("level", item_level(F.col("content"))).where("level is not null")
+    items = numbered(lines, ids, "content")
+    numeric = F.col("level").isin(0, 2)
     size = len(X.HANGUL_ORDER)
     wanted = F.when(numeric, F.col("_expected").cast("string")).when(
         F.col("_expected").between(1, size),
@@ -60,57 +81,66 @@ def item_numbering(docs: DataFrame, ids: list[str], text: str = "text") -> DataF
     ).otherwise("?")
     found = F.when(numeric, F.col("number").cast("string")).otherwise(F.col("token"))
     return items.where("number <> _expected").select(
-        *ids, "line", body.alias("content"), wanted.alias("expected"), found.alias("actual"),
+        *ids, "line", strip(F.col("content")).alias("content"), wanted.alias("expected"), found.alias("actual"),
         F.concat(F.lit("번호 순서 오류 (기대: "), wanted, F.lit(", 실제: "), found, F.lit(")")).alias("issue"),
     )
 
 
-def subtotal_check(docs: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
-    """Total lines whose last number is not the sum of the numbers since the previous total line."""
-    lines = text_lines(docs, ids, text)
+def valued(lines: DataFrame) -> DataFrame:
+    """Lines with `total` (a total line), and _n, _sum and _last: how many numbers a line without a
+    level has, their sum, and the last one of a total line."""
     content = F.col("content")
-    lines = lines.withColumn("total", contains_any(content, X.TOTAL_WORDS))
-    lines = lines.where(F.col("total") | item_level(content).isNull())
+    total = F.coalesce(contains_any(content, X.TOTAL_WORDS), F.lit(False))
     bare = reduce(lambda acc, p: F.regexp_replace(acc, rx(p), ""), X.NOT_A_VALUE, content)
     texts = F.regexp_extract_all(bare, F.lit(rx("(" + X.PLAIN_NUMBER + ")")), F.lit(1))
     numbers = F.transform(texts, lambda t: ascii_digits(F.replace(t, F.lit(","), F.lit(""))).try_cast("double"))
-    lines = lines.withColumn("numbers", numbers)
-    before = Window.partitionBy(*ids).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn(
-        "_segment", F.coalesce(F.sum(F.col("total").cast("int")).over(before), F.lit(0))
-    )
+    asked = (total | F.col("level").isNull()) & content.rlike(rx(r"\d"))
+    # made by a generator, as a filter on them would else compute them a second time
+    made = F.inline(F.array(F.struct(F.when(asked, numbers).otherwise(F.array().cast("array<double>")).alias("_numbers"))))
+    rows = lines.withColumn("total", total).select("*", made)
     items = ~F.col("total")
-    one_line = F.aggregate("numbers", F.lit(0.0), lambda a, b: a + b)
-    segments = lines.groupBy(*ids, "_segment").agg(
-        F.sum(F.when(items, one_line)).alias("computed"),
-        F.coalesce(F.sum(F.when(items, F.size("numbers"))), F.lit(0)).alias("_n"),
-        F.max(F.when(F.col("total"), F.struct("line", "content", F.try_element_at("numbers", F.lit(-1)).alias("stated")))).alias("_t"),
-    )
-    return segments.where(
-        (F.col("_n") > 0) & F.col("_t.stated").isNotNull()
-        & (F.abs(F.col("_t.stated") - F.col("computed")) > X.TOTAL_TOLERANCE)
-    ).select(*ids, F.col("_t.line").alias("line"), strip(F.col("_t.content")).alias("content"),
-             F.col("_t.stated").alias("stated"), "computed")
+    return rows.withColumns({
+        "_n": F.when(items, F.size("_numbers")).otherwise(0),
+        "_sum": F.when(items, F.aggregate("_numbers", F.lit(0.0), lambda x, y: x + y)),
+        "_last": F.when(F.col("total"), F.try_element_at("_numbers", F.lit(-1))),
+    }).drop("_numbers")
+
+
+def segments(lines: DataFrame, ids: list[str], *more: Column) -> DataFrame:
+    """Of rows with `total`, _n, _sum and _last: one per stretch up to a total line, with `wrong`."""
+    before = Window.partitionBy(*ids).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("_segment", F.coalesce(F.sum(F.col("total").cast("int")).over(before), F.lit(0)))
+    out = lines.groupBy(*ids, "_segment").agg(F.sum("_sum").alias("computed"), F.sum("_n").alias("_n"), F.max(F.when(F.col("total"), F.col("_last"))).alias("stated"), *more)
+    wrong = (F.col("_n") > 0) & F.col("stated").isNotNull() & (F.abs(F.col("stated") - F.col("computed")) > X.TOTAL_TOLERANCE)
+    return out.withColumn("wrong", F.coalesce(wrong, F.lit(False)))
+
+
+def subtotal_check(docs: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
+    """Total lines whose last number is not the sum of the numbers since the previous total line."""
+    lines = text_lines(docs, ids, text).withColumn("level", item_level(F.col("content")))
+    # other lines neither end a stretch nor add to it
+    lines = valued(lines).where("total or _n > 0").select(*ids, "line", "total", "_n", "_sum", "_last", F.when(F.col("total"), strip(F.col("content"))).alias("content"))
+    rows = segments(lines, ids, F.max(F.when(F.col("total"), F.col("line"))).alias("line"), F.max("content").alias("content"))
+    return rows.where("wrong").select(*ids, "line", "content", "stated", "computed")
 
 
 def rule_checks(docs: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
-    """Issue counts per document; documents without issues have zeros."""
-    a = item_numbering(docs, ids, text).select(*ids, F.lit(1).alias("n"), F.lit(0).alias("t"))
-    b = subtotal_check(docs, ids, text).select(*ids, F.lit(0).alias("n"), F.lit(1).alias("t"))
-    all_docs = docs.select(*ids, F.lit(0).alias("n"), F.lit(0).alias("t"))
-    return a.unionByName(b).unionByName(all_docs).groupBy(*ids).agg(
-        F.sum("n").alias("numbering_issues"), F.sum("t").alias("arithmetic_issues"),
-        F.sum(F.col("n") + F.col("t")).alias("total_issue_count"),
+    """Issue counts per document; documents without issues have zeros.
+
+    Both checks run on the same rows, so a text is cut into lines once.
+    """
+    lines = valued(text_lines(docs, ids, text, empty=True).withColumn("level", item_level(F.col("content"))))
+    lines = lines.where("level is not null or total or _n > 0 or line is null or line = 1")  # the first line stands for its document
+    rows = segments(numbered(lines, ids, "total", "_n", "_sum", "_last"), ids, F.count_if(F.col("number") != F.col("_expected")).alias("n"))
+    return rows.groupBy(*ids).agg(
+        F.sum("n").alias("numbering_issues"), F.count_if("wrong").alias("arithmetic_issues"),
+        (F.sum("n") + F.count_if("wrong")).alias("total_issue_count"),
     )
 
 
 def heading_level(text: Column) -> Column:
     """0..12 by the marker a paragraph starts with; NULL without one and for date lines."""
     body = lstrip(text)
-    level = reduce(
-        lambda acc, i: F.when(body.rlike(rx(X.HEADING_LEVELS[i])), F.lit(i)).otherwise(acc),
-        range(len(X.HEADING_LEVELS) - 1, -1, -1), F.lit(None).cast("int"),
-    )
     # the marker group repeats once per number, so the guard is kept to short lines of digits
     date_line = body.rlike(r"(?U)^(?:19|20)[\d\s.．]*$") & strip(text).rlike(rx(X.DATE_LINE))
-    return F.when(date_line, F.lit(None).cast("int")).otherwise(level)
+    return first_match(text, body, X.HEADING_LEVELS, unless=date_line)

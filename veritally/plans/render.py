@@ -14,11 +14,11 @@ class Dialect:
     """Where tables are and how the two engines differ.
 
     `tasks` > 0 spreads a scanned table over that many tasks before anything is computed on it:
-    for single-file inputs, which are read by one task.
+    for single-file inputs, which are read by one task; with `key`, by that column.
     """
 
-    def __init__(self, folder: str | None, tasks: int = 0):
-        self.folder, self.tasks = folder, tasks
+    def __init__(self, folder: str | None, tasks: int = 0, key: str | None = None):
+        self.folder, self.tasks, self.key = folder, tasks, key
 
     @property
     def spark(self) -> bool:
@@ -28,7 +28,8 @@ class Dialect:
         if not self.spark:
             return table
         scan = f"parquet.`{self.folder}/{table}.parquet`"
-        return f"(select /*+ REPARTITION({self.tasks}) */ * from {scan})" if self.tasks else scan
+        by = f"{self.tasks}, {self.key}" if self.key else self.tasks
+        return f"(select /*+ REPARTITION({by}) */ * from {scan})" if self.tasks else scan
 
     def money(self, x: str) -> str:
         return f"format_number({x}, 0)" if self.spark else f"format('{{:,}}', {x})"
@@ -309,6 +310,18 @@ def missing_tasks(df: DataFrame) -> int:
     return cores if len(df.inputFiles()) < cores // 2 else 0
 
 
+#: Rows of a rendered table that a task gets where it has to sort their lines.
+TASK_ROWS = 60_000
+
+
+def keyed_frame(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table rendered from one scan, dealt by its document: what is done per document afterwards
+    moves no text any more, and a task's share does not grow with the table, only the tasks do."""
+    scan = spark.read.parquet(f"{folder}/{ONE_SCAN[name]}.parquet")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-scan.count() // TASK_ROWS))
+    return spark.sql(RENDERINGS[name](Dialect(folder, tasks, {"orders": "o_orderkey", "customer": "c_custkey"}[ONE_SCAN[name]])))
+
+
 def frame(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A rendered table as a DataFrame over the parquet tables of `folder`."""
     tasks = 0

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from veritally.operators import outline as O
 from veritally.operators import rules as U
 from veritally.plans.registry import query
-from veritally.plans.render import expected, frame, table
+from veritally.plans.render import expected, keyed_frame, table
 from veritally.sources.stage import staged
 
 V = expected("report_values")
@@ -19,20 +19,20 @@ L = expected("lines")
     union all select k, 4, '2', '3' from {V} v where k % 11 = 0
     union all select k, 10, '2', '3' from {V} v where k % 5 = 0""")
 def item_numbering(spark, sf):
-    return U.item_numbering(frame(spark, sf, "lines"), ["doc_id"]).select("doc_id", "line", "expected", "actual")
+    return U.item_numbering(keyed_frame(spark, sf, "lines"), ["doc_id"]).select("doc_id", "line", "expected", "actual")
 
 
 @query("subtotal_check", f"""
     select k as doc_id, 9 as line, cast(amount + k % 100 + 1 as double) as stated, cast(amount + k % 100 as double) as computed from {V} v where k % 19 = 0""")
 def subtotal_check(spark, sf):
-    return U.subtotal_check(frame(spark, sf, "lines"), ["doc_id"]).select("doc_id", "line", "stated", "computed")
+    return U.subtotal_check(keyed_frame(spark, sf, "lines"), ["doc_id"]).select("doc_id", "line", "stated", "computed")
 
 
 @query("rule_checks", f"""
     select k as doc_id, cast((k % 11 in (0, 1))::int + (k % 5 = 0)::int as bigint) as numbering_issues, cast((k % 19 = 0)::int as bigint) as arithmetic_issues,
       cast((k % 11 in (0, 1))::int + (k % 5 = 0)::int + (k % 19 = 0)::int as bigint) as total_issue_count from {V} v""")
 def rule_checks(spark, sf):
-    return U.rule_checks(frame(spark, sf, "lines"), ["doc_id"])
+    return U.rule_checks(keyed_frame(spark, sf, "lines"), ["doc_id"])
 
 
 @query("heading_levels", r"""
@@ -58,7 +58,7 @@ _LINES = f"(select doc_id, unnest(range(0, len(l))) as para, unnest(l) as text f
 
 
 def parts(spark, sf) -> tuple[DataFrame, DataFrame]:
-    paras = O.paragraphs(frame(spark, sf, "lines"))
+    paras = O.paragraphs(keyed_frame(spark, sf, "lines"))
     return paras, O.outline(paras)
 
 
