@@ -159,3 +159,10 @@ def test_tasks_of_lines_grow_with_the_table_and_move_no_text(spark, tmp_path, mo
     for query in (structure.rule_checks, structure.subtotal_check, structure.outline, structure.outline_text, structure.item_numbering):
         out = plan(query(spark, str(tmp_path)))
         assert out.count("Exchange") == 1 and "hashpartitioning(o_orderkey" in out and ", 25)" in out
+
+
+def test_sections_of_paragraphs_need_no_join(spark):
+    p = paras(spark).unionByName(spark.createDataFrame([(None, 0, "1. 가", False), (2, 0, "본문", False)], "doc_id long, para int, text string, is_table boolean"))
+    rows = O.section_of_paragraph(p, O.outline(p))
+    assert "Join" not in plan(rows)
+    assert {(r.doc_id, r.para): r.section_id for r in rows.collect() if r.doc_id != 1} == {(None, 0): None, (2, 0): "s0"}

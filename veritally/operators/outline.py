@@ -48,12 +48,16 @@ def outline(paras: DataFrame, doc: str = "doc_id") -> DataFrame:
     rows = rows.withColumn(
         "level", F.when(F.col("is_table"), F.when(F.col("_box").isNotNull(), F.lit(0))).otherwise(heading_level(text))
     )
-    up = Window.partitionBy(doc).orderBy("para")
+    first_row = F.slice(F.filter(F.split(unix_lines(text), "\n"), lambda c: c != ""), 1, 4)
+    title = (
+        F.when(F.col("_box").isNotNull(), F.col("_box"))
+        .when(F.col("is_table"), F.concat(F.lit("[표] "), F.array_join(first_row, " | ")))
+        .otherwise(F.substring(strip(text), F.lit(1), F.lit(X.TITLE_CHARS)))
+    )
+    # the windows see titles, not whole texts, and all of them one order
+    rows = rows.select(doc, "para", "is_table", "level", title.alias("title"))
     after = Window.partitionBy(doc).orderBy(F.desc("para")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(doc)
-    rows = rows.withColumn("_any", F.coalesce(F.max(F.col("level").isNotNull()).over(whole), F.lit(False)))
-    rows = rows.withColumn("_last", F.max("para").over(whole)).withColumn(
-        "table_index", F.when(F.col("is_table"), F.sum(F.col("is_table").cast("int")).over(up) - 1))
     # the next heading at or above each level, as running minima from the end of the document
     nearest = reduce(
         lambda acc, lv: F.when(
@@ -61,22 +65,21 @@ def outline(paras: DataFrame, doc: str = "doc_id") -> DataFrame:
         ).otherwise(acc),
         range(LEVELS), F.lit(None).cast("int"),
     )
-    rows = rows.withColumn("_end", F.coalesce(nearest - 1, F.col("_last")))
+    tables = F.col("is_table").cast("int")
+    rows = rows.withColumn("_next", nearest).withColumn("_tables", F.coalesce(F.sum(tables).over(after), F.lit(0)))
+    rows = rows.withColumn("_any", F.coalesce(F.max(F.col("level").isNotNull()).over(whole), F.lit(False)))
+    rows = rows.withColumn("_last", F.max("para").over(whole)).withColumn(
+        "table_index", F.when(F.col("is_table"), F.sum(tables).over(whole) - F.col("_tables") - 1))
+    rows = rows.withColumn("_end", F.coalesce(F.col("_next") - 1, F.col("_last")))
     heading = F.col("level").isNotNull()
     plain_table = F.col("is_table") & ~heading
-    fallback = ~F.col("_any") & ~F.col("is_table") & (strip(text) != "")
+    fallback = ~F.col("_any") & ~F.col("is_table") & (F.col("title") != "")
     kept = rows.where(heading | plain_table | fallback)
     body = heading & (F.col("_end") > F.col("para"))
-    first_row = F.slice(F.filter(F.split(unix_lines(text), "\n"), lambda c: c != ""), 1, 4)
-    title = (
-        F.when(F.col("_box").isNotNull(), F.col("_box"))
-        .when(F.col("is_table"), F.concat(F.lit("[표] "), F.array_join(first_row, " | ")))
-        .otherwise(F.substring(strip(text), F.lit(1), F.lit(X.TITLE_CHARS)))
-    )
     return kept.select(
         doc, F.concat(F.lit("s"), F.col("para").cast("string")).alias("section_id"),
         F.when(plain_table, "table").when(F.col("_any"), "heading").otherwise("paragraph").alias("kind"),
-        "level", "para", title.alias("title"), F.when(body, F.col("para") + 1).alias("body_start"),
+        "level", "para", "title", F.when(body, F.col("para") + 1).alias("body_start"),
         F.when(body, F.col("_end")).alias("body_end"), "table_index",
     )
 
@@ -103,17 +106,22 @@ def section_of_paragraph(paras: DataFrame, sections: DataFrame, doc: str = "doc_
     Headings nest, so the last section that starts before a paragraph at each level is found by
     running maxima and the innermost whose body still reaches the paragraph is taken.
     """
-    marks = sections.select(doc, "para", "section_id", "body_end", "level")
-    rows = paras.select(doc, "para").join(sorted_side(marks), [doc, "para"], "left")
-    before = Window.partitionBy(doc).orderBy("para").rowsBetween(Window.unboundedPreceding, -1)
+    marks = sections.select(doc, "para", "section_id", "body_end", "level").where(F.col(doc).isNotNull())
+    none = lambda c: F.lit(None).cast(marks.schema[c].dataType).alias(c)
+    # sections and paragraphs in one order, so nothing is joined; a section comes before its own paragraph
+    rows = paras.select(doc, "para", none("section_id"), none("body_end"), none("level"))
+    rows = marks.withColumn("_is", F.lit(False)).unionByName(rows.withColumn("_is", F.lit(True)))
+    before = Window.partitionBy(doc).orderBy("para", "_is").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.max(F.when(~F.col("_is"), F.struct("para", "section_id"))).over(before)
     open_at = [
         F.max(F.when((F.col("level") == lv) & F.col("body_end").isNotNull(),
                      F.struct("para", "body_end", "section_id"))).over(before).alias(f"_o{lv}")
         for lv in range(LEVELS)
     ]
-    rows = rows.select("*", *open_at)
+    rows = rows.select("*", own.alias("_own"), *open_at).where("_is")
     holding = F.filter(F.array(*[f"_o{lv}" for lv in range(LEVELS)]), lambda o: o["body_end"] >= F.col("para"))
-    return rows.select(doc, "para", F.coalesce("section_id", F.array_max(holding).getField("section_id")).alias("section_id"))
+    itself = F.when(F.col("_own.para") == F.col("para"), F.col("_own.section_id"))
+    return rows.select(doc, "para", F.coalesce(itself, F.array_max(holding).getField("section_id")).alias("section_id"))
 
 
 def read_section(paras: DataFrame, sections: DataFrame, wanted: DataFrame, doc: str = "doc_id") -> DataFrame:
