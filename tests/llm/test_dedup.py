@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import plain
@@ -206,3 +207,29 @@ def test_stages_take_columns_of_any_name(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns
         assert {(r["doc_id"], r["_id"], r["_h"], r["_text_key"]) for r in out.collect()} == {r for r in extra if r[0] not in gone}
+
+
+def test_scores_alone_are_those_of_the_alignment():
+    from veritally.llm.decontaminate import best_scores
+
+    r = np.random.default_rng(11)
+    for rows, tall, wide in ((1, 1, 1), (3, 1, 9), (5, 12, 4), (60, 9, 30), (4, 70, 150)):
+        nx, ny = r.integers(1, tall + 1, rows), r.integers(1, wide + 1, rows)
+        x, y = r.integers(1, 7, (rows, tall)), r.integers(1, 7, (rows, wide))
+        best = smith_waterman(x.astype(np.uint64), nx, y.astype(np.uint64), ny)[0]
+        x[np.arange(tall) >= nx[:, None]], y[np.arange(wide) >= ny[:, None]] = -3, -1
+        assert (best_scores(x.astype(np.int32), y.astype(np.int32)) == best).all()
+
+
+def test_only_passages_that_reach_the_threshold_are_aligned_with_places(monkeypatch):
+    from veritally.llm import decontaminate as D
+
+    item = [f"w{i}" for i in range(20)]
+    texts = [" ".join(item), " ".join(item[::-1]), " ".join(f"{x} z{i}" for i, x in enumerate(item[::-1]))] * 40
+    items = D._items([{"item_id": 7, "text": " ".join(item)}], 0.5, 6)
+    rows = []
+    full = D.smith_waterman
+    monkeypatch.setattr(D, "smith_waterman", lambda x, nx, y, ny: rows.append(len(x)) or full(x, nx, y, ny))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    out = [r for b in D._align(items, D.rare_seeds(items, np.zeros(len(items.word), np.int64)), 0.5, 6)([batch]) for r in b.to_pylist()]
+    assert sorted(r["doc_id"] for r in out) == list(range(0, len(texts), 3)) and sum(rows) == 40

@@ -69,14 +69,22 @@ def _frequencies(word: np.ndarray):
         total = np.zeros(len(word), np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
-                h = W.words(batch.slice(lo, 1024)["text"], W.ALNUM).h
-                total += np.bincount(np.searchsorted(word, h[W.member(h, word)]), minlength=len(word))
+                at = _places(W.words(batch.slice(lo, 1024)["text"], W.ALNUM).h, word)
+                total += np.bincount(at[at >= 0], minlength=len(word))
         use = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"g": pa.array(use), "n": pa.array(total[use])})
 
     return run
 
 
+def _places(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Places of words in the sorted array `word`, -1 for words that it does not have."""
+    at = np.searchsorted(word, h)
+    at[at == len(word)] = 0
+    at[word[at] != h if len(word) else slice(None)] = -1
+    return at
+
+
 def rare_seeds(items: Items, frequency: np.ndarray) -> Seeds:
     """The rarest n - need + t places of every item: whoever matches `need` places matches t of these."""
     hits = np.minimum(SEED_HITS, items.need)
@@ -120,6 +128,34 @@ def smith_waterman(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray)
     return best, start, stop
 
 
+def best_scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Score of the best local alignment of each row of x with that of y, as of smith_waterman.
+
+    Rows are filled up with numbers that meet nothing. A step treats one falling diagonal of all
+    tables, whose places do not depend on each other; places are rows of memory, tables its columns.
+    """
+    tall, wide = x.shape[1], y.shape[1]
+    kind = np.int16 if MATCH * min(tall, wide) < 1 << 14 else np.int32
+    down = np.ascontiguousarray(x.T)
+    across = np.full((wide + 2 * tall - 2, len(x)), -2, y.dtype)  # from the last place to the first
+    across[tall - 1:tall - 1 + wide] = y.T[::-1]
+    older, old, new, most = (np.zeros((tall + 1, len(x)), kind) for _ in range(4))
+    value, same = np.empty((tall, len(x)), kind), np.empty((tall, len(x)), bool)
+    for d in range(wide + tall - 1):
+        begin = wide + tall - 2 - d
+        np.equal(down, across[begin:begin + tall], out=same)
+        np.multiply(same, kind(MATCH - MISMATCH), out=value, dtype=kind)
+        value += kind(MISMATCH)
+        value += older[:-1]
+        np.maximum(old[:-1], old[1:], out=new[1:])
+        new[1:] += kind(GAP)
+        np.maximum(new[1:], value, out=new[1:])
+        np.maximum(new[1:], 0, out=new[1:])
+        np.maximum(most, new, out=most)
+        older, old, new = old, new, older
+    return most.max(0)
+
+
 def _align(items: Items, seeds: Seeds, threshold: float, min_words: int):
     def run(batches):
         each = np.bincount(seeds.word, minlength=len(items.word))
@@ -128,8 +164,7 @@ def _align(items: Items, seeds: Seeds, threshold: float, min_words: int):
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 w = W.words(part["text"], W.ALNUM)
-                word = np.searchsorted(items.word, w.h)
-                word[~W.member(w.h, items.word)] = -1
+                word = _places(w.h, items.word)
                 at = np.flatnonzero(word >= 0)
                 at = at[each[word[at]] > 0]
                 if not len(at):
@@ -140,7 +175,7 @@ def _align(items: Items, seeds: Seeds, threshold: float, min_words: int):
                 for places in np.split(at, np.searchsorted(at, w.first()[cut])):
                     found = _passages(w, word, places, items, seeds, each, base)
                     if len(found[0]):
-                        yield from _scored(part["doc_id"], w, items, *found, threshold, min_words)
+                        yield from _scored(part["doc_id"], w, word, items, *found, threshold, min_words)
 
     return run
 
@@ -193,26 +228,41 @@ def _enough(w, word, items, text, item, begin, end):
     return np.maximum.reduceat(within, edge) >= items.need[item]
 
 
-def _scored(ids, w, items, text, item, begin, end, threshold, min_words):
+def _scored(ids, w, word, items, text, item, begin, end, threshold, min_words):
     first_item = items.first()
     base = w.first()[text] + begin
     size = end - begin
     found = []
+    least = np.maximum(threshold * MATCH * items.n - 1e-6, MATCH * np.minimum(min_words, items.n))  # rounding is left to the test below
+    item_word = np.searchsorted(items.word, items.h).astype(np.int32)
+    word = word.astype(np.int32)
+
+    def blocks(order):
+        """Of similar size, so that little is filled up."""
+        lo = 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < len(order) and (hi - lo) * int(size[order[hi]]) < 60_000:
+                hi += 1
+            yield order[lo:hi]
+            lo = hi
+
+    # scores alone first: most passages do not reach the threshold, and need no places
+    good = np.zeros(len(text), bool)
+    for c in blocks(np.lexsort((items.n[item], size))):
+        wide, tall = np.arange(int(size[c].max())), np.arange(int(items.n[item[c]].max()))
+        y = np.where(wide < size[c][:, None], word[np.minimum(base[c][:, None] + wide, len(word) - 1)], np.int32(-1))
+        x = np.where(tall < items.n[item[c]][:, None], item_word[np.minimum(first_item[item[c]][:, None] + tall, len(item_word) - 1)], np.int32(-3))
+        good[c] = best_scores(x, y) >= least[item[c]]
     order = np.lexsort((items.n[item], size))
-    lo = 0
-    while lo < len(order):
-        hi = lo + 1
-        while hi < len(order) and (hi - lo) * int(size[order[hi]]) < 60_000:
-            hi += 1
-        c = order[lo:hi]
+    for c in blocks(order[good[order]]):
         wide, tall = int(size[c].max()), int(items.n[item[c]].max())
         column = np.minimum(base[c][:, None] + np.arange(wide), len(w.h) - 1)
         row = np.minimum(first_item[item[c]][:, None] + np.arange(tall), len(items.h) - 1)
         best, start, stop = smith_waterman(items.h[row], items.n[item[c]], w.h[column], size[c])
         score = best / (MATCH * items.n[item[c]])
-        good = (score >= threshold) & (best >= MATCH * np.minimum(min_words, items.n[item[c]]))
-        found += [(int(text[i]), int(item[i]), float(s), int(begin[i] + x), int(begin[i] + y)) for i, s, x, y in zip(c[good], score[good], start[good], stop[good], strict=True)]
-        lo = hi
+        full = (score >= threshold) & (best >= MATCH * np.minimum(min_words, items.n[item[c]]))
+        found += [(int(text[i]), int(item[i]), float(s), int(begin[i] + x), int(begin[i] + y)) for i, s, x, y in zip(c[full], score[full], start[full], stop[full], strict=True)]
     found.sort(key=lambda r: (r[0], r[1], -r[2], r[3]))
     kept, seen = [], None
     for r in found:  # the best passage of a document and an item
