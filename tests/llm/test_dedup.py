@@ -233,3 +233,13 @@ def test_only_passages_that_reach_the_threshold_are_aligned_with_places(monkeypa
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
     out = [r for b in D._align(items, D.rare_seeds(items, np.zeros(len(items.word), np.int64)), 0.5, 6)([batch]) for r in b.to_pylist()]
     assert sorted(r["doc_id"] for r in out) == list(range(0, len(texts), 3)) and sum(rows) == 40
+
+
+def test_groups_of_one_component_are_dealt_together(spark, monkeypatch):
+    groups = spark.createDataFrame([(100 * x + i, x, x + 1, 10) for x in range(3) for i in range(100)], "key long, x long, y long, rows long")
+    one = J._dealt(groups).collect()
+    assert sorted(r.key for r in one) == list(range(300)) and len({r.deal for r in one}) == 3  # by key there were 300
+    assert all(len({r.deal for r in one if r.key // 100 == x}) == 1 for x in range(3))
+    monkeypatch.setattr(J, "DEAL_ROWS", 250)
+    some = J._dealt(groups).collect()
+    assert sorted(r.key for r in some) == list(range(300)) and 3 < len({r.deal for r in some}) <= 12

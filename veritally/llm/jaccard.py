@@ -35,6 +35,7 @@ U = np.uint64
 PIECE_BITS = 4096
 FLUSH_KEYS = 750_000
 SHORT = (8, 256)
+DEAL_ROWS = 20_000
 
 
 def shingle_sets(column, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -317,6 +318,18 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int, name: str)
     return staged(pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long"), f"{name}-links")
 
 
+def _dealt(mixed: DataFrame) -> DataFrame:
+    """key and deal: groups (key, x, rows) with the same least component x go together.
+
+    Two near copies share most of their pieces and so many groups. Dealt by themselves these are
+    spread over all buckets, and each bucket finds the pair anew; together they find it once. More
+    than DEAL_ROWS rows of one component are dealt in several shares.
+    """
+    shares = mixed.groupBy("x").agg(F.ceil(F.sum("rows") / DEAL_ROWS).alias("shares"))
+    share = F.pmod(F.xxhash64("key"), F.col("shares"))
+    return mixed.join(shares, "x").select("key", F.xxhash64("x", share).alias("deal"))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents linked by the Jaccard similarity of their sets of word k-shingles.
 
@@ -360,9 +373,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     for best in (True, False):
         label = components(links, "jaccard-labels")
         nodes = groups.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        mixed = nodes.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        nodes = nodes.join(mixed, "key", "left_semi").join(seen.drop("sketch").withColumnRenamed("doc_id", "doc"), "doc")
-        bucket = F.pmod(F.xxhash64("key"), F.lit(4 * buckets)).alias("bucket")
+        mixed = nodes.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows")).where("x <> y")
+        nodes = nodes.join(_dealt(mixed), "key").join(seen.drop("sketch").withColumnRenamed("doc_id", "doc"), "doc")
+        bucket = F.pmod("deal", F.lit(4 * buckets)).alias("bucket")
         found = nodes.select(bucket, "key", "doc", "component", "n", "short").groupBy("bucket").applyInArrow(_across(percent, best), "a long, b long, more boolean")
         found = staged(found, "jaccard-found")
         pairs = found.where("not more").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
