@@ -322,7 +322,8 @@ def _dealt(mixed: DataFrame) -> DataFrame:
     """key and deal: groups (key, x, rows) with the same least component x go together.
 
     Two near copies share most of their pieces and so many groups. Dealt by themselves these are
-    spread over all buckets, and each bucket finds the pair anew; together they find it once. More
+    spread over all buckets, and each bucket finds the pair anew; together it is found once for each least
+    component that its groups have. More
     than DEAL_ROWS rows of one component are dealt in several shares.
     """
     shares = mixed.groupBy("x").agg(F.ceil(F.sum("rows") / DEAL_ROWS).alias("shares"))
