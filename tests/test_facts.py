@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import date
 from decimal import Decimal, localcontext
 from fractions import Fraction
@@ -117,3 +118,52 @@ def test_large_and_small_totals_keep_their_digits(spark):
     data = P.data_rows(spark.createDataFrame(rows, SCHEMA))
     assert {r["sheet"]: r["normalized"] for r in P.growth_rates(data, "a", "b").collect()} == {"big": "50", "small": "200"}
     assert {r["sheet"]: r["normalized"] for r in P.column_averages(data, "b").collect()} == {"big": "1500000000000000000000", "small": "0"}
+
+
+def test_totals_of_equal_missing_and_doubled_columns(spark):
+    """Names that come twice, columns without a name and cells that come twice: the last of a row counts."""
+    rng = random.Random(3)
+    head = {1: "x", 2: "y", 3: "x", 5: "z"}
+    rows = [("f", "s", 1, c, "str", None, None, n) for c, n in head.items()]
+    rows += [("f", "t", 1, c, "str", None, None, n) for c, n in {1: "x", 2: "y"}.items()]
+    want, kept = {}, {"s": 0, "t": 0}
+    for sheet, row in [("s", r) for r in range(2, 60)] + [("t", r) for r in range(2, 9)]:
+        columns = (1, 2) if sheet == "t" else rng.choice([(1, 2, 3, 4, 6), (1, 2, 4, 5), (2, 3, 6), (2, 2, 1, 4), (2, 3, 3, 6), ()])
+        filled = sorted((c, Decimal(rng.randrange(9))) for c in columns)
+        rows += [("f", sheet, row, c, "num", v, None, None) for c, v in filled] + [("f", sheet, row, 9, "str", None, None, "a")]
+        kept[sheet] += bool(filled)
+        for name, v in {(head.get(c) if sheet == "s" or c < 3 else None): v for c, v in filled}.items():
+            total, n = want.get((sheet, name), (0, 0))
+            want[sheet, name] = (total + v, n + 1)
+    rows += [("f", None, 1, 1, "num", Decimal(1), None, None), (None, "s", 3, 1, "num", Decimal(1), None, None), ("f", "s", None, 1, "num", Decimal(1), None, None)]
+    got = P.column_totals(P.data_rows(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert {(r.sheet, r.name): (r.total, r.n_rows) for r in got} == {k: v for k, v in want.items() if v[1] == kept[k[0]]}
+    assert {r.name for r in got if r.sheet == "s"} == {"x", "y", None}
+
+
+def test_a_sheet_without_its_header_row_has_no_labels(spark):
+    rows = [("f", "a", r, 1, "str", None, None, f" t{r} ") for r in (2, 3)]  # no row of two cells, no row 1
+    rows += [("f", "b", r, 1, "str", None, None, f" t{r} ") for r in (1, 2)]
+    rows += [("f", "c", 2, c, "num", Decimal(c), None, None) for c in (1, 2)] + [("f", "c", 3, 3, "str", None, None, " "), ("f", "c", 4, 2, "str", None, None, "y"), ("f", "c", 4, 1, "str", None, None, "x ")]
+    cells = spark.createDataFrame(rows, SCHEMA)
+    want = {("b", 2): "t2", ("c", 3): "", ("c", 4): "x y"}
+    for labels in (P.row_labels(cells), P.data_rows(cells)):
+        assert {(r.sheet, r.row): r.label for r in labels.collect()} == want
+
+
+def shuffles(spark, df):
+    """What each shuffle of the plan moves, but for those that read another's."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    return [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "Reused" not in line]
+
+
+def test_the_cells_of_a_sheet_are_shuffled_once(spark):
+    cells = spark.createDataFrame([("f", "s", 1, 1, "str", None, None, "x")], SCHEMA)
+    by_row = lambda df: [s for s in shuffles(spark, df) if re.search(r"partitioning\(source_file#\d+, sheet#\d+, row#\d+,", s)]
+    assert len(by_row(P.row_labels(cells))) == 1
+    assert len(by_row(P.column_sums(P.data_rows(cells)))) == 1

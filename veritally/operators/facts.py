@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veritally.functions import fixed as X
 from veritally.functions.text import blank, canonical_number, rx, strip
@@ -11,22 +11,32 @@ from veritally.operators.identity import header_year
 from veritally.sources.cells import address, cell_raw, sheet_rows
 
 SHEET = ["source_file", "sheet"]
+#: Stands for the row itself among the columns of its numbers.
+ROW_MARK = -2147483648
 POOL_COLUMNS = [
     "ord", "type", "normalized", "raw", "source_file", "location", "label", "row_label",
     "column_header", "from_text",
 ]
 
 
+def placed(cells: DataFrame) -> DataFrame:
+    """Cells that have a place.  The others are dropped here and not by one of the joins of rows with
+    their headers, so that all that is asked of the rows reads the same shuffle."""
+    return cells.where("source_file is not null and sheet is not null and row is not null")
+
+
 def header_rows(rows: DataFrame) -> DataFrame:
     """First row with two or more filled cells, else row 1: source_file, sheet, header_row."""
-    return rows.groupBy(*SHEET).agg(
-        F.coalesce(F.min(F.when(F.size("cells") >= 2, F.col("row"))), F.lit(1)).alias("header_row")
-    )
+    return rows.groupBy(*SHEET).agg(_header_row(F.size("cells")).alias("header_row"))
+
+
+def _header_row(n_cells: Column) -> Column:
+    return F.coalesce(F.min(F.when(n_cells >= 2, F.col("row"))), F.lit(1))
 
 
 def header_cells(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """The header row of each sheet with the wide-header test: one row per sheet."""
-    top = rows.join(headers, SHEET).where(F.col("row") == F.col("header_row"))
+    top = rows.join(headers.hint("shuffle_hash"), SHEET).where(F.col("row") == F.col("header_row"))
     filled = F.filter("cells", lambda c: ~blank(cell_raw(c)))
     low, high = X.WIDE_HEADER_YEARS
 
@@ -40,51 +50,70 @@ def header_cells(rows: DataFrame, headers: DataFrame) -> DataFrame:
     return top.select(
         *SHEET, "header_row", F.size(filled).alias("n_filled"), wide.alias("wide"),
         names.alias("headers"), all_names.alias("names"),
+        (F.size(F.array_distinct(F.map_values(all_names))) < F.size("cells")).alias("same_names"),
     )
 
 
 def data_rows(cells: DataFrame) -> DataFrame:
-    """Data rows with their label and the header of their sheet; one shuffle by sheet row.
+    """Data rows with their label, their numbers and the header of their sheet.
 
-    The header side has one row per sheet, so a sheet that holds most rows is split by the
-    adaptive skew join (or never shuffled, when the headers fit a broadcast).
+    The cells are shuffled once, by sheet row, and the header row is picked where its cells already
+    lie.  What is derived from a row's cells is there before the rows meet their header, so callers
+    that need no cells shuffle none.  The header side has one row per sheet, so a sheet that holds most
+    rows is split by the adaptive skew join (or never shuffled, when the headers fit a broadcast).
     """
-    rows = sheet_rows(cells)
+    rows = sheet_rows(placed(cells))
     headers = header_cells(rows, header_rows(rows))
     texts = F.filter("cells", lambda c: (c["kind"] == "str") & ~blank(c["v_str"]))
-    label = F.array_join(F.transform(texts, lambda c: strip(c["v_str"])), " ")
-    return rows.join(headers, SHEET).where(F.col("row") > F.col("header_row")).withColumn("label", label)
+    label = _label(texts)
+    numbers = F.transform(F.filter("cells", lambda c: c["kind"] == "num"), lambda c: F.struct(c["col"], c["v_num"]))
+    derived = rows.select(*SHEET, "row", "cells", label.alias("label"), numbers.alias("numbers"))
+    return derived.join(headers, SHEET).where(F.col("row") > F.col("header_row"))
+
+
+def _label(texts: Column) -> Column:
+    return F.array_join(F.transform(texts, lambda c: strip(c["v_str"])), " ")
 
 
 def row_labels(cells: DataFrame) -> DataFrame:
-    return data_rows(cells).select(*SHEET, "row", "label")
+    """Labels of data_rows(); of a row only the texts are shuffled, and places for its other cells."""
+    text = F.when((F.col("kind") == "str") & ~blank(F.col("v_str")), F.struct("col", "v_num", "v_date", "v_str"))
+    rows = placed(cells).groupBy(*SHEET, "row").agg(F.collect_list(F.struct(text.alias("text"))).alias("cells"))
+    n_cells = F.size("cells")
+    # a sheet whose header row is not there has no data rows
+    headers = rows.groupBy(*SHEET).agg(
+        _header_row(n_cells).alias("header_row"), F.max((n_cells >= 2) | (F.col("row") == 1)).alias("there"))
+    labels = rows.select(*SHEET, "row", _label(F.array_sort(F.array_compact("cells.text"))).alias("label"))
+    return labels.join(headers.where("there"), SHEET).where(F.col("row") > F.col("header_row")).select(*SHEET, "row", "label")
 
 
 def column_totals(data: DataFrame) -> DataFrame:
     """Columns that are numeric in every kept row of their sheet: total and number of rows.
 
     A kept row has at least one number.  Being numeric in every kept row implies being in the
-    first one.  Of columns with the same name the last one of a row counts.
+    first one.  Of columns with the same name the last one of a row counts.  The kept rows are
+    counted as a column of their own, in the same pass.
     """
-    numbers = F.filter("cells", lambda c: c["kind"] == "num")
-    kept = data.withColumn("_numbers", numbers).where(F.size("_numbers") > 0)
-    named = F.transform(
-        "_numbers",
-        lambda c, i: F.struct(
-            F.element_at("names", c["col"]).alias("name"), i.alias("i"), c["v_num"].alias("v")
-        ),
-    )
-    last = F.filter(
-        "_named",
-        lambda a: ~F.exists("_named", lambda b: b["name"].eqNullSafe(a["name"]) & (b["i"] > a["i"])),
+    kept = data.where(F.size("numbers") > 0)
+    last = F.transform(
+        F.filter("_named", lambda a: ~F.exists("_named", lambda b: b["name"].eqNullSafe(a["name"]) & (b["i"] > a["i"]))),
+        lambda a: a["c"],
     )
-    values = kept.withColumn("_named", named).select(*SHEET, "wide", F.inline(last))
-    totals = values.groupBy(*SHEET, "wide", "name").agg(
-        F.try_sum("v").alias("total"), F.count("*").alias("n_rows")
+    columns = F.col("numbers.col")
+    plain = ~F.col("same_names") & (F.size(F.array_distinct(columns)) == F.size("numbers")) & (
+        F.size(F.array_except(columns, F.map_keys("names"))) == 0)
+    named = F.when(~plain, F.transform("numbers", lambda c, i: F.struct(c.alias("c"), F.element_at("names", c["col"]).alias("name"), i.alias("i"))))
+    row = F.struct(F.lit(ROW_MARK).alias("col"), F.lit(None).cast("decimal(38,10)").alias("v_num"))
+    cells = F.concat(F.when(plain, F.col("numbers")).otherwise(last), F.array(row))
+    values = kept.withColumn("_named", named).select(*SHEET, "wide", "names", F.inline(cells))
+    is_column = F.col("col").isNull() | (F.col("col") != ROW_MARK)
+    values = values.select(*SHEET, "wide", is_column.alias("is_column"), F.element_at("names", F.col("col")).alias("name"), "v_num")
+    totals = values.groupBy(*SHEET, "wide", "is_column", "name").agg(
+        F.try_sum("v_num").alias("total"), F.count("*").alias("n_rows")
     )
-    kept_rows = kept.groupBy(*SHEET).agg(F.count("*").alias("n_kept"))
+    n_kept = F.max(F.when(~F.col("is_column"), F.col("n_rows"))).over(Window.partitionBy(*SHEET))
     # a sum that 38 digits do not hold is no total
-    return totals.join(kept_rows, SHEET).where("n_rows = n_kept and total is not null").drop("n_kept")
+    return totals.withColumn("_kept", n_kept).where("is_column and n_rows = _kept and total is not null").drop("is_column", "_kept")
 
 
 def column_sums(data: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def header_rows(spark, sf):
 @query("wide_sheets", f"""
     select source_file, sheet, count(*) as n_filled, source_file like 'years%' as wide from {CELLS} c where row = 3 group by source_file, sheet""")
 def wide_sheets(spark, sf):
-    rows = C.sheet_rows(frame(spark, sf, "cells"))
+    rows = C.sheet_rows(P.placed(frame(spark, sf, "cells")))
     return P.header_cells(rows, P.header_rows(rows)).select(
         "source_file", "sheet", F.col("n_filled").cast("bigint").alias("n_filled"), "wide"
     )
