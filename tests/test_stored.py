@@ -46,6 +46,24 @@ def test_only_changed_buckets_are_written(spark, tmp_path):
     assert {r["path"]: r["error"] for r in store.read("docs", A.DOC_ROW).collect()} == {p: e for p, _, e, _ in second}
 
 
+def test_an_update_deals_texts_and_no_tokens(spark, tmp_path, monkeypatch):
+    """Each task writes a bounded number of rows, whatever the number of shuffle partitions is."""
+    given, commit = [], StoredTables.commit
+    monkeypatch.setattr(StoredTables, "commit", lambda self, tables, *more: given.append(tables["chunks"].columns) or commit(self, tables, *more))
+    monkeypatch.setattr("veritally.sources.stored.TASK_ROWS", 10)
+    store = StoredTables(spark, str(tmp_path), "path", buckets=1)
+    first = [(f"p{i:03}", 1, None, f"Text {i}\n" + "가" * 701 * (i % 3)) for i in range(200)]
+    A.update_index(store, files(spark, [*first, (None, 1, None, "no path")]))
+    assert len(state(tmp_path)) > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # p0 has another text at the same time: it is not read; p1 is emptied, p2 has no text, p3 goes
+    second = [("p000", 1, None, "other"), ("p001", 2, None, ""), ("p002", 2, None, None), *first[4:], (None, 2, None, "none")]
+    A.update_index(store, files(spark, second))
+    assert len(given) == 2 and not any({"tokens", "length"} & set(c) for c in given)
+    got = store.read("chunks", A.CHUNK_ROW)
+    want = A.chunks(files(spark, [first[0], *first[4:]]), ["path"]).withColumn("label", F.lit("본문"))
+    assert sorted(got.collect()) == sorted(want.select(got.columns).collect()) and got.count() > 300
+
+
 def test_an_update_that_dies_changes_nothing(spark, tmp_path):
     store = StoredTables(spark, str(tmp_path), "path", buckets=4)
     A.update_index(store, files(spark, [("a", 1, None, "one"), ("b", 1, None, "two")]))

@@ -127,12 +127,32 @@ def update_index(store: StoredTables, seen: DataFrame, complete: bool = True, no
     fresh = seen.join(changed.where("action <> 'removed'").select("path", "action"), "path")
     docs = store.read("docs", DOC_ROW, touched).join(changed.select("path"), "path", "left_anti").unionByName(
         fresh.withColumn("year", guess_year(F.col("name"))).selectExpr("path", "name", "cast(mtime as double) as mtime", "year", "error"))
-    new = chunks(fresh.where("action = 'indexed'"), ["path"]).withColumn("label", F.lit(X.BODY_LABEL))
-    rows = store.read("chunks", CHUNK_ROW, touched).join(changed.select("path"), "path", "left_anti")
-    store.commit({"docs": docs, "chunks": rows.unionByName(new.select(*rows.columns))}, touched, notes)
+    # stored chunks, whole texts seen and actions meet where the store deals them by path
+    held = store.read("chunks", CHUNK_ROW, touched).select("path", "chunk_no", "label", "text")
+    held = held.withColumn("whole", F.lit(False)).withColumn("action", F.lit(None).cast("string"))
+    arrived = seen.where(F.col("path").isNotNull() & store.bucket("path").isin(touched)).selectExpr(
+        "path", "cast(null as int) as chunk_no", "cast(null as string) as label", "text", "true as whole", "cast(null as string) as action")
+    done = changed.selectExpr("path", "cast(null as int) as chunk_no", "cast(null as string) as label", "cast(null as string) as text", "cast(null as boolean) as whole", "action")
+    store.commit({"docs": docs, "chunks": held.unionByName(arrived).unionByName(done)}, touched, notes, {"chunks": _indexed})
     return actions.drop("bucket")
 
 
+def _indexed(rows: DataFrame) -> DataFrame:
+    """Chunk rows of paths whose stored chunks (not whole), text seen (whole) and action lie in one task.
+
+    Stored chunks stay if nothing is done to their path, and texts are chunked if it is indexed. Tokens
+    follow from the text, so they are made here and not shuffled.
+    """
+    action = F.max("action").over(Window.partitionBy("bucket", "path"))
+    rows = rows.withColumn("action", action).where("(whole and action = 'indexed') or (not whole and action is null)")
+    texts = F.when(F.col("whole"), chunk_array(F.coalesce("text", F.lit("")))).otherwise(F.array("text"))
+    rows = rows.select("bucket", "path", "whole", "chunk_no", "label", F.posexplode(texts).alias("_at", "text"))
+    rows = rows.select(
+        "bucket", "path", F.coalesce("chunk_no", "_at").alias("chunk_no"),
+        F.when(F.col("whole"), X.BODY_LABEL).otherwise(F.col("label")).alias("label"), "text")
+    return rows.withColumn("tokens", tokens(F.col("text"))).withColumn("length", F.size("tokens"))
+
+
 def archive_stats(docs: DataFrame, chunk_rows: DataFrame) -> DataFrame:
     """docs, failed, chunks in one row, each counted with partial sums."""
     a = docs.select(F.col("error").isNull().cast("long").alias("docs"),

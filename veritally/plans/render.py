@@ -309,6 +309,10 @@ ONE_SCAN = {
 }
 
 
+# renderings whose text is the table's own: it is shuffled once, as the table is spread
+PLAIN = {"archive_old", "archive_new"}
+
+
 def missing_tasks(df: DataFrame) -> int:
     """How many tasks to spread an input over: 0 if it has files enough for the cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -336,7 +340,7 @@ def frame(spark: SparkSession, folder: str, name: str) -> DataFrame:
         tasks = missing_tasks(spark.read.parquet(f"{folder}/{ONE_SCAN[name]}.parquet"))
     df = spark.sql(RENDERINGS[name](Dialect(folder, tasks)))
     # the exchange also keeps filters on rendered text from rendering it a second time
-    return df.repartition(tasks) if tasks else df
+    return df.repartition(tasks) if tasks and name not in PLAIN else df
 
 
 def cells_frame(spark: SparkSession, folder: str) -> DataFrame:

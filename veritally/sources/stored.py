@@ -8,10 +8,16 @@ one that died leaves files that no manifest names, and the next update of the sa
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+#: Rows of an update that a task writes, once there are more than the usual number of tasks would hold.
+TASK_ROWS = 20_000
+
+
 class StoredTables:
     """Tables of one folder, cut into `buckets` by the hash of their key column.
 
@@ -51,10 +57,13 @@ class StoredTables:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", f"{self.folder}/{name}").parquet(*paths).select(*[f"`{c}`" for c in self.spark.createDataFrame([], schema).columns])
 
-    def commit(self, tables: dict[str, DataFrame], touched: list[int], notes: dict[str, int] | None = None) -> int:
+    def commit(self, tables: dict[str, DataFrame], touched: list[int], notes: dict[str, int] | None = None,
+               finish: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> int:
         """Replaces the touched buckets of the tables by the given rows; returns the update's number.
 
         Rows must lie in touched buckets. `notes` are numbers to remember with the update; others stay.
+        `finish` makes the rows of a table from the given ones where these have been dealt, all of a key
+        in one task, so that what is large is not shuffled; the column `bucket` has to stay.
         """
         now = self.manifest()
         number = max((v for n, _, v in now if n == "#update"), default=0) + 1
@@ -63,7 +72,11 @@ class StoredTables:
         for name, rows in tables.items():
             path = f"{self.folder}/{name}/version={number}"
             # ranges of (bucket, key): few buckets a task, and large buckets over several tasks
-            rows.withColumn("bucket", self.bucket()).repartitionByRange("bucket", self.key).write.mode("overwrite").partitionBy("bucket").parquet(path)
+            many = -(-rows.count() // TASK_ROWS)
+            tasks = [many] if many > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else []
+            dealt = rows.withColumn("bucket", self.bucket()).repartitionByRange(*tasks, "bucket", self.key)
+            dealt = (finish or {}).get(name, lambda d: d)(dealt)
+            dealt.write.mode("overwrite").partitionBy("bucket").parquet(path)
             there = self.spark.read.schema("bucket int").parquet(path).select("bucket").distinct().collect() if touched else []
             if not {r["bucket"] for r in there} <= set(touched):
                 raise ValueError("rows outside the touched buckets")
