@@ -142,3 +142,21 @@ def test_postings_keep_groups_apart_and_take_empty_tables(spark):
     q = spark.createDataFrame([(1, "all")], "query_id long, text string")
     assert A.bm25(none, q, ["doc_id", "chunk_no"]).collect() == []
     assert A.bm25(rows, q.where("false"), ["doc_id", "chunk_no"]).collect() == []
+
+
+def test_a_shard_takes_rows_of_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(A, "SHARD", 25)
+    rows = spark.createDataFrame([(i, [f"w{i % 7}", "x"], 2) for i in range(110)], "id long, tokens array<string>, length int").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        heads = A.term_postings(rows, ["id"]).where("term is null").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(len(r["keys"]) for r in heads) == [10, 25, 25, 25, 25]
+    assert sorted(k["id"] for r in heads for k in r["keys"]) == list(range(110))
+
+
+def test_tokens_end_with_a_letter_or_digit(spark):
+    texts = ["", ".,", "a", "a.", ".,a,.", "1.,2", "1,000.50. B.C., ..x..y..", "가A.나다라.1", "A" * 5000 + "." * 5000]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(A.tokens(F.col("t"))).collect()]
+    assert got == [[], [], ["a"], ["a"], ["a"], ["1.,2"], ["1,000.50", "b.c", "x..y"], ["가", "나다", "다라", "a", "1"], ["a" * 5000]]

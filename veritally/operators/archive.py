@@ -24,9 +24,8 @@ def tokens(text: Column) -> Column:
             F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))
         ),
     )
-    words = F.regexp_extract_all(text, F.lit("([A-Za-z0-9][A-Za-z0-9.,]*)"), F.lit(1))
-    words = F.filter(F.transform(words, lambda w: F.lower(F.btrim(w, F.lit(".,")))), lambda w: w != "")
-    return F.concat(F.flatten(pairs), words)
+    words = F.regexp_extract_all(text, F.lit("([A-Za-z0-9](?:[A-Za-z0-9.,]*[A-Za-z0-9])?)"), F.lit(1))
+    return F.concat(F.flatten(pairs), F.transform(words, F.lower))
 
 
 def word_set(text: Column) -> Column:
@@ -178,7 +177,7 @@ def term_df(chunk_rows: DataFrame) -> DataFrame:
 
 
 #: Chunks of a shard, and postings of a block.
-SHARD, BLOCK = 4096, 64
+SHARD, BLOCK = 16384, 64
 #: Scores within so much of the k-th best are compared to the last digit that ranks.
 MARGIN = 1e-8
 
@@ -218,17 +217,31 @@ def term_postings(chunk_rows: DataFrame, ids: list[str], within: str | None = No
         groups = [pa.chunked_array([table.column(c).combine_chunks().take(pa.array(np.zeros(size, np.int64)))]).combine_chunks() for c in extra]
         return pa.record_batch(groups + columns, [*extra, "shard", "term", "at", "tf", "length", "keys"])
 
+    def parts(batches):
+        """Rows of one value each, or without one whole shards, which may take several batches."""
+        held = []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if within is not None:
+                yield from (table.filter(pc.equal(table.column(within), v)) for v in pc.unique(table.column(within)))
+                continue
+            held.append(table)
+            if sum(t.num_rows for t in held) >= SHARD:
+                table = pa.concat_tables(held)
+                whole = table.num_rows // SHARD * SHARD
+                yield table.slice(0, whole)
+                held = [table.slice(whole)]
+        if sum(t.num_rows for t in held):
+            yield pa.concat_tables(held)
+
     def run(batches):
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            parts = [table] if within is None else [table.filter(pc.equal(table.column(within), v)) for v in pc.unique(table.column(within))]
-            for part in parts:
-                for lo in range(0, part.num_rows, SHARD):
-                    yield shard(part.slice(lo, SHARD), number)
-                    number += 1
+        for part in parts(batches):
+            for lo in range(0, part.num_rows, SHARD):
+                yield shard(part.slice(lo, SHARD), number)
+                number += 1
 
     return chunk_rows.select(*extra, *ids, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), F.coalesce("length", F.lit(0)).cast("int").alias("length")).mapInArrow(run, schema)
 
