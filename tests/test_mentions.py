@@ -72,3 +72,16 @@ def test_rows_with_one_id_do_not_mix(spark):
     assert ("100원", 3, 7, "가나") in got
     text = "긴 앞머리가 있는 글 2026-09-07, 값 200원"
     assert {(r, s, e) for r, s, e, _ in got} == {("100원", 3, 7), ("2026-09-07", text.index("2026"), text.index(",")), ("200원", text.index("200"), len(text))}
+
+
+def test_dealt_documents_are_extracted_where_they_lie(spark):
+    texts = ["금액 1,200원, 접수일 2026-03-04", "시간 9~11시, 연락처 031-123-4567", "없음", None, "1 2 3 4 5 6 7 8 9 10 11 12 합 40", "'26.3.4(월) 5건"]
+    docs = spark.createDataFrame([(i % 3, i % 7, t) for i, t in enumerate(texts * 4)], "case_id long, doc_id long, text string")
+    dealt = docs.repartition(3, "doc_id")
+    values = M.extract_all(dealt, ["case_id", "doc_id"], dealt=True)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert values._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert rows(values) == rows(M.extract_all(docs, ["case_id", "doc_id"]))
+    wrong = M.weekday_check(dealt, ["doc_id"], dealt=True)
+    assert wrong._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert rows(wrong) == rows(M.weekday_check(docs, ["doc_id"])) and wrong.count() == 4

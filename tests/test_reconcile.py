@@ -190,6 +190,31 @@ def test_fact_lists_and_label_digests_give_the_same_verdicts(spark):
         assert other == verdicts(spark, m, p)
 
 
+def random_queue(spark, seed):
+    rng = random.Random(seed)
+    words = ["점검 실적", " 점검 실적", "예산", "참여 인원", "정기점검 실적 개소", "", " "]
+    p = pool(spark, [dict(normalized=str(rng.randint(1, 6)), type=rng.choice(["amount", "date"]), label=rng.choice(words) + rng.choice(["", "", str(rng.randint(1, 3))]),
+                          from_text=rng.random() < 0.2) for _ in range(50)])
+    rows = [(rng.choice(["amount", "date", "year"]), str(rng.randint(1, 7)), rng.choice(words) + rng.choice(["", " 올해 점검", " 예산2"])) for _ in range(60)]
+    m = mentions(spark, rows + rows[-1:])
+    return R.with_headers(m.unionByName(m.where("s > 55"))), p  # some come twice
+
+
+def test_choices_from_lists_and_from_label_digests_are_the_same(spark):
+    queue, p = random_queue(spark, 11)
+    digest = R.staged_digest(p)
+    choices = lambda size: sorted(map(tuple, R.shortlist(queue, digest, IDS, small_group=size).collect()))
+    some = choices(64)
+    assert len(some) > 100 and max(r[5] for r in some) >= 4
+    assert choices(0) == some and choices(20) == some  # no list; a list for one type only
+
+
+def test_choices_shuffle_a_value_and_a_fact_once(spark):
+    queue, p = random_queue(spark, 12)
+    plan = R.shortlist(queue, R.staged_digest(p), IDS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2
+
+
 def test_mentions_outside_tables_are_shuffled_once(spark):
     p, m = pool(spark, [dict(normalized="21", label="참여 인원"), dict(normalized="30")]), mentions(spark, [("amount", "21", "참여 인원")])
     plan = R.categorize(m, p, IDS)._jdf.queryExecution().executedPlan().toString()

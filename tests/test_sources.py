@@ -61,6 +61,26 @@ def test_staged_tables_go_to_the_shared_folder(spark):
     assert all(shared_folder(spark).removeprefix("file:") in f for f in kept.inputFiles())
 
 
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    import time
+
+    from veritally.sources.stage import LET_GO
+
+    blocks = lambda: {b.name() for b in _scala_list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if b.isShuffle()}
+    before, setting = blocks(), spark.conf.get(LET_GO, None)
+    kept = staged(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count().groupBy("count").agg(F.sum("k").alias("k")), "sums")
+    for _ in range(100):
+        if not blocks() - before:
+            break
+        time.sleep(0.1)
+    assert not blocks() - before and spark.conf.get(LET_GO, None) == setting
+    assert [tuple(r) for r in kept.collect()] == [(100, 45)]
+
+
+def _scala_list(items):
+    return [items.apply(i) for i in range(items.size())]
+
+
 def test_numbers_keep_all_their_digits(spark):
     from decimal import Decimal
 

@@ -150,10 +150,11 @@ def _toc_hits(text: Column) -> Column:
 
 
 def _spans(docs: DataFrame, ids: list[str], text: str, kinds: list[Kind], toc: bool,
-           with_context: bool) -> DataFrame:
+           with_context: bool, dealt: bool = False) -> DataFrame:
     """One row per hit with code, raw, s, e, context; partitioned by document.
 
-    `_row` tells rows with the same ids apart: gaps of one must not count in the other.
+    `_row` tells rows with the same ids apart: gaps of one must not count in the other. With `dealt`,
+    documents were dealt by one of their ids before their text was made, and hits stay where they are.
     """
     source = docs.select(
         *ids, safe_text(F.col(text)).alias("_text"), F.monotonically_increasing_id().alias(ROW)
@@ -180,7 +181,7 @@ def _spans(docs: DataFrame, ids: list[str], text: str, kinds: list[Kind], toc: b
         *ids, F.inline_outer("_h")
     ).where("code is not null")
     # the one shuffle: hits only, never the text; every later window is inside a document
-    hits = hits.repartition(*ids)
+    hits = hits if dealt else hits.repartition(*ids)
     order = Window.partitionBy(*ids, "code").orderBy("pos")
     hits = hits.withColumn("s", F.coalesce("s0", F.sum("before_len").over(order).cast("int")))
     hits = hits.withColumn("e", F.coalesce("e0", F.col("s") + F.length("raw")))
@@ -292,10 +293,14 @@ def extract(docs: DataFrame, ids: list[str], text: str = "text", default_year: i
 
 
 def extract_all(docs: DataFrame, ids: list[str], text: str = "text",
-                default_year: int = 2026) -> DataFrame:
+                default_year: int = 2026, dealt: bool = False) -> DataFrame:
     """All mentions: amounts that touch a date, time, phone, year, year marker, list marker
-    or contents line are dropped, then month runs are dropped."""
-    spans = _spans(docs, ids, text, KINDS, toc=True, with_context=True)
+    or contents line are dropped, then month runs are dropped.
+
+    `dealt`: the documents were dealt by one of their ids, so that nothing has to be shuffled; if they
+    were not, the result is the same and costs more.
+    """
+    spans = _spans(docs, ids, text, KINDS, toc=True, with_context=True, dealt=dealt)
     ids = [*ids, ROW]
     spans = _drop_times_inside_colon_digits(spans, ids)
     spans = touched_by(spans, ids, F.col("code") > 0)
@@ -329,18 +334,18 @@ def snippets(mentions: DataFrame, docs: DataFrame, ids: list[str], text: str = "
 
 
 def pattern_spans(docs: DataFrame, ids: list[str], patterns: dict[str, str],
-                  text: str = "text") -> DataFrame:
+                  text: str = "text", dealt: bool = False) -> DataFrame:
     """Spans of named patterns: ids, name, raw, s, e (partitioned by document)."""
     names = list(patterns)
     kinds = [Kind(FIRST_EXCLUDING + i, name, None, patterns[name], None) for i, name in enumerate(names)]
-    spans = _spans(docs, ids, text, kinds, toc=False, with_context=False)
+    spans = _spans(docs, ids, text, kinds, toc=False, with_context=False, dealt=dealt)
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("code") - (FIRST_EXCLUDING - 1))
     return spans.select(*ids, name.alias("name"), "raw", "s", "e")
 
 
-def weekday_check(docs: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
+def weekday_check(docs: DataFrame, ids: list[str], text: str = "text", dealt: bool = False) -> DataFrame:
     """Dates written with a weekday that is not theirs; dates that do not exist are told apart."""
-    spans = pattern_spans(docs, ids, {"weekday_date": X.WEEKDAY_DATE}, text)
+    spans = pattern_spans(docs, ids, {"weekday_date": X.WEEKDAY_DATE}, text, dealt)
     n = F.regexp_extract_all(ascii_digits(F.col("raw")), F.lit(r"([0-9]+)"), F.lit(1))
     part = lambda i: F.get(n, F.lit(i)).try_cast("int")
     rows = spans.withColumn("_d", F.try_to_date(F.concat_ws("-", part(0) + 2000, part(1), part(2)), "y-M-d"))

@@ -309,8 +309,8 @@ ONE_SCAN = {
 }
 
 
-# renderings whose text is the table's own: it is shuffled once, as the table is spread
-PLAIN = {"archive_old", "archive_new"}
+# renderings that are shuffled once, as the table is spread: their text is the table's own, or nothing filters it
+PLAIN = {"archive_old", "archive_new", "facts", "order_facts"}
 
 
 def missing_tasks(df: DataFrame) -> int:
@@ -326,9 +326,15 @@ TASK_ROWS = 60_000
 def keyed_frame(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table rendered from one scan, dealt by its document: what is done per document afterwards
     moves no text any more, and a task's share does not grow with the table, only the tasks do."""
-    scan = spark.read.parquet(f"{folder}/{ONE_SCAN[name]}.parquet")
-    tasks = max(spark.sparkContext.defaultParallelism, -(-scan.count() // TASK_ROWS))
-    return spark.sql(RENDERINGS[name](Dialect(folder, tasks, {"orders": "o_orderkey", "customer": "c_custkey"}[ONE_SCAN[name]])))
+    base = ONE_SCAN[name]
+    key = {"orders": "o_orderkey", "customer": "c_custkey"}[base]
+    return spark.sql(RENDERINGS[name](Dialect(folder, bounded_tasks(spark, folder, base), key)))
+
+
+def bounded_tasks(spark: SparkSession, folder: str, base: str) -> int:
+    """In how many tasks a table is dealt, so that a task gets `TASK_ROWS` rows at most."""
+    rows = spark.read.parquet(f"{folder}/{base}.parquet").count()
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
 
 
 def frame(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -348,9 +354,7 @@ def cells_frame(spark: SparkSession, folder: str) -> DataFrame:
     the orders are dealt in tasks whose share does not grow with the table."""
     path = fresh_path(spark, "year-grid")
     spark.sql(year_grid(Dialect(folder))).write.parquet(path)
-    scan = spark.read.parquet(f"{folder}/orders.parquet")
-    tasks = max(spark.sparkContext.defaultParallelism, -(-scan.count() // TASK_ROWS))
-    return spark.sql(cells(Dialect(folder, tasks, "o_orderkey", {"year_grid": path})))
+    return spark.sql(cells(Dialect(folder, bounded_tasks(spark, folder, "orders"), "o_orderkey", {"year_grid": path})))
 
 
 def expected(name: str) -> str:

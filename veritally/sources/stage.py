@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether the shuffle files of a query are removed at its end.
+LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
@@ -30,7 +33,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The rows as a parquet table in the shared folder: lineage is cut, lost executors do not
-    matter, and every later branch reads only the columns it needs."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    matter, and every later branch reads only the columns it needs.
+
+    What the job shuffled is let go as soon as the table is there, not when the driver happens to collect garbage.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    before = spark.conf.get(LET_GO, None)
+    spark.conf.set(LET_GO, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(LET_GO) if before is None else spark.conf.set(LET_GO, before)
+    return spark.read.schema(df.schema).parquet(path)
