@@ -215,6 +215,33 @@ def test_choices_shuffle_a_value_and_a_fact_once(spark):
     assert plan.count("Exchange") == 2
 
 
+def test_links_from_lists_and_from_pieces_are_the_same(spark):
+    rng = random.Random(13)
+    words = ["점검\u3000실적", " 예산 \t현황", "참여 인원", "가 나", "정기점검", "x", "", " ", None]
+    labels = spark.createDataFrame([(rng.choice([1, 2, None]), rng.choice(["amount", "date"]), rng.choice(words)) for _ in range(60)], "case_id long, type string, label string")
+    texts = ["", None, "올해 실적 예산", "현황 참여함", "가 나", "가나", "정기점검 x 인원", "  "]
+    contexts = spark.createDataFrame([(rng.choice([1, 2, None]), rng.choice(["amount", "date"]), rng.choice(texts)) for _ in range(80)], "case_id long, type string, context string")
+
+    def links(label, text):
+        parts = [p for p in label.split() if len(p) >= 3] or [label]
+        return any(p in text for p in parts)
+
+    pairs = itertools.product(contexts.collect(), labels.collect())
+    want = {(c.case_id, c.type, c.context, l.label) for c, l in pairs
+            if None not in (c.case_id, c.context, l.label) and (c.case_id, c.type) == (l.case_id, l.type) and c.context and l.label and links(l.label, c.context)}
+    for size in (64, 5, 0):
+        got = [tuple(r) for r in R.label_links(contexts, labels, size).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_links_of_small_groups_look_up_no_pieces(spark, monkeypatch):
+    monkeypatch.setattr(R, "contained_pairs", None)
+    p, m = pool(spark, [dict(normalized="21", label="참여 인원")]), mentions(spark, [("amount", "21", "참여 인원")])
+    links = R.label_links(m.select("case_id", "type", "context"), p)
+    assert links._jdf.queryExecution().executedPlan().toString().count("Exchange") == 3  # contexts twice, lists
+    assert [tuple(r) for r in links.collect()] == [(1, "amount", "참여 인원", "참여 인원")]
+
+
 def test_mentions_outside_tables_are_shuffled_once(spark):
     p, m = pool(spark, [dict(normalized="21", label="참여 인원"), dict(normalized="30")]), mentions(spark, [("amount", "21", "참여 인원")])
     plan = R.categorize(m, p, IDS)._jdf.queryExecution().executedPlan().toString()

@@ -55,19 +55,41 @@ def needles_of(labels: DataFrame) -> DataFrame:
 
 
 def label_needles(label: Column) -> Column:
-    parts = F.filter(F.split(strip(label), rx(r"\s+")), lambda p: F.length(p) >= X.MIN_LABEL_FRAGMENT)
+    # split() compiles a pattern anew for every text, but needs none for a single character
+    spaced = F.regexp_replace(strip(label), rx(r"\s+"), " ")
+    parts = F.filter(F.split(spaced, " "), lambda p: F.length(p) >= X.MIN_LABEL_FRAGMENT)
     return F.when(F.size(parts) > 0, F.array_distinct(parts)).otherwise(F.array(label))
 
 
-def label_links(contexts: DataFrame, labels: DataFrame) -> DataFrame:
-    """(case_id, type, context, label) pairs where the label links to the context."""
-    needles = needles_of(labels.select(*CASE_TYPE, "label").distinct())
-    pairs = contained_pairs(
-        contexts.select(*CASE_TYPE, F.col("context").alias("text")), needles, CASE_TYPE
-    )
-    return pairs.join(needles, [*CASE_TYPE, "needle"]).select(
+def label_links(contexts: DataFrame, labels: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
+    """(case_id, type, context, label) pairs where the label links to the context.
+
+    A context meets the list of its group's labels, with what they are found by, if these are few; contexts of
+    larger groups look up their pieces.
+    """
+    named = labels.where("label <> ''").select(*CASE_TYPE, "label").distinct()
+    turn = Window.partitionBy(*CASE_TYPE).orderBy("label")
+    few = named.withColumn("_r", F.row_number().over(turn)).where(F.col("_r") <= small_group + 1)
+    lists = few.groupBy(*CASE_TYPE).agg(F.collect_list("label").alias("labels"))
+    with_needles = F.transform("labels", lambda l: F.struct(l.alias("label"), label_needles(l).alias("needles")))
+    lists = staged(lists.withColumn("labels", F.when(F.size("labels") <= small_group, with_needles)), "labels")
+    large = lists.where("labels is null").select(*CASE_TYPE)
+    texts = contexts.select(*CASE_TYPE, F.col("context").alias("text")).where("text <> ''")
+    some_large = not large.isEmpty()
+    if some_large:  # read by both ways
+        texts = staged(texts.distinct(), "contexts")
+    hit = F.filter("labels", lambda f: F.exists(f["needles"], lambda n: F.contains(F.col("text"), n)))
+    # the outer form keeps the optimizer from repeating the whole expression as a size filter
+    found = texts.distinct().join(lists.where("labels is not null").hint("merge"), CASE_TYPE).select(
+        *CASE_TYPE, "text", F.explode_outer(F.transform(hit, lambda f: f["label"])).alias("label")).where("label is not null")
+    found = found.withColumnRenamed("text", "context")
+    if not some_large:
+        return found
+    needles = needles_of(named.join(large, CASE_TYPE, "left_semi"))
+    pairs = contained_pairs(texts.join(large, CASE_TYPE, "left_semi"), needles, CASE_TYPE)
+    return found.unionByName(pairs.join(needles, [*CASE_TYPE, "needle"]).select(
         *CASE_TYPE, F.col("text").alias("context"), "label"
-    ).distinct()
+    ).distinct())
 
 
 def loose_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
