@@ -242,6 +242,19 @@ def test_links_of_small_groups_look_up_no_pieces(spark, monkeypatch):
     assert [tuple(r) for r in links.collect()] == [(1, "amount", "참여 인원", "참여 인원")]
 
 
+def test_issues_shuffle_values_by_report_only(spark):
+    rows = [(1, 0, 3, "amount", "match", "5"), (1, 4, 9, "date", "match", "'26.3.4(월)"), (2, 4, 9, "date", "unverifiable", "y"), (None, 4, 9, "date", "ambiguous", "z"), (2, 4, 9, "amount", "mismatch", "w")]
+    v = spark.createDataFrame(rows, "doc_id long, s int, e int, type string, verdict string, raw string")
+    wrong = spark.createDataFrame([(1, 4, 9, "mismatch"), (1, 4, 9, "mismatch"), (1, 0, 3, "invalid_date"), (None, 4, 9, "mismatch"), (3, 1, 2, "mismatch")], "doc_id long, s int, e int, issue string")
+    issues = R.issue_list(v, wrong, ["doc_id"])
+    assert set(issues.columns) == {*v.columns, "colour", "issue_no"}
+    assert sorted(tuple(r) for r in issues.where("doc_id is not null").select("doc_id", "raw", "colour", "issue_no").collect()) == [
+        (1, "'26.3.4(월)", "red", 2), (1, "5", "blue", 1), (2, "w", "red", 1), (2, "y", "green", 2)]
+    assert [r.colour for r in issues.where("doc_id is null").collect()] == ["gray"]
+    plan = R.red_values(issues, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_mentions_outside_tables_are_shuffled_once(spark):
     p, m = pool(spark, [dict(normalized="21", label="참여 인원"), dict(normalized="30")]), mentions(spark, [("amount", "21", "참여 인원")])
     plan = R.categorize(m, p, IDS)._jdf.queryExecution().executedPlan().toString()
