@@ -183,3 +183,24 @@ def test_snapshots_of_the_index_stream_are_files_of_many_tasks(spark, tmp_path,
     want = {i: i + (60 if i % 10 == 0 else 0) for i in range(40) if i % 13 != 5 or i % 10 != 1}
     assert {int(p.split("_")[-1][:-4]): t for p, t in got.items()} == want
     assert len(list((tmp_path / "arrivals").glob("part-*"))) > 2  # one file is one task that reads a whole snapshot
+
+
+def test_verdicts_of_a_stream_make_their_lists_once(spark, tmp_path, monkeypatch):
+    """Batches share the lists, a report that comes again without values loses its verdicts, and nothing is joined for it."""
+    from veritally.operators import reconcile as R
+
+    made, lists = [], R.fact_lists
+    monkeypatch.setattr(R, "fact_lists", lambda *a: made.append(1) or lists(*a))
+    schema = "case_id long, ord long, type string, normalized string, raw string, source_file string, location string, label string, row_label string, column_header string, from_text boolean"
+    pool = spark.createDataFrame([(1, 1, "amount", "1200", "1200", "f", "B1", "", "", "", False)], schema)
+    docs, ids = "case_id long, doc_id long, text string", ["case_id", "doc_id", "type", "s", "raw"]
+    want = [[(1, 1, "match"), (1, 2, "mismatch")], [(1, 2, "mismatch"), (1, 3, "match")]]
+    for tasks in (0, 3):
+        for k, rows in enumerate([[(1, 1, "금액 1,200원"), (1, 2, "금액 7원")], [(1, 1, "없음"), (1, 3, "1,200원"), (1, 4, None)]]):
+            spark.createDataFrame(rows, docs).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{tasks}"))
+            stream = spark.readStream.schema(docs).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / f"in{tasks}"))
+            out = J.verify_stream(stream, pool, ids, str(tmp_path / f"job{tasks}"), tasks=tasks)
+            assert sorted(tuple(r) for r in out.select("case_id", "doc_id", "verdict").collect()) == want[k]
+    made.clear()
+    J.verify_stream(stream, pool, ids, str(tmp_path / "anew"))  # two batches
+    assert len(made) == 1
